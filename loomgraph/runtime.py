@@ -19,6 +19,7 @@ def session(app: str = "loomgraph", cores: str = "*", shuffle: int = 8) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -88,3 +89,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("loomgraph", os.path.relpath(path, here)))
     context.addPyFile(made)
     context._loomgraph_shipped = True
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
