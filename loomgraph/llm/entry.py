@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
-from . import mixing, packing, quality, secrets
+from . import jaccard, mixing, packing, quality, secrets, substrings, suffixtree
 
 
 def _tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +27,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -46,10 +56,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    linked = jaccard.link_classes(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_tree_scores": op4_suffix_tree_scores,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {}

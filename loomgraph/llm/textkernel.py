@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -151,8 +152,50 @@ def batches(items: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 <
     for batch in items:
         if not batch.num_rows:
             continue
-        lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), float))
+        lengths = np.nan_to_num(np.asarray(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), float))
         group = (np.cumsum(lengths) // size).astype(np.int64)
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             yield batch.slice(lo, hi - lo)
+
+
+def runs(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The consecutive rows of equal integer keys, each run as one table; rows must come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in items:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(int(c[0]) for c in columns)
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for n, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if held and (n or first != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = tuple(int(c[-1]) for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph over n nodes with edges a - b."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return kept
