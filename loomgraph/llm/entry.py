@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
-from . import jaccard, mixing, packing, quality, secrets, substrings, suffixtree
+from . import jaccard, licenses, mixing, neardup, packing, quality, secrets, substrings, suffixtree, toxicity
 
 
 def _tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +22,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neardup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
@@ -32,6 +37,22 @@ def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"]))), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"].cast("string"), m["end"].cast("string"), F.round(m["coverage"], 4).cast("string"))), ",").alias("spans"),
+    )
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels, ("low_quality", "toxic"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -64,8 +85,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_tree_scores": op4_suffix_tree_scores,
+    "op5_license_scan": op5_license_scan,
+    "op6_toxicity_chain": op6_toxicity_chain,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII character but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Bytes of text handled at once; the arrays made on the way take about 40 times as much.
 SLICE = 1 << 20
 
@@ -74,9 +76,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def _span_words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _span_words(raw: np.ndarray, edges: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of raw; edges: where texts begin (a word never crosses one)."""
-    word = ~SPACE[raw]
+    word = ~breaks[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = word[:-1]
     before[edges] = False
@@ -106,14 +108,14 @@ def _cuts(raw: np.ndarray, size: int) -> list[int]:
 class Words:
     """The words of some texts: doc (index of the text), start and end (bytes of raw), hash; bounds: first word of each text."""
 
-    def __init__(self, column: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (7,)) -> None:
+    def __init__(self, column: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (7,), breaks: np.ndarray = SPACE) -> None:
         self.raw, self.offs = raw, offs = text_buffers(column)
         starts, ends, hashes = [], [], [[] for _ in seeds]
         cuts = _cuts(raw, SLICE)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             edges = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
             piece = raw[lo:hi]
-            s, e = _span_words(piece, edges)
+            s, e = _span_words(piece, edges, breaks)
             starts.append(s + lo)
             ends.append(e + lo)
             power, inverse = powers(len(piece) + 1)
