@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..runtime import let
+
 # Letters that Turkish folding maps one to one, and endings that light stemming strips, longest first.
 TURKISH = ("çğıöşüâîûÇĞİÖŞÜÂÎÛI", "cgiosuaiuCGIOSUAIUI")
 ENDINGS = ("ations", "ation", "ings", "ing", "ers", "ies", "ed", "er", "es", "ly", "s")
@@ -67,10 +69,22 @@ def norm_label(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+def character_runs(text: Column, k: int) -> Column:
+    """Every run of k characters, in order, in time linear in the text; none for a shorter text."""
+
+    def run(chars: Column) -> Column:
+        out = chars
+        for i in range(1, k):
+            out = F.zip_with(out, F.slice(chars, i + 1, F.greatest(F.size(chars) - i, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.filter(out, lambda x: x.isNotNull())
+
+    return let(F.split(text, ""), run)
+
+
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct runs of k characters; the whole text if it is shorter."""
-    many = F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(many, lambda i: F.substring(text, i, F.lit(k)))))
+    short = F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) <= k, short).otherwise(F.array_distinct(character_runs(text, k)))
 
 
 def entropy(text: Column) -> Column:

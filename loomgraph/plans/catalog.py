@@ -534,7 +534,7 @@ def affected_packages(spark: SparkSession, d: str) -> DataFrame:
     return history.affected_packages(changed, packages, depends).withColumn("distance", F.col("distance").cast("int"))
 
 
-@query("select json_extract_string(props,'$.k')::int % 5 surface, event_type name, count(*) calls, round(sum(value),3) seconds from events group by rollup(surface, name)")
+@query("select json_extract_string(props,'$.k')::int % 5 surface, event_type name, count(*) calls, round(sum(value),3) as \"seconds\" from events group by rollup(surface, name)")
 def usage_rollup(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     log = e.select((F.get_json_object("props", "$.k").cast("int") % 5).alias("surface"), F.col("event_type").alias("name"), F.col("value").alias("seconds"))
@@ -620,7 +620,7 @@ def regex_search_indexed(spark: SparkSession, d: str) -> DataFrame:
     return search.regex_search(files, "licensed under the [A-Z]+", search.postings(files))
 
 
-@query("select t tri, count(*) files from (select item_id, unnest(list_distinct(list_transform(range(1,length(text)-1), i -> substring(lower(text), i, 3)))) t from benchmark where length(text)>=3) group by 1")
+@query("select t tri, count(*) files from (select item_id, unnest(list_distinct(list_transform(range(1,length(text)-1), lambda i: substring(lower(text), i, 3)))) t from benchmark where length(text)>=3) group by 1")
 def trigram_postings(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("file"), "text")
     return search.postings(b).groupBy("tri").agg(F.count("*").alias("files"))
@@ -644,7 +644,7 @@ def tokens_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with u as (select doc_id uid, {TOK.format('text')} b, {TOK.format('source')} n, {TOK.format('lang')} p from documents),
- c as (select uid, len(b) l, len(n) nl, len(list_filter(b,x->x='moron')) b0, len(list_filter(n,x->x='moron')) n0, len(list_filter(p,x->x='moron')) p0, len(list_filter(b,x->x='license')) b1, len(list_filter(n,x->x='license')) n1, len(list_filter(p,x->x='license')) p1, len(list_filter(b,x->x='src7')) b2, len(list_filter(n,x->x='src7')) n2, len(list_filter(p,x->x='src7')) p2 from u),
+ c as (select uid, len(b) l, len(n) nl, len(list_filter(b,lambda x: x='moron')) b0, len(list_filter(n,lambda x: x='moron')) n0, len(list_filter(p,lambda x: x='moron')) p0, len(list_filter(b,lambda x: x='license')) b1, len(list_filter(n,lambda x: x='license')) n1, len(list_filter(p,lambda x: x='license')) p1, len(list_filter(b,lambda x: x='src7')) b2, len(list_filter(n,lambda x: x='src7')) n2, len(list_filter(p,lambda x: x='src7')) p2 from u),
  s as (select count(*) t, avg(l) al, avg(nl) an, count(*) filter (where b0+n0+p0>0) d0, count(*) filter (where b1+n1+p1>0) d1, count(*) filter (where b2+n2+p2>0) d2 from c),
  f as (select c.*, s.*, b0/(0.25+0.75*l/al)+3.0*n0/(0.7+0.3*nl/an)+0.5*p0 t0, b1/(0.25+0.75*l/al)+3.0*n1/(0.7+0.3*nl/an)+0.5*p1 t1, b2/(0.25+0.75*l/al)+3.0*n2/(0.7+0.3*nl/an)+0.5*p2 t2 from c, s where b0+n0+p0+b1+n1+p1+b2+n2+p2>0),
  g as (select uid, ln(1+(t-d0+0.5)/(d0+0.5))*t0/(1.2+t0) + 0.5*ln(1+(t-d1+0.5)/(d1+0.5))*t1/(1.2+t1) + 0.25*ln(1+(t-d2+0.5)/(d2+0.5))*t2/(1.2+t2) score from f)
@@ -720,7 +720,7 @@ def norm_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.norm_label(F.concat_ws(" ", "p_name", "p_brand")).alias("label"))
 
 
-@query("select o_orderkey, lower(o_orderpriority) folded, list_transform(regexp_extract_all(replace(o_clerk,'#','_'), '[A-Za-z]+|[0-9]+'), x -> lower(x)) parts from (select o_orderkey, o_orderpriority, 'Order_item'||o_orderkey o_clerk from orders)")
+@query("select o_orderkey, lower(o_orderpriority) folded, list_transform(regexp_extract_all(replace(o_clerk,'#','_'), '[A-Za-z]+|[0-9]+'), lambda x: lower(x)) parts from (select o_orderkey, o_orderpriority, 'Order_item'||o_orderkey o_clerk from orders)")
 def split_identifier(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select("o_orderkey", T.fold_tr(F.lower("o_orderpriority")).alias("folded"), T.split_identifier(F.concat(F.lit("Order_item"), F.col("o_orderkey").cast("string"))).alias("parts"))
@@ -737,10 +737,10 @@ def label_tiers(spark: SparkSession, d: str) -> DataFrame:
     return search.label_tiers(adapter.nodes(spark, d), "part/Brand#12").withColumn("tier", F.col("tier").cast("int"))
 
 
-@query("select doc_id, list_distinct(list_transform(regexp_extract_all(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)',1), x -> lower(x))) tables from (select doc_id, regexp_replace(text,'[^ -~]',' ','g') as text from documents where doc_id%10=3 or true) where lang='en' and regexp_matches(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)') and not regexp_matches(text,'--|/\\*|''')")
+@query("select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)',1), lambda x: lower(x)))) tables from (select doc_id, lang, regexp_replace(text,'[^ -~]',' ','g') as text from documents) where lang='en' and regexp_matches(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)') and not regexp_matches(text,'--|/\\*|''')")
 def schema_lineage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^ -~]", " ").alias("text")).where("not text rlike '--|/[*]|\\''")
-    return docs.select("doc_id", T.sql_tables(F.col("text")).alias("tables")).where("size(tables) > 0")
+    return docs.select("doc_id", F.sort_array(T.sql_tables(F.col("text"))).alias("tables")).where("size(tables) > 0")
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) href from pages")
@@ -823,7 +823,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     root = f"{shared_dir(spark)}/loomgraph/stream-{uuid.uuid4().hex}"
-    stream = flows.deduplicated(_stream_folder(spark, d), ["event_id"]).select("event_id", "event_type")
+    stream = flows.deduplicated(_stream_folder(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"]).select("event_id", "event_type")
     flows.run_once(stream, lambda df, _: df.write.mode("append").parquet(f"{root}/out"), f"{root}/state")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
