@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import let
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Documents whose n-grams make the trusted distribution, at most: those of the lowest hashes of doc_id.
 TRUSTED_ROWS = 20_000
@@ -29,8 +31,8 @@ def _shift(values: Column, k: int) -> Column:
 
 def _pairs(values: Column, k: int) -> Column:
     """A hash of values[i] and values[i + k] for every i that has both."""
-    short = F.slice(values, 1, F.greatest(F.size(values) - k, F.lit(0)))
-    return F.zip_with(short, _shift(values, k), lambda a, b: F.xxhash64(a, b))
+    short = lambda v: F.slice(v, 1, F.greatest(F.size(v) - k, F.lit(0)))
+    return let(values, lambda v: F.zip_with(short(v), _shift(v, k), lambda a, b: F.xxhash64(a, b)))
 
 
 def window_hashes(tokens: Column) -> Column:
@@ -53,6 +55,16 @@ def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
 
 
+def word_counts(text: Column) -> Column:
+    """struct(n, repeated): words of a text, and those in windows that occur twice; each array is made once a row."""
+
+    def of_hashes(w: Column, h: Column) -> Column:
+        repeated = F.when(F.size(F.array_distinct(h)) < F.size(h), covered_by_repeats(h)).otherwise(F.lit(0))
+        return F.struct(F.size(w).alias("n"), repeated.alias("repeated"))
+
+    return let(words(text), lambda w: let(window_hashes(w), lambda h: of_hashes(w, h)))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id and text with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
 
@@ -61,23 +73,22 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select(
+    bare = F.col("text").cast("string")
+    counts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        words(F.col("text")).alias("q_words"),
-        lines.alias("q_lines"),
+        bare.alias("text"),
+        word_counts(bare).alias("q"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("q_dup"),
     )
-    second = first.withColumn("q_hashes", window_hashes(F.col("q_words")))
-    repeats = F.when(F.size(F.array_distinct("q_hashes")) < F.size("q_hashes"), covered_by_repeats(F.col("q_hashes"))).otherwise(F.lit(0))
     bare = F.col("text")
-    return second.select(
+    return counts.select(
         "doc_id",
         "text",
-        F.size("q_words").cast("long").alias("n_words"),
+        F.col("q.n").cast("long").alias("n_words"),
         F.coalesce(F.length(F.regexp_replace(bare, BLANKS, "")), F.lit(0)).cast("long").alias("word_chars"),
         F.coalesce(F.length(bare) - F.length(F.regexp_replace(bare, r"[#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        repeats.cast("long").alias("n_repeat_words"),
+        F.col("q_dup").cast("long").alias("n_dup_lines"),
+        F.col("q.repeated").cast("long").alias("n_repeat_words"),
     )
 
 
@@ -113,6 +124,12 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: fl
     return [round(1e6 * (math.log((t + smoothing) / n) - math.log((r + smoothing) / m))) for t, r in zip(target, raw, strict=True)]
 
 
+def gram_score(text: Column, ratios: Column, buckets: int) -> Column:
+    """struct(n, total): n-grams of a text and the sum of their ratios."""
+    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
+    return let(grams(shapes(text), buckets), lambda g: F.struct(F.size(g).cast("long").alias("n"), total(g).alias("total")))
+
+
 def judge(docs: DataFrame, trusted: DataFrame, buckets: int = 4096, threshold: float = -0.06) -> DataFrame:
     """doc_id, base counts, base_failed, score (mean log-likelihood ratio of its n-grams), kept, for every document.
 
@@ -123,10 +140,9 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = 4096, threshold: f
     """
     table = ratio_table(docs, trusted, buckets)
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
-    counts = base_counts(docs).withColumn("q_grams", grams(shapes(F.col("text")), buckets))
-    total = F.aggregate("q_grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
+    counts = base_counts(docs).withColumn("q_score", gram_score(F.col("text"), ratios, buckets))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.size("q_grams").cast("long").alias("q_n"), total.alias("q_total"))
+    scored = counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("q_score.n").alias("q_n"), F.col("q_score.total").alias("q_total"))
     return scored.select(
         "doc_id",
         "n_words",
@@ -145,9 +161,7 @@ def keep_good(docs: DataFrame, trusted: DataFrame, **options: object) -> DataFra
     columns = docs.columns
     buckets, threshold = int(options.get("buckets", 4096)), float(options.get("threshold", -0.06))
     ratios = F.split(F.lit(",".join(map(str, ratio_table(docs, trusted, buckets)))), ",").cast("array<long>")
-    held = docs.select(*columns, words(F.col("text")).alias("q_words"), grams(shapes(F.col("text")), buckets).alias("q_grams"))
-    held = held.withColumn("q_hashes", window_hashes(F.col("q_words")))
-    repeats = F.when(F.size(F.array_distinct("q_hashes")) < F.size("q_hashes"), covered_by_repeats(F.col("q_hashes"))).otherwise(F.lit(0))
-    total = F.aggregate("q_grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
-    n = F.size("q_words").cast("long")
-    return held.where((n >= 20) & (100 * repeats.cast("long") <= 30 * n) & (total >= F.lit(round(threshold * 1e6)) * F.size("q_grams").cast("long"))).select(*columns)
+    w, g = F.col("q_words"), F.col("q_score")
+    held = docs.select(*columns, word_counts(F.col("text")).alias("q_words"), gram_score(F.col("text"), ratios, buckets).alias("q_score"))
+    good = (w["n"] >= 20) & (100 * w["repeated"].cast("long") <= 30 * w["n"].cast("long")) & (g["total"] >= F.lit(round(threshold * 1e6)) * g["n"])
+    return held.where(good).select(*columns)
