@@ -444,9 +444,9 @@ def hotspot_rank(spark: SparkSession, d: str) -> DataFrame:
 _BLAME = "b as (select l_partkey file, l_suppkey author, sum(l_quantity)::bigint lines, max(l_shipdate) last from lineitem group by 1,2)"
 
 
-@query(f"with {_BLAME} select file, author, lines, round(lines*1.0/sum(lines) over (partition by file),6) share, row_number() over (partition by file order by lines desc, author)::int place from b")
+@query(f"with {_BLAME} select file, author, lines, floor(lines::double/(sum(lines) over (partition by file))::double*1e6)::bigint share_ppm, row_number() over (partition by file order by lines desc, author)::int place from b")
 def ownership_share(spark: SparkSession, d: str) -> DataFrame:
-    return history.ownership(adapter.blame(spark, d)).withColumn("share", F.round("share", 6))
+    return history.ownership(adapter.blame(spark, d)).withColumn("share_ppm", F.floor(F.col("share") * 1e6)).drop("share")
 
 
 @query(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
+import time
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +77,6 @@ def let(value, body):
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package: a zip of it, sent once a context, so that workers need no path of their own."""
-    import os
-    import zipfile
-
     context = spark.sparkContext
     if getattr(context, "_loomgraph_shipped", False):
         return
@@ -92,8 +93,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more; it works in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
