@@ -17,7 +17,7 @@ from ..runtime import saved
 from .textkernel import batches
 
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class WordIds(dict):
@@ -38,7 +38,12 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.encode(word.decode())
+        text = word.decode()
+        if len(text) > 1 and text[-1] in ",." and text[-2].isalpha():  # the tokenizer always splits these two apart
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = self.encode(text)
+        self[word] = ids
         return ids
 
     def text(self, raw: bytes) -> bytes:
@@ -46,7 +51,7 @@ class WordIds(dict):
             return self.encode(raw.decode())
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, raw.split()))
+        return b"".join(map(self.__getitem__, raw.lower().split()))  # it lower-cases anyway; bytes.lower() does A-Z
 
 
 @lru_cache(maxsize=2)
