@@ -106,7 +106,8 @@ def grams(tokens: Column, buckets: int) -> Column:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 0.5) -> list[int]:
-    """For every bucket, 1e6 times the natural logarithm of its trusted over its raw probability, rounded.
+    """For every bucket, 1e6 times the natural logarithm of its trusted over its raw probability, rounded. Both counts are
+    smoothed on the raw corpus's scale, so that a small trusted corpus is not at a disadvantage.
 
     trusted: doc_id of trusted documents, TRUSTED_ROWS at most. Raw counts are of all documents. Only ``buckets`` rows of
     counts reach the driver. No trusted document: all zero, so that every document is at the threshold's mercy equally.
@@ -120,8 +121,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: fl
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
         return [0] * buckets
-    n, m = sum(target) + smoothing * buckets, sum(raw) + smoothing * buckets
-    return [round(1e6 * (math.log((t + smoothing) / n) - math.log((r + smoothing) / m))) for t, r in zip(target, raw, strict=True)]
+    scale = sum(raw) / sum(target)
+    return [round(1e6 * math.log((t * scale + smoothing) / (r + smoothing))) for t, r in zip(target, raw, strict=True)]
 
 
 def gram_score(text: Column, ratios: Column, buckets: int) -> Column:

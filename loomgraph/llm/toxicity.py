@@ -63,7 +63,8 @@ def fit(doc: np.ndarray, word: np.ndarray, dense: np.ndarray, label: np.ndarray,
     """
     n, positive = len(label), float(label.sum())
     if not positive or positive == n:
-        return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(dense.shape[1]), float(_logit(np.array([(positive + 0.5) / (n + 1)]))[0]))
+        rate = (positive + 0.5) / (n + 1) if n else 0.0
+        return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(dense.shape[1]), float(_logit(np.array([rate]))[0]))
     names, column = np.unique(word, return_inverse=True)
     df = np.bincount(column, minlength=len(names)).astype(float)
     hits = np.bincount(column, label[doc], len(names))
