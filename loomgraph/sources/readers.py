@@ -199,8 +199,9 @@ def blame_log(spark: SparkSession, path: str) -> DataFrame:
 
 def usage_log(spark: SparkSession, path: str) -> DataFrame:
     """(surface, name, seconds, chars, ok, broken) of a log of one JSON object a line; unreadable lines have broken set."""
-    schema = "surface string, name string, seconds double, chars long, ok boolean, broken string"
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    raw = spark.read.text(path).where("trim(value) <> ''")
+    row = raw.select(F.from_json("value", "surface string, name string, seconds double, chars long, ok boolean").alias("r"), F.when(F.try_parse_json("value").isNull(), F.col("value")).alias("broken"))
+    return row.select("r.*", "broken")
 
 
 def manifests(files: DataFrame) -> DataFrame:
