@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import Saved, saved, tidy
 from .textkernel import Words, batches, gram_hashes
 
 SEED = 10
@@ -81,12 +81,12 @@ def _windows(window: int):
             offs = pa.array(np.searchsorted(docs, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.record_batch(
                 [
-                    *(batch.column(c) for c in ("doc_id", "text_id", "mult", "text")),
+                    *(batch.column(c) for c in ("cid", "mult", "text")),
                     pa.ListArray.from_arrays(offs, pa.array(one[index].astype(np.int64))),
                     pa.ListArray.from_arrays(offs, pa.array(two[index].astype(np.int64))),
                     pa.ListArray.from_arrays(offs, pa.array(starts - words.bounds[docs] if len(starts) else docs, pa.int32())),
                 ],
-                ["doc_id", "text_id", "mult", "text", "h1", "h2", "at"],
+                ["cid", "mult", "text", "h1", "h2", "at"],
             )
 
     return run
@@ -110,7 +110,7 @@ def _cut(window: int):
                 joined = b" ".join([raw[a:b] for a, b in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)])
                 shas.append(hashlib.sha256(joined).hexdigest())
                 kept.append(joined.decode())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_id"), pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept)], ["c_doc", "c_text", "n_removed", "sha", "kept_text"])
+            yield pa.record_batch([batch.column("cid"), pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept)], ["cid", "n_removed", "sha", "kept_text"])
 
     return run
 
@@ -130,26 +130,33 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False) -> Da
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_id", F.unhex(F.md5("text")))
     rows = saved(own.mapInArrow(_seeds(window), "doc_id long, text_id binary, n_words long, whole_sha string, seeds array<long>, places array<int>"), "seeds")
-    classes = saved(rows.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "copies").withColumnRenamed("text_id", "k_text")
+    spark = docs.sparkSession
+    copies = rows.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
+    classes = saved(copies.select(F.col("text_id").alias("k_text"), "rep", "mult", F.monotonically_increasing_id().alias("cid")), "copies")
     one = rows.where("size(seeds) > 0").join(classes, (F.col("text_id") == F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    seeds = saved(one.select("doc_id", "text_id", "mult", F.arrays_zip("seeds", "places").alias("z")), "reps")
-    flat = seeds.select("doc_id", "text_id", "mult", F.explode("z").alias("z")).select("doc_id", "text_id", "mult", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
+    reps = Saved(one.select("cid", "mult", F.arrays_zip("seeds", "places").alias("z")), "reps")
+    tidy(spark)
+    flat = reps.df.select("cid", "mult", F.explode("z").alias("z")).select("cid", "mult", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
     often = flat.groupBy("seed").agg(F.sum("mult").alias("n")).where("n > 1").select("seed")
-    hot = flat.join(often, "seed", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_set("place").alias("hot"), F.first("mult").alias("mult"))
-    wanted = hot.select(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text"), "mult", "hot").hint("shuffle_hash")
-    held = own.join(wanted, own["doc_id"].eqNullSafe(wanted["w_doc"]) & (own["text_id"] == wanted["w_text"])).select("doc_id", "text_id", "mult", "text", "hot")
-    made = saved(held.mapInArrow(_windows(window), "doc_id long, text_id binary, mult long, text string, h1 array<long>, h2 array<long>, at array<int>"), "windows")
-
-    zipped = made.select("doc_id", "text_id", "mult", F.explode(F.arrays_zip("h1", "h2", "at")).alias("z")).select("doc_id", "text_id", "mult", "z.h1", "z.h2", "z.at")
+    hot = saved(flat.select("seed", "cid", "place").join(often, "seed", "left_semi").groupBy("cid").agg(F.collect_set("place").alias("hot")), "hot")
+    reps.drop()
+    tidy(spark)
+    wanted = hot.join(classes, "cid").hint("shuffle_hash")
+    held = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_id"] == wanted["k_text"])).select("cid", "mult", "text", "hot")
+    made = Saved(held.mapInArrow(_windows(window), "cid long, mult long, text string, h1 array<long>, h2 array<long>, at array<int>"), "windows")
+    tidy(spark)
+
+    zipped = made.df.select("cid", "mult", F.explode(F.arrays_zip("h1", "h2", "at")).alias("z")).select("cid", "mult", "z.h1", "z.h2", "z.at")
     again = zipped.groupBy("h1", "h2").agg(F.sum("mult").alias("n")).where("n > 1").select("h1", "h2")
-    repeated = zipped.where("mult = 1").join(again, ["h1", "h2"], "left_semi").groupBy("doc_id", "text_id").agg(F.collect_set("at").alias("repeated"))
-    r = repeated.select(F.col("doc_id").alias("r_doc"), F.col("text_id").alias("r_text"), "repeated").hint("shuffle_hash")
-    texts_of = made.select("doc_id", "text_id", "text")
-    cut_in = texts_of.join(r, texts_of["doc_id"].eqNullSafe(r["r_doc"]) & (texts_of["text_id"] == r["r_text"])).select("doc_id", "text_id", "text", "repeated")
-    cut = saved(cut_in.mapInArrow(_cut(window), "c_doc long, c_text binary, n_removed long, sha string, kept_text string"), "cut")
+    alone = zipped.where("mult = 1").select("h1", "h2", "cid", "at")
+    repeated = saved(alone.join(again, ["h1", "h2"], "left_semi").groupBy("cid").agg(F.collect_set("at").alias("repeated")), "repeated")
+    tidy(spark)
+    cut_in = made.df.select("cid", "text").join(repeated.hint("shuffle_hash"), "cid")
+    cut = saved(cut_in.mapInArrow(_cut(window), "cid long, n_removed long, sha string, kept_text string"), "cut")
+    made.drop()
+    tidy(spark)
     cut = cut if texts else cut.drop("kept_text")
-    final = rows.select("doc_id", "text_id", "n_words", "whole_sha").join(classes, F.col("text_id") == F.col("k_text"))
-    final = final.join(cut, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_id") == F.col("c_text")), "left")
+    final = rows.select("doc_id", "text_id", "n_words", "whole_sha").join(classes, F.col("text_id") == F.col("k_text")).join(cut, "cid", "left")
     copied = (F.col("mult") > 1) & (F.col("n_words") >= window)
     return final.select(
         "doc_id",
