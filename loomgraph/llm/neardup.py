@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph.components import components
-from ..runtime import saved
+from ..runtime import Saved, saved, tidy
 from .textkernel import forest, runs
 
 #: Vectors of the recall audit: those of the lowest hashes of their id.
 AUDIT_ROWS = 1000
+#: Probability with which the partitions of a round may miss a pair at the threshold.
+MISSED = 1e-3
+#: Most classes of a cell's block, and rows of it compared at once.
+BLOCK, CHUNK = 4096, 512
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,46 +77,102 @@ def _buckets(tables: list[int], bits: int):
     return run
 
 
-def _best(k: int):
-    """The k most similar rows of each row within a run."""
+def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph with the symmetric matrix link, breadth first."""
+    free, a, b = link.any(axis=1), [], []
+    while free.any():
+        front = np.array([free.argmax()])
+        free[front] = False
+        while len(front):
+            rows = link[front]
+            new = np.flatnonzero(rows.any(axis=0) & free)
+            a.append(front[rows[:, new].argmax(axis=0)] if len(new) else new)
+            b.append(new)
+            free[new] = False
+            front = new
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, sim: np.ndarray, span: bool) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64()), pa.array(np.full(len(u), span))], ["u", "v", "sim", "span"])
+
+
+def _best(k: int, threshold: float):
+    """Of a cell's block pair: the k most similar rows of each row, and (span) links that span all links between the blocks.
+
+    Every pair is compared, and two rows that are linked are joined by a path of spanning links, however full a list is.
+    """
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(items, ["g", "i", "j"]):
+            raws, one = group.column("raw").to_pylist(), group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            lengths = np.array([len(r) for r in raws])
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                n = len(at)
+                if n < 2:
+                    continue
+                cid, blk, unit = group.column("cid").to_numpy()[at], group.column("blk").to_numpy()[at], unit_rows([raws[x] for x in at])
+                link, m = np.zeros((n, n), bool), min(k, n - 1)
+                for lo in range(0, n, CHUNK):
+                    sims = unit[lo : lo + CHUNK] @ unit.T
+                    own = np.arange(lo, lo + len(sims))
+                    sims[np.arange(len(sims)), own] = -2
+                    if not one:
+                        sims[blk[own][:, None] == blk[None, :]] = -2
+                    link[own] = sims >= threshold
+                    top = np.argpartition(-sims, m - 1, axis=1)[:, :m].ravel()
+                    rows = np.repeat(np.arange(len(sims)), m)
+                    some = sims[rows, top] > -2
+                    yield _pairs(cid[own[rows[some]]], cid[top[some]], sims[rows, top][some], False)
+                a, b = spanning(link | link.T)
+                yield _pairs(cid[a], cid[b], np.full(len(a), threshold), True)
+
+    return run
+
+
+def _local_join(threshold: float):
+    """Pairs of neighbours of one node that improve on the least similar neighbour either of them has, and spanning links."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(items, ["g", "s"]):
+        for group in runs(items, ["u", "s"]):
             n = group.num_rows
-            if n < 2:
+            raws = group.column("raw").to_pylist()
+            if n < 2 or len({len(r) for r in raws}) > 1:
                 continue
-            cid, unit = group.column("cid").to_numpy(), unit_rows(group.column("raw").to_pylist())
+            cid, floor, unit = group.column("v").to_numpy(), group.column("floor").to_numpy(), unit_rows(raws)
             sims = unit @ unit.T
-            np.fill_diagonal(sims, -2)
-            m = min(k, n - 1)
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-            rows = np.repeat(np.arange(n), m)
-            yield pa.record_batch([pa.array(cid[rows]), pa.array(cid[top.ravel()]), pa.array(sims[rows, top.ravel()])], ["u", "v", "sim"])
+            apart = cid[:, None] != cid[None, :]
+            a, b = np.nonzero((sims > np.minimum(floor[:, None], 2)) & apart)
+            if len(a):
+                yield _pairs(cid[a], cid[b], sims[a, b], False)
+            link = (sims >= threshold) & apart
+            a, b = spanning(link | link.T)
+            if len(a):
+                yield _pairs(cid[a], cid[b], np.full(len(a), threshold), True)
 
     return run
 
 
-def _local_join(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours of one node that improve on the least similar neighbour either of them has."""
-    for group in runs(items, ["u", "s"]):
-        n = group.num_rows
-        raws = group.column("raw").to_pylist()
-        if n < 2 or len({len(r) for r in raws}) > 1:
-            continue
-        cid, floor, unit = group.column("v").to_numpy(), group.column("floor").to_numpy(), unit_rows(raws)
-        sims = unit @ unit.T
-        better = sims > np.minimum(floor[:, None], 2)
-        better &= cid[:, None] != cid[None, :]
-        a, b = np.nonzero(better)
-        if len(a):
-            yield pa.record_batch([pa.array(cid[a]), pa.array(cid[b]), pa.array(sims[a, b])], ["u", "v", "sim"])
-
-
-def _top(pairs: DataFrame, k: int, grown: int, threshold: float) -> DataFrame:
-    """The k best neighbours of each node; ``grown`` where they are all similar enough, as a longer list may hold more."""
+def _top(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of each node."""
     best = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
-    return ranked.where((F.col("r") <= k) | ((F.col("sim") >= threshold) & (F.col("r") <= grown))).drop("r")
+    return best.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= k).drop("r")
+
+
+def tables_for(threshold: float, bits: int, least: int) -> int:
+    """Partitions by so many planes until a pair at the threshold shares a cell of one with a probability of 1 - MISSED."""
+    same = min((1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi) ** bits, 1 - 1e-12)
+    return max(least, math.ceil(math.log(MISSED) / math.log1p(-same)))
+
+
+def least_recall(rows: list[tuple[int, int]]) -> float:
+    """The least mean recall of vectors with about as many links (1, 2-3, 4-7, ...); rows: links, and those found, of each."""
+    strata: dict[int, list[float]] = {}
+    for true, found in rows:
+        if true:
+            strata.setdefault(true.bit_length(), []).append(found / true)
+    return min((sum(x) / len(x) for x in strata.values()), default=1.0)
 
 
 def _compare(threshold: float):
@@ -141,7 +201,7 @@ def _compare(threshold: float):
 
 
 def _audit(asked: list[tuple[int, int, bytes]], threshold: float):
-    """Links of the asked vectors, by brute force, and how many of them lie in one component."""
+    """Links of each asked vector, by brute force, and how many of them lie in one component."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list[tuple[int, int, bytes]]] = {}
@@ -149,16 +209,19 @@ def _audit(asked: list[tuple[int, int, bytes]], threshold: float):
             by_dim.setdefault(len(q[2]), []).append(q)
         for batch in items:
             cid, comp, raws = batch.column("cid").to_numpy(), batch.column("g").to_numpy(), batch.column("raw").to_pylist()
-            sizes, true, found = np.array([len(r) for r in raws]), 0, 0
+            sizes = np.array([len(r) for r in raws])
             for dim, qs in by_dim.items():
                 at = np.flatnonzero(sizes == dim)
+                own, unit = np.array([q[0] for q in qs]), unit_rows([q[2] for q in qs])
+                true, found = np.zeros(len(qs), np.int64), np.zeros(len(qs), np.int64)
                 for lo in range(0, len(at), 4096):
                     part = at[lo : lo + 4096]
-                    link = unit_rows([q[2] for q in qs]) @ unit_rows([raws[i] for i in part]).T >= threshold
-                    link &= np.array([q[0] for q in qs])[:, None] != cid[part][None, :]
-                    true += int(link.sum())
-                    found += int((link & (np.array([q[1] for q in qs])[:, None] == comp[part][None, :])).sum())
-            yield pa.record_batch([pa.array([true], pa.int64()), pa.array([found], pa.int64())], ["true", "found"])
+                    link = unit @ unit_rows([raws[i] for i in part]).T >= threshold
+                    link &= own[:, None] != cid[part][None, :]
+                    true += link.sum(axis=1)
+                    found += (link & (np.array([q[1] for q in qs])[:, None] == comp[part][None, :])).sum(axis=1)
+                some = true > 0
+                yield pa.record_batch([pa.array(own[some], pa.int64()), pa.array(true[some]), pa.array(found[some])], ["cid", "true", "found"])
 
     return run
 
@@ -168,13 +231,15 @@ def link_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector; links have cosine >= threshold, in double precision.
 
-    Equal vectors are one class. The neighbour graph starts from ``tables`` random-plane partitions (about ``leaf``
-    classes a cell, cells of more dealt to parts of four leaves), keeps the ``k`` best of each node, and is refined by
-    ``rounds`` of NN-descent: every node compares its neighbours and reverse neighbours with each other (in parts of 64,
-    so a hub is many tasks). A list whose neighbours all pass the threshold is saturated and doubles each round; then the
-    links found form components, and within these every pair is compared, so lists that still were too short lose
-    nothing. Recall is audited against brute force for AUDIT_ROWS vectors; while it is under ``target``, new partitions
-    and another round follow, ``most_rounds`` in all.
+    Equal vectors are one class. The neighbour graph starts from random-plane partitions (about ``leaf`` classes a cell;
+    ``tables`` at a time, and as many in all as a pair at the threshold needs to share a cell but once in 1 / MISSED).
+    All pairs of a cell are compared, a large cell's as pairs of blocks. The graph keeps the ``k`` best of each node, and is
+    refined by ``rounds`` of NN-descent: every node compares its neighbours and reverse neighbours with each other (in
+    parts of 64, so a hub is many tasks). Both also give links that span all those they saw, which no length of list cuts;
+    these and the graph's form components, and within these every pair is compared. Recall is audited against brute
+    force for AUDIT_ROWS vectors, by the number of links; while a class of vectors is under ``target``, new partitions and
+    another round follow, ``most_rounds`` in all, and then every pair of classes is compared. So it is at once for so few
+    classes that the cells would hold as many pairs.
 
     Null, zero or empty vectors and those with null or non-finite components link with nothing; neither do vectors of
     different lengths. Null vec_id: compared like any other. Repeated rows are equal vectors. Empty table: no rows. Extra
@@ -188,29 +253,57 @@ def link_vectors(
     bits = max(0, round(math.log2(max(n, 1) / leaf)))
     lowest = classes.orderBy(F.xxhash64("rep"), "cid").limit(AUDIT_ROWS).select("cid", "raw").collect()
 
-    graph, at, done = None, 0, 0
+    graph, spans, at, done = None, None, 0, 0
+    schema = "u long, v long, sim double, span boolean"
+    most = tables_for(threshold, bits, tables)
+    whole = n <= most * leaf
+
+    def add(found: DataFrame) -> None:
+        nonlocal graph, spans
+        step = Saved(found, "pairs")
+        new, span = step.df.where("not span").select("u", "v", "sim"), step.df.where("span").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        old = graph, spans
+        graph = Saved(_top(new if graph is None else graph.df.union(new), k), "graph")
+        spans = Saved((span if spans is None else spans.df.union(span)).distinct(), "spans")
+        for x in (step, *old):
+            if x is not None:
+                x.drop()
+        tidy(own.sparkSession)
+
+    def partition(numbers: list[int], planes: int) -> None:
+        dealt = classes.select("cid", "raw").mapInArrow(_buckets(numbers, planes), "g long, cid long, raw binary")
+        counts = classes.select("cid", "raw").mapInArrow(_buckets(numbers, planes), "g long, cid long, raw binary").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        cells = dealt.join(counts, "g", "left").withColumn("many", F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int"))
+        split = cells.withColumn("blk", F.pmod(F.xxhash64("cid", "g"), F.col("many")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        blocks = split.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "raw")
+        add(blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_best(k, threshold), schema))
+
     while True:
-        dealt = classes.select("cid", "raw").mapInArrow(_buckets(list(range(at, at + tables)), bits), "g long, cid long, raw binary")
-        at += tables
-        sized = dealt.join(dealt.groupBy("g").agg(F.count("*").alias("n")), "g").withColumn("s", F.pmod(F.xxhash64("cid", "g"), F.ceil(F.col("n") / F.lit(4 * leaf))))
-        first = sized.select("g", "s", "cid", "raw").repartition("g", "s").sortWithinPartitions("g", "s").mapInArrow(_best(k), "u long, v long, sim double")
-        graph = saved(_top(first if graph is None else graph.union(first), k, k, threshold), "graph")
-        for _ in range(rounds):
-            done += 1
-            floors = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).select(F.col("u").alias("cid"), F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("low")).alias("floor"))
-            about = classes.select("cid", "raw").join(floors, "cid", "left").select(F.col("cid").alias("v"), "raw", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-            both = graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-            degree = both.groupBy("u").agg(F.count("*").alias("n"))
-            near = both.join(degree, "u").withColumn("s", F.pmod(F.xxhash64("v", "u"), F.ceil(F.col("n") / F.lit(64)))).join(about, "v")
-            found = near.select("u", "s", "v", "raw", "floor").repartition("u", "s").sortWithinPartitions("u", "s").mapInArrow(_local_join, "u long, v long, sim double")
-            graph = saved(_top(graph.union(found), k, k << done, threshold), "graph")
-        linked = saved(components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))), "linked")
+        if whole:
+            partition([0], 0)
+        else:
+            for lo in range(at, at + most, tables):
+                partition(list(range(lo, min(lo + tables, at + most))), bits)
+            at += most
+            for _ in range(rounds):
+                floors = graph.df.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).select(F.col("u").alias("cid"), F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("low")).alias("floor"))
+                about = classes.select("cid", "raw").join(floors, "cid", "left").select(F.col("cid").alias("v"), "raw", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+                both = graph.df.select("u", "v").union(graph.df.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+                degree = both.groupBy("u").agg(F.count("*").alias("n"))
+                near = both.join(degree, "u").withColumn("s", F.pmod(F.xxhash64("v", "u"), F.ceil(F.col("n") / F.lit(64)))).join(about, "v")
+                add(near.select("u", "s", "v", "raw", "floor").repartition("u", "s").sortWithinPartitions("u", "s").mapInArrow(_local_join(threshold), schema))
+        done += 1
+        links = graph.df.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        linked = saved(components(links.union(spans.df)), "linked")
         placed = classes.select("cid", "raw", "mult").join(linked.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+        if whole:
+            break
         comp = {r["cid"]: r["g"] for r in placed.join(classes.orderBy(F.xxhash64("rep"), "cid").limit(AUDIT_ROWS).select("cid"), "cid").select("cid", "g").collect()}
         asked = [(r["cid"], comp[r["cid"]], bytes(r["raw"])) for r in lowest]
-        seen = placed.select("cid", "g", "raw").mapInArrow(_audit(asked, threshold), "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
-        if not seen["t"] or seen["f"] >= target * seen["t"] or done >= most_rounds:
+        seen = placed.select("cid", "g", "raw").mapInArrow(_audit(asked, threshold), "cid long, true long, found long").groupBy("cid").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).collect()
+        if least_recall([(r["t"], r["f"]) for r in seen]) >= target:
             break
+        whole = done >= most_rounds
 
     sizes = linked.groupBy("component").agg(F.count("*").alias("n"))
     members = placed.join(sizes, F.col("g") == F.col("component"))
@@ -219,9 +312,9 @@ def link_vectors(
     pairs = split.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "mult", "raw").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     judged = saved(pairs.mapInArrow(_compare(threshold), "a long, b long, w long"), "judged")
     links = judged.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("links"))
-    whole = components(judged.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
-    reps = whole.join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("least"))
-    final = classes.join(whole.join(reps, "component").select("cid", "least"), "cid", "left").join(links, "cid", "left")
+    joined = components(judged.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
+    reps = joined.join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("least"))
+    final = classes.join(joined.join(reps, "component").select("cid", "least"), "cid", "left").join(links, "cid", "left")
     answer = final.select(F.col("key").alias("c_key"), F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least")).alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     out = rows.select("vec_id", "key").join(answer, F.col("key") == F.col("c_key"), "left")
     component = F.when(F.col("c_key").isNull(), F.col("vec_id")).otherwise(F.col("root"))

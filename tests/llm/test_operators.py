@@ -105,6 +105,42 @@ def test_embeddings_link_as_by_brute_force(spark):
     assert neardup.link_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def unit(v):
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+@pytest.mark.parametrize("leaf", [128, 2])
+def test_links_between_dense_groups_are_found(spark, leaf):
+    r = np.random.default_rng(11)
+    a, b = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+    near = lambda center, n: center + 0.01 * r.standard_normal((n, 32))
+    v = unit(np.concatenate([near(a, 40), near(0.93 * a + math.sqrt(1 - 0.93**2) * b, 40), r.standard_normal((200, 32))]))
+    link = v @ v.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert (v[:40] @ v[:40].T).min() > 0.95 and link[:40, 40:80].mean() > 0.5 and not link[80:].any()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neardup.link_vectors(df, leaf=leaf).toPandas().set_index("vec_id").sort_index()
+    assert got.n_links.tolist() == link.sum(axis=1).tolist() and (got.component_id[:80] == 0).all()
+
+
+def test_partitions_and_audit_answer_for_isolated_pairs():
+    for bits in (4, 9, 16):
+        same = (1 - math.acos(0.9) / math.pi) ** bits
+        assert (1 - same) ** neardup.tables_for(0.9, bits, 6) <= neardup.MISSED
+    assert neardup.tables_for(0.9, 1, 6) == 6 and neardup.tables_for(1.0, 20, 6) == 6
+    assert neardup.least_recall([(7999, 7999)] * 200 + [(1, 1)] * 9 + [(1, 0), (0, 0)]) == 0.9 and neardup.least_recall([]) == 1.0
+
+
+def test_isolated_pairs_beside_a_dense_group(spark):
+    r = np.random.default_rng(12)
+    left, other = unit(r.standard_normal((150, 64))), r.standard_normal((150, 64))
+    other = unit(other - (other * left).sum(axis=1, keepdims=True) * left)
+    v = np.concatenate([left, 0.905 * left + math.sqrt(1 - 0.905**2) * other, unit(r.standard_normal(64) + 0.02 * r.standard_normal((400, 64))), unit(r.standard_normal((3000, 64)))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neardup.link_vectors(df, leaf=16).where("vec_id < 300").toPandas().set_index("vec_id")
+    assert sum(got.component_id[150 + i] == i for i in range(150)) >= 149
+
+
 def brute_quality(t):
     w = words(t)
     runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
