@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,26 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "All-rights-reserved": "All rights reserved. No part of this may be reproduced without permission.",
+    "All-rights-reserved": "All rights reserved.",
+    "All-rights-reserved-full": "All rights reserved. No part of this may be reproduced without permission.",
 }
 
 
+def _whole_texts(least: int = 12) -> dict[str, str]:
+    """The license texts beside this file, each whole and by paragraphs of at least so many words, as clauses are copied alone."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    made, known = {}, [words(t) for t in TEMPLATES.values()]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        made[f"{path.stem}-text"] = text
+        parts = [p for p in re.split(r"\n\s*\n", text) if len(words(p)) >= least and words(p) not in known]
+        made |= {f"{path.stem}-text-{k}": p for k, p in enumerate(parts, 1)}
+    return made
+
+
+TEMPLATES |= _whole_texts()
+
+
 class Index:
     """Winnowed fingerprints of the templates: sorted hashes with the template and place of each."""
 
@@ -97,6 +115,16 @@ def align(template: np.ndarray, text: np.ndarray, at: int, band: int = BAND) ->
     return best[0], best[2], best[3] + 1
 
 
+def _within(template: np.ndarray, text: np.ndarray, at: int, band: int = BAND) -> int:
+    """How many words of template text has anywhere in the band, which align's matches cannot exceed."""
+    hit, n, m = np.zeros(len(template), bool), len(template), len(text)
+    for shift in range(at - band, at + band + 1):
+        lo, hi = max(0, -shift), min(n, m - shift)
+        if lo < hi:
+            hit[lo:hi] |= template[lo:hi] == text[lo + shift : hi + shift]
+    return int(hit.sum())
+
+
 def find(index: Index, hashes: np.ndarray, grams: np.ndarray, places: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(template, coverage, first word, last word + 1) of one text, by place; the best of matches that overlap."""
     lo, hi = np.searchsorted(index.hashes, grams, "left"), np.searchsorted(index.hashes, grams, "right")
@@ -110,6 +138,8 @@ def find(index: Index, hashes: np.ndarray, grams: np.ndarray, places: np.ndarray
         own = index.words[t]
         begin = max(0, diagonal - BAND)
         stretch = hashes[begin : diagonal + len(own) + BAND + 1]
+        if _within(own, stretch, diagonal - begin) < least * len(own):  # no alignment can match more
+            continue
         matched, first, last = align(own, stretch, diagonal - begin)
         if matched and matched / len(own) >= least:
             found.append((t, matched / len(own), begin + first, begin + last, matched))

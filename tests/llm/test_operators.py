@@ -217,6 +217,22 @@ def test_license_spans(spark, fixture):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(df).count() == df.count()
 
 
+def test_every_notice_and_whole_license_has_its_full_span(spark):
+    notices = {n: t for n, t in licenses.TEMPLATES.items() if not re.search(r"-text-\d+$", n)}
+    whole = [n for n in notices if n.endswith("-text")]
+    assert {"MIT-text", "Apache-2.0-text", "BSD-3-Clause-text", "GPL-3.0-text"} == set(whole) and "All-rights-reserved" in notices
+    clause = licenses.TEMPLATES["MIT-text"].strip().split("\n\n")[-1]
+    rows = [(n, f"before it\n{t}\nafter it") for n, t in notices.items()] + [("clause", f"before it\n{clause}\nafter it")]
+    got = {r["doc_id"]: r["matches"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, (name, text) in enumerate(rows):
+        assert len(got[i]) == 1, (name, got[i])
+        (m,) = got[i]
+        inner = re.sub(r"^before it|after it$", "", text)
+        ends = [x.span() for x in re.finditer(r"[A-Za-z0-9]+", inner)]
+        assert (m["start"], m["end"], m["coverage"]) == (9 + ends[0][0], 9 + ends[-1][1], 1.0), (name, m)
+        assert name == "clause" or m["template"] == name, (name, m)
+
+
 def brute_align(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
