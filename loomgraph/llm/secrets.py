@@ -14,13 +14,13 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Strings that look random and are not secret: UUIDs, placeholders, runs of the alphabet, plain numbers and words.
+#: Segments of a candidate that hold a placeholder or a run of the alphabet, with the separators around; the rest is judged.
+PLACEHOLDER = r"[/=_-]*[A-Za-z0-9+]*(?i:example|placeholder|changeme|your[_-]|dummy|lorem|abcdefgh|01234567|12345678|qwertyui)[A-Za-z0-9+]*[/=_-]*"
+#: Strings that look random and are not secret: UUIDs, plain numbers, and words, in which no small letter stands alone beside a capital.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]|dummy|lorem",
-    r"(?i)abcdefgh|01234567|12345678|qwertyui",
     r"^[0-9=_/+-]*$",
-    r"^[A-Za-z=_/+-]*$",
+    r"^(?!.*(?:(?<![a-z])[a-z](?=[A-Z])|(?<=[A-Z])[a-z](?![a-z])))[A-Za-z=_/+-]*$",
 )
 #: Character classes of candidates: name, pattern of the whole string, window, bits a character that make a window hot.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 16, 3.0), ("alnum", r"^[A-Za-z0-9]+$", 20, 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 20, 3.8))
@@ -96,21 +96,39 @@ def hot_windows(string: Column, window: int, bits: float) -> Column:
     return let(places, run)
 
 
+_PIECES = "array<struct<start:int,string:string>>"
+
+
+def _pieces(start: Column, string: Column) -> Column:
+    """What a candidate holds besides its segments of placeholders, in pieces of 20 characters at least."""
+    parts = F.arrays_zip(F.split(string, PLACEHOLDER, -1).alias("string"), F.transform(F.regexp_extract_all(string, F.lit(PLACEHOLDER), F.lit(0)), F.length).alias("gap"))
+    begin = F.struct(start.alias("at"), F.array().cast(_PIECES).alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.array(F.struct(acc["at"].alias("start"), x["string"].alias("string"))).cast(_PIECES)
+        at = acc["at"] + F.length(x["string"]) + F.coalesce(x["gap"], F.lit(0))
+        return F.struct(at.alias("at"), F.when(F.length(x["string"]) >= 20, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    whole = F.array(F.struct(start.alias("start"), string.alias("string"))).cast(_PIECES)
+    return F.when(string.rlike(PLACEHOLDER), F.aggregate(parts, begin, step, lambda acc: acc["found"])).otherwise(whole)
+
+
 def _entropy_spans(text: Column) -> Column:
-    """Spans of hot windows of the candidate strings that no allow-list pattern holds."""
+    """Spans of hot windows of the candidate strings, without segments of placeholders, that no allow-list pattern holds."""
     whole, gaps = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
     zipped = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), whole.alias("string"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,string:string>>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PIECES).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
+        pieces = _pieces(begin, x["string"])
+        return F.struct((begin + F.coalesce(F.length(x["string"]), F.lit(0))).alias("at"), F.when(x["string"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], pieces)).alias("found"))
+
+    def random(x: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | x["string"].rlike(pattern)
-        one = F.array(F.struct(begin.alias("start"), x["string"].alias("string"))).cast("array<struct<start:int,string:string>>")
-        return F.struct(
-            (begin + F.coalesce(F.length(x["string"]), F.lit(0))).alias("at"), F.when(x["string"].isNull() | allowed, acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found")
-        )
+        return ~allowed
 
     def judge(x: Column) -> Column:
         verdict = F.lit(None).cast("struct<first:int,last:int>")
@@ -118,13 +136,13 @@ def _entropy_spans(text: Column) -> Column:
             verdict = F.when(x["string"].rlike(pattern), hot_windows(x["string"], window, bits)).otherwise(verdict)
         return let(verdict, lambda v: F.struct((x["start"] + v["first"]).alias("start"), (x["start"] + v["last"]).alias("end")))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
+    found = F.filter(F.aggregate(zipped, start, step, lambda acc: acc["found"]), random)
     return F.filter(F.transform(found, judge), lambda s: s["start"].isNotNull()).cast(_SPAN)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with its columns and ``secret_spans``: array of (start, rank, kind, end) in code points, by start, then kind
-    (assign, access, hex, entropy). An entropy span that meets a base span is left out, since that secret is known.
+    (assign, access, hex, entropy). An entropy span inside a base span is left out, since that secret is known.
 
     Null text: no spans. Empty table: no rows. Repeated rows are scanned each. A narrow operation: no shuffle, no Python.
     """
@@ -142,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def joined(b: Column) -> Column:
         base = F.concat(tag(b["assign"], 0, "assign"), tag(b["access"], 1, "access"), tag(b["hex"], 2, "hex"))
-        return let(base, lambda known: F.sort_array(F.concat(known, F.filter(tag(b["entropy"], 3, "entropy"), lambda e: ~F.exists(known, lambda k: (k["start"] < e["end"]) & (e["start"] < k["end"]))))))
+        return let(base, lambda known: F.sort_array(F.concat(known, F.filter(tag(b["entropy"], 3, "entropy"), lambda e: ~F.exists(known, lambda k: (k["start"] <= e["start"]) & (e["end"] <= k["end"]))))))
 
     return found.withColumn("secret_spans", let(F.col("secret_base"), joined)).drop("secret_base")
 
