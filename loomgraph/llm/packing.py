@@ -23,8 +23,10 @@ REMEMBERED = 800_000
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit bytes, remembered.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in a row.
-    Texts that hold an added token's string are encoded whole instead.
+    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in a row. It
+    lower-cases after looking for added tokens and after composing marks (J with a caron has no composed form, j has), so
+    A-Z may be lowered first only where neither is concerned: texts that hold an added token in any case are encoded
+    whole, and the words of texts with combining marks keep their case.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,14 +34,14 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folded = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(text) > 1 and text[-1] in ",." and text[-2].isalpha():  # the tokenizer always splits these two apart
+        if len(text) > 1 and text[-1] in ",." and text[-2].isascii() and text[-2].isalpha():  # the tokenizer always splits these two apart
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             ids = self.encode(text)
@@ -47,11 +49,13 @@ class WordIds(dict):
         return ids
 
     def text(self, raw: bytes) -> bytes:
-        if b"<|" in raw and any(x in raw for x in self.added):
-            return self.encode(raw.decode())
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, raw.lower().split()))  # it lower-cases anyway; bytes.lower() does A-Z
+        low = raw.lower()  # bytes.lower() does A-Z
+        if any(x in low for x in self.folded):
+            return self.encode(raw.decode())
+        marks = b"\xcc" in raw or b"\xcd" in raw  # U+0300 to U+037F begin with these bytes
+        return b"".join(map(self.__getitem__, (raw if marks else low).split()))
 
 
 @lru_cache(maxsize=2)
@@ -152,25 +156,28 @@ def pack(
     max_attention: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01),
     rule: str = "norm",
-    salt_rows: int = 50_000,
+    salt_rows: int = 256,
 ) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` ids, ``max_documents`` pieces and ``max_attention`` cost
     (sum of squared lengths); the defaults of the last two never bind.
 
     Only the histogram of piece lengths (``capacity`` rows at most) reaches the driver; the plan made of it goes back as a
-    broadcast of a few rows a length. Pieces get their rank within their length from counts by (length, salt), so a
+    broadcast of a few rows a length. Pieces get their rank within their length from counts by (length, salt), with a
+    salt for every ``salt_rows`` pieces of the length (for more, where all pieces would make over a million salts), so a
     length that many pieces share is spread over tasks.
 
     Null text: an empty document, one piece of the end id. Null doc_id: packed like any other. Repeated rows are packed
-    each. Empty table: no rows. Longer documents are cut; extra columns are ignored.
+    each. Empty table: no rows. Very long texts are tokenised whole and cut into pieces of ``capacity``. Ties, that is
+    pieces of one length, are ranked by salt, doc_id, piece, crc and start. Extra columns are ignored.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     pieces = saved(tokenized_pieces(docs, tokenizer, capacity, end_id), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     bins = plan_bins(histogram, capacity, max_documents or capacity, max_attention or capacity * capacity, weights, rule)
     plan = docs.sparkSession.createDataFrame(bins, "length long, low long, high long, sequence long, per long, offset long")
-    salts = max(1, math.ceil(sum(histogram.values()) / salt_rows))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    each = max(salt_rows, math.ceil(sum(histogram.values()) / 1_000_000))
+    salts = docs.sparkSession.createDataFrame([(n, max(1, math.ceil(count / each))) for n, count in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = counted.select("length", "salt", (F.sum("n").over(order) - F.col("n")).alias("base"))

@@ -64,6 +64,17 @@ def test_packing_cuts_and_places_every_piece(spark, fixture):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids_of, t, r = packing.WordIds(path), Tokenizer.from_file(path), random.Random(1)
+    signs = [*"abcJHTWYxyzABC.,'!-<|>0189 \n\t", "\u0130", "\u0131", "ß", "\u017f", "\u212a", "\u212b", "e\u0301", "\u030c", "\u0331", "\u0308", "\u030a", "\u0307", "Σ", "ǰ", "中", "\u0639", "\u00a0", "\u2003"]
+    signs += ["\u0085", "\x1c", "😀", "\ufb01", "\u1100", "\u1161", "\u11a8", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "J\u030c", "\u01c4", "\u0345"]
+    made = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(15000)]
+    made += [x for c in range(0x80, 0x3000) for x in (f"A{chr(c)}, b", f"J{chr(c)}.")] + ["<|ENDOFTEXT|> a", "A\u0130, b"]
+    for s in made:
+        assert np.frombuffer(ids_of.text(s.encode()), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_all_three_capacities(rule):
     r = random.Random(2)
