@@ -1,327 +1,347 @@
-"""Language-model scores from a probabilistic suffix tree over words."""
+"""Language-model scores from a probabilistic suffix tree over words.
+
+The tree is never in one place. Texts become chunks, saved once as token streams; a chunk asks for what it needs of the
+tree by key (an n-gram or a context), keys are summed up in buckets by hash, and the answers go back to the chunks that
+asked. So the model is as large as the corpus makes it, and nothing of it is gathered on the driver or broadcast.
+"""
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved, tidy
-from .textkernel import Words, batches
+from ..runtime import Saved, tidy
+from .textkernel import Words, batches, mix
 
-#: The end of a text, counted as a token; no word hashes to it but by chance.
-END = np.uint64(0x5EED5EED5EED5EED)
+#: The begin of a text, a symbol of contexts only, and its end, counted as a token; no word hashes to them but by chance.
+BEGIN, END = np.uint64(0xBE61BE61BE61BE61), np.uint64(0x5EED5EED5EED5EED)
+#: Bytes of text in a chunk, and keys in a bucket, about.
+CHUNK, BUCKET = 8 << 20, 1 << 21
 
+_STATE = "chunk long, tokens long, train long, size long, data binary"
+_ASK = "bucket int, kind int, chunk long, at long, size long, data binary"
+_REPLY = "chunk long, kind int, at long, types long, size long, data binary"
 
-class _Counts:
-    """Sums of counts by 64-bit key; parts are merged whenever they have grown to twice the merged size."""
 
-    def __init__(self, kind: type = np.uint64) -> None:
-        self.keys, self.sums, self.parts, self.pending = np.zeros(0, kind), np.zeros(0, np.int64), [], 0
+def _pack(value: object) -> tuple[int, bytes]:
+    raw = pickle.dumps(value, 5)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
-    def add(self, keys: np.ndarray, sums: np.ndarray | None = None) -> None:
-        if sums is None:
-            keys, sums = np.unique(keys, return_counts=True)
-        self.parts.append((keys, sums))
-        self.pending += len(keys)
-        if self.pending > max(1 << 20, len(self.keys)):
-            self.merge()
 
-    def merge(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
-        sums = np.concatenate([self.sums, *(s for _, s in self.parts)])
-        self.keys, index = np.unique(keys, return_inverse=True)
-        self.sums = np.zeros(len(self.keys), np.int64)
-        np.add.at(self.sums, index, sums)
-        self.parts, self.pending = [], 0
+def _unpack(size: int, data: bytes) -> object:
+    return pickle.loads(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True))  # noqa: S301 - written by _pack
 
-    def rows(self, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        self.merge()
-        for lo in range(0, len(self.keys), step):
-            yield self.keys[lo : lo + step], self.sums[lo : lo + step]
 
+def _planes(keys: np.ndarray) -> np.ndarray:
+    """Steps between sorted keys, by byte: the upper bytes are nearly all zero and compress away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The index in the sorted table of each key, -1 where it is not there."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
 
+def _keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-def _vocabulary(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, chunk = _Counts(), None
-    for batch in batches(items):
-        chunk = batch.column("chunk")[0].as_py()
-        words = Words(batch.column("text"), lower=True)
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        keys, index = np.unique(words.hash, return_inverse=True)
-        counts.add(keys, np.bincount(index, weights=train[words.doc], minlength=len(keys)).astype(np.int64))
-        counts.add(np.array([END]), np.array([train.sum()]))
-    if chunk is not None:
-        for keys, sums in counts.rows():
-            yield pa.record_batch([pa.array(np.full(len(keys), chunk, np.int32)), pa.array(keys.astype(np.int64)), pa.array(sums)], ["chunk", "word", "n"])
 
+def extend(gram: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """The key of each n-gram of ``order`` words: gram, of one less, and the word after it."""
+    with np.errstate(over="ignore"):
+        return mix(gram * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(2) + np.uint64(order))
 
-class Tree:
-    """The model: symbols (frequent words), candidate contexts of each order, resolved nodes and their distributions.
 
-    A context of order k is the pair (context of order k - 1 before its last symbol, last symbol); pairs are numbers
-    context * width + symbol, kept sorted. Node 0 is the root; a node's parent is the retained context that is its
-    longest proper suffix.
+class Chunk:
+    """The token streams of some texts (begin, words, end), and what is known of the tree at each of their places.
+
+    count[m] is how often the n-gram of m tokens that ends at a place occurs in training texts, 0 for once or never if
+    m > 1; own marks one place of each n-gram of the last order that this chunk reports; log is the running log10
+    probability of the token at a place, 0 once it has been added to the score of its text.
     """
 
-    def __init__(self, symbols: np.ndarray, counts: np.ndarray, total: int, types: int) -> None:
-        self.symbols, self.counts = symbols, counts  # sorted hashes as uint64
-        self.total, self.types = total, types
-        self.begin, self.width = len(symbols), len(symbols) + 1
-        self.root = np.log10((counts + 1.0) / (total + types + 1))
-        self.orders: list[np.ndarray] = []  # sorted pair numbers of the candidate contexts of each order
-        self.sizes: list[np.ndarray] = []  # how often each was followed by a token
-        self.suffix: list[np.ndarray] = []  # index of the suffix context, one order lower
-        self.node: list[np.ndarray] = []  # the retained node that a candidate resolves to
-        self.parent, self.back = [0], [0.0]  # of nodes: parent, log10 of the mass left to it
-        self.pairs, self.logs = np.zeros(0, np.int64), np.zeros(0)
-
-    def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
-        return _find(self.symbols, hashes)
-
-    def contexts(self, symbol: np.ndarray, first: np.ndarray, upto: int) -> list[np.ndarray]:
-        """For each order, the candidate context before each place; symbol: of each place; first: place begins a text."""
-        found, before = [], np.zeros(len(symbol), np.int64)  # of order 0: one context, the empty one
-        last = np.empty(len(symbol), np.int64)
-        last[1:] = symbol[:-1]
-        last[first] = self.begin
-        for k in range(upto):
-            prior = np.full(len(symbol), -1, np.int64)
-            if k == 0:
-                prior[:] = 0
-            else:
-                prior[1:] = before[:-1]
-                prior[first] = -1
-            pair = np.where((prior >= 0) & (last >= 0), prior * self.width + last, -1)
-            before = _find(self.orders[k], pair)
-            found.append(before)
-        return found
-
-    def add_order(self, pairs: np.ndarray, sizes: np.ndarray) -> None:
-        """Candidate contexts of the next order; those without their suffix among the order below are left out."""
-        k = len(self.orders)
-        if k == 0:
-            suffix = np.zeros(len(pairs), np.int64)
-        else:
-            context, symbol = pairs // self.width, pairs % self.width
-            lower = self.suffix[k - 1][context] if k > 1 else np.zeros(len(pairs), np.int64)
-            suffix = _find(self.orders[k - 1], lower * self.width + symbol)
-        keep = suffix >= 0
-        self.orders.append(pairs[keep])
-        self.sizes.append(sizes[keep])
-        self.suffix.append(suffix[keep])
-
-    def log_of(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of a symbol at a node; for symbol -1, of the mass that reaches the root."""
-        parent, back = np.asarray(self.parent), np.asarray(self.back)
-        out, node, open_ = np.zeros(len(node)), node.copy(), np.ones(len(node), bool)
-        while True:
-            at = np.where(open_ & (node > 0) & (symbol >= 0), _find(self.pairs, node * self.width + symbol), -1)
-            hit = at >= 0
-            out[hit] += self.logs[at[hit]]
-            open_ &= ~hit
-            rest = open_ & (node > 0)
-            if not rest.any():
-                break
-            out[rest] += back[node[rest]]
-            node[rest] = parent[node[rest]]
-        known = open_ & (symbol >= 0)
-        out[known] += self.root[symbol[known]]
+    def __init__(self, ids: list, held: np.ndarray, bounds: np.ndarray, vocab: np.ndarray, symbol: np.ndarray) -> None:
+        self.ids, self.held, self.bounds, self.vocab, self.symbol = ids, held, bounds, vocab, symbol
+        self.count: dict[int, np.ndarray] = {}
+        self.known = np.zeros(0, np.int64)  # training count of each word of vocab
+        self.own, self.log = np.zeros(0, bool), np.zeros(0)
+        self.score = np.zeros(len(ids))
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.bounds))
+
+    @property
+    def first(self) -> np.ndarray:
+        out = np.zeros(len(self.symbol), bool)
+        out[self.bounds[:-1]] = True
+        return out
+
+    def gram(self, order: int) -> np.ndarray:
+        """The key of the n-gram that ends at each place; meaningless where the text has too few tokens before it."""
+        word = self.vocab[self.symbol]
+        out = word
+        for m in range(2, order + 1):
+            out = extend(np.concatenate([out[:1], out[:-1]]), word, m)
         return out
 
-    def retain(self, pairs: np.ndarray, sums: np.ndarray, discount: float, strictness: float) -> None:
-        """Decide the contexts of the last order from the counts of (context, symbol) pairs.
-
-        The divergence test: the gain in log likelihood over the parent, which is the context's size times the divergence
-        of its smoothed distribution from the parent's, must exceed strictness times half ln(size) for each symbol kept.
-        """
-        k = len(self.orders) - 1
-        sizes, n = self.sizes[k], len(self.orders[k])
-        lower = np.zeros(n, np.int64) if k == 0 else self.node[k - 1][self.suffix[k]]
-        context, symbol = pairs // self.width, pairs % self.width
-        mass = (sums - discount) / sizes[context]
-        left = np.maximum(1 - np.bincount(context, mass, n), 1e-12)
-        above = self.log_of(lower[context], symbol)
-        own = np.log10(mass + left[context] * 10.0**above)
-        gain = np.bincount(context, sums * (own - above), n) + (sizes - np.bincount(context, sums, n)) * np.log10(left)
-        cost = strictness * 0.5 * np.log10(np.maximum(sizes, 2)) * (np.bincount(context, minlength=n) + 1)
-        kept = gain > cost
-        number = len(self.parent) + np.cumsum(kept) - 1
-        self.node.append(np.where(kept, number, lower))
-        self.parent += lower[kept].tolist()
-        self.back += np.log10(left[kept]).tolist()
-        use = kept[context]
-        keys = np.concatenate([self.pairs, number[context[use]] * self.width + symbol[use]])
-        order = np.argsort(keys)
-        self.pairs, self.logs = keys[order], np.concatenate([self.logs, own[use]])[order]
-
-
-def _stream(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of the texts with their ends, the text of each, which begin a text, and bounds of texts."""
-    words = Words(batch.column("text") if rows is None else batch.column("text").filter(pa.array(rows)), lower=True)
-    n = len(words.bounds) - 1
-    bounds = words.bounds + np.arange(n + 1)
-    tokens = np.full(int(bounds[-1]), END, np.uint64)
-    inside = np.ones(len(tokens), bool)
-    inside[bounds[1:] - 1] = False
-    tokens[inside] = words.hash
-    first = np.zeros(len(tokens), bool)
-    first[bounds[:-1]] = True
-    return tokens, np.repeat(np.arange(n), np.diff(bounds)), first, bounds
-
-
-def _pair_counts(model):
+    def times(self, order: int) -> np.ndarray:
+        return self.known[self.symbol] if order == 1 else self.count[order]
+
+    def grams_asked(self, order: int) -> np.ndarray:
+        """Places of the n-grams that may occur twice: both n-grams of one word less within them do."""
+        fits = ~self.first
+        if order > 2:
+            often = self.times(order - 1) >= 2
+            fits &= often
+            fits[1:] &= often[:-1]
+        return np.flatnonzero(fits)
+
+    def contexts_asked(self, order: int) -> np.ndarray:
+        """Places whose context of so many tokens occurs twice or more."""
+        fits = ~self.first
+        fits[1:] &= self.times(order)[:-1] >= 2
+        return np.flatnonzero(fits)
+
+    def begin(self, tokens: int, types: int) -> None:
+        self.log = np.log10((self.known + 1.0) / (tokens + types + 1))[self.symbol]
+        self.log[self.first] = 0.0
+
+    def asks(self, step: int, depth: int) -> Iterator[tuple[int, np.ndarray, dict]]:
+        """(kind, sorted keys, what comes with them) of a step: positive kinds are orders of n-grams, negative ones of contexts."""
+        train = ~np.repeat(self.held, np.diff(self.bounds))
+        if step == 1:
+            yield 1, self.vocab, {"n": np.bincount(self.symbol, train, len(self.vocab)).astype(np.int64)}
+        if step <= depth:
+            at = self.grams_asked(step + 1)
+            keys, index = np.unique(self.gram(step + 1)[at], return_inverse=True)
+            yield step + 1, keys, {"n": np.bincount(index, train[at], len(keys)).astype(np.int64)}
+        if step > 1:
+            k = step - 1
+            before, at = self.gram(k), self.contexts_asked(k)
+            keys = np.unique(before[at - 1])
+            mine = np.flatnonzero(self.own)
+            place = np.searchsorted(keys, before[mine - 1])
+            n, c, p = self.times(k)[mine - 1].astype(float), self.times(k + 1)[mine].astype(float), 10.0 ** self.log[mine]
+            used, index = np.unique(place, return_inverse=True)
+            add = lambda x: np.bincount(index, x, len(used))
+            size = np.zeros(len(used))
+            size[index] = n
+            yield -k, keys, {"at": used, "sums": np.column_stack([size, add(np.ones(len(mine))), add(c), add(p), add(c * np.log10(c / (n * p)))])}
+
+    def learn(self, step: int, depth: int, replies: dict[int, list[tuple[int, dict]]], discount: float) -> None:
+        """Take in the answers to asks(step)."""
+        if step == 1:
+            self.known = np.concatenate([x["n"] for _, x in sorted(replies[1], key=lambda r: r[0])])
+        if step > 1:
+            k = step - 1
+            at = self.contexts_asked(k)
+            keys, index = np.unique(self.gram(k)[at - 1], return_inverse=True)
+            left = np.full(len(keys), np.nan)
+            for start, x in replies.get(-k, []):
+                left[start + x["at"]] = x["left"]
+            left = left[index]
+            kept = ~np.isnan(left)
+            at, left = at[kept], left[kept]
+            c, n = self.times(k + 1)[at], self.times(k)[at - 1]
+            self.log[at] = np.log10(np.where(c >= 2, (c - discount) / n, 0.0) + left * 10.0 ** self.log[at])
+        if step <= depth:
+            order = step + 1
+            at = self.grams_asked(order)
+            keys, first, index = np.unique(self.gram(order)[at], return_index=True, return_inverse=True)
+            total, mine = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            for start, x in replies.get(order, []):
+                total[start + x["at"]], mine[start + x["at"]] = x["n"], x["own"]
+            self.count[order], self.own = np.zeros(len(self.symbol), np.int64), np.zeros(len(self.symbol), bool)
+            self.count[order][at] = total[index]
+            self.own[at[first[mine]]] = True
+        if step > 1:
+            over = np.ones(len(self.symbol), bool)
+            if step <= depth:
+                over[self.contexts_asked(step)] = False
+            self.score += np.bincount(self.doc[over], self.log[over], len(self.ids))
+            self.log[over] = 0.0
+            self.count.pop(step - 1, None)
+
+
+def _chunks(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches(items, size=CHUNK):
+        words = Words(batch.column("text"), lower=True)
+        n = batch.num_rows
+        bounds = words.bounds + 2 * np.arange(n + 1)
+        stream = np.full(int(bounds[-1]), BEGIN, np.uint64)
+        inside = np.ones(len(stream), bool)
+        inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
+        stream[bounds[1:] - 1] = END
+        stream[inside] = words.hash
+        vocab, symbol = np.unique(stream, return_inverse=True)
+        held = batch.column("held_out").to_numpy(zero_copy_only=False)
+        sizes = np.diff(bounds) - 1
+        chunk = Chunk(batch.column("doc_id").to_pylist(), held, bounds, vocab, symbol.astype(np.int32))
+        yield _row((part << 32) + number, int(sizes.sum()), int(sizes[~held].sum()), chunk)
+        number += 1
+
+
+def _row(number: int, tokens: int, train: int, chunk: Chunk) -> pa.RecordBatch:
+    size, data = _pack(chunk)
+    return pa.record_batch([pa.array([number]), pa.array([tokens]), pa.array([train]), pa.array([size]), pa.array([data], pa.binary())], ["chunk", "tokens", "train", "size", "data"])
+
+
+def _chunk_of(table: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+    return _unpack(table.column("size")[i].as_py(), table.column("data")[i].as_py())
+
+
+def _asking(step: int, depth: int, buckets: int, tokens: int, types: int):
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
+
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counts = model.value, _Counts(np.int64)
-        for batch in batches(items):
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            if not train.any():
-                continue
-            tokens, _, first, _ = _stream(batch, train)
-            symbol = tree.symbols_of(tokens)
-            context = tree.contexts(symbol, first, len(tree.orders))[-1]
-            both = (context >= 0) & (symbol >= 0)
-            counts.add(context[both] * tree.width + symbol[both])
-        for keys, sums in counts.rows():
-            yield pa.record_batch([pa.array(keys), pa.array(sums)], ["pair", "n"])
+        for batch in items:
+            for i in range(batch.num_rows):
+                chunk, rows = _chunk_of(batch, i), []
+                if step == 2:
+                    chunk.begin(tokens, types)
+                for kind, keys, more in chunk.asks(step, depth):
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if lo == hi:
+                            continue
+                        if kind > 0:
+                            own = {"n": more["n"][lo:hi]}
+                        else:
+                            p, q = np.searchsorted(more["at"], [lo, hi])
+                            own = {"at": more["at"][p:q] - lo, "sums": more["sums"][p:q]}
+                        rows.append((b, kind, batch.column("chunk")[i].as_py(), lo, *_pack(own | {"keys": _planes(keys[lo:hi])})))
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "kind", "chunk", "at", "size", "data"])
 
     return run
 
 
-def _known_part(model):
-    """Of each text: what its frequent tokens add to both scores, and the hashes of the others."""
+def left_to_parent(sums: np.ndarray, discount: float, strictness: float) -> np.ndarray:
+    """The probability a context leaves to its suffix, nan for contexts that the divergence test does not retain.
+
+    sums has a row a context: its size, and over the next symbols seen twice or more their number, counts, probabilities
+    under the suffix, and counts times log10 of the ratio of both. The gain in log likelihood over the suffix is the
+    size times the divergence of both distributions, the other symbols taken as one; it must exceed ``strictness``
+    times half the logarithm of the size for each of these and the remainder.
+    """
+    size, kinds, seen, above, gain = sums.T
+    rest = size - seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gain + np.where(rest > 0, rest * np.log10(np.where(rest > 0, rest, 1) / size / np.maximum(1 - above, 1e-12)), 0.0)
+        keep = (kinds > 0) & (gain > strictness * 0.5 * np.log10(size) * (kinds + 1))
+        return np.where(keep, (rest + discount * kinds) / size, np.nan)
+
+
+def _answering(discount: float, strictness: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(range(table.num_rows), key=lambda i: table.column("chunk")[i].as_py())
+        got = [_unpack(table.column("size")[i].as_py(), table.column("data")[i].as_py()) for i in rows]
+        kind = table.column("kind")[0].as_py()
+        parts = [_keys(x["keys"]) for x in got]
+        cuts = np.cumsum([0, *(len(p) for p in parts)])
+        keys, first, index = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        out, types = [], 0
+        if kind > 0:
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, index, np.concatenate([x["n"] for x in got]))
+            types = int(((total > 0) & (keys != BEGIN)).sum())
+        else:
+            sums = np.zeros((len(keys), 5))
+            for x, lo in zip(got, cuts, strict=False):
+                own = index[lo + x["at"]]
+                sums[own, 0] = x["sums"][:, 0]
+                sums[own, 1:] += x["sums"][:, 1:]  # a chunk has a context once
+            left = left_to_parent(sums, discount, strictness)
+        for j, i in enumerate(rows):
+            own = index[cuts[j] : cuts[j + 1]]
+            if kind == 1:
+                reply = {"n": total[own]}
+            elif kind > 0:
+                at = np.flatnonzero(total[own] >= 2)
+                reply = {"at": at, "n": total[own[at]], "own": first[own[at]] == at + cuts[j]}
+            else:
+                at = np.flatnonzero(~np.isnan(left[own]))
+                reply = {"at": at, "left": left[own[at]]}
+            out.append((table.column("chunk")[i].as_py(), kind, table.column("at")[i].as_py(), types if kind == 1 and j == 0 else 0, *_pack(reply)))
+        names, kinds = ("chunk", "kind", "at", "types", "size", "data"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
+
+    return run
 
+
+def _learning(step: int, depth: int, tokens: int, types: int, discount: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _chunk_of(left, 0)
+        replies: dict[int, list] = {}
+        for i in range(right.num_rows):
+            replies.setdefault(right.column("kind")[i].as_py(), []).append((right.column("at")[i].as_py(), _unpack(right.column("size")[i].as_py(), right.column("data")[i].as_py())))
+        if step == 2:
+            chunk.begin(tokens, types)
+        chunk.learn(step, depth, replies, discount)
+        return pa.Table.from_batches([_row(*(left.column(c)[0].as_py() for c in ("chunk", "tokens", "train")), chunk)])
+
+    return run
+
+
+def _scores(tokens: int, types: int):
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = model.value
-        for batch in batches(items):
-            tokens, doc, first, bounds = _stream(batch)
-            symbol = tree.symbols_of(tokens)
-            node, open_ = np.zeros(len(tokens), np.int64), np.ones(len(tokens), bool)
-            found = tree.contexts(symbol, first, len(tree.node))
-            for k in range(len(tree.node) - 1, -1, -1):
-                use = open_ & (found[k] >= 0)
-                node[use] = tree.node[k][found[k][use]]
-                open_ &= ~use
-            logs, n = tree.log_of(node, symbol), batch.num_rows
-            known = symbol >= 0
-            base = np.where(known, tree.root[np.maximum(symbol, 0)] if len(tree.root) else 0.0, 0.0)
-            rare = ~known
-            offs = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))])
-            yield pa.record_batch(
-                [
-                    batch.column("chunk"),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(np.diff(bounds), pa.int64()),
-                    pa.array(np.bincount(doc, known, n).astype(np.int64)),
-                    pa.array(np.bincount(doc, base, n)),
-                    pa.array(np.bincount(doc, logs, n)),
-                    pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(tokens[rare].astype(np.int64))),
-                ],
-                ["chunk", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-            )
+        for batch in items:
+            for i in range(batch.num_rows):
+                chunk = _chunk_of(batch, i)
+                known, doc, n, token = chunk.known[chunk.symbol], chunk.doc, len(chunk.ids), ~chunk.first
+                base = np.log10((known + 1.0) / (tokens + types + 1))
+                yield pa.record_batch(
+                    [
+                        pa.array(chunk.ids, pa.int64()),
+                        pa.array(chunk.held),
+                        pa.array(np.diff(chunk.bounds) - 1, pa.int64()),
+                        pa.array(np.bincount(doc[token], known[token] > 0, n).astype(np.int64)),
+                        pa.array(np.full(n, tokens, np.int64)),
+                        pa.array(np.bincount(doc[token], base[token], n)),
+                        pa.array(chunk.score),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return run
 
 
-def score(
-    docs: DataFrame,
-    held_out_of: int = 7,
-    held_out: int = 2,
-    min_share: float = 1e-5,
-    min_pair_share: float = 2e-6,
-    order: int = 2,
-    discount: float = 0.5,
-    strictness: float = 1.0,
-) -> DataFrame:
+def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int = 3, discount: float = 0.5, strictness: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    Symbols and contexts of the tree are those that make up ``min_share`` of the training tokens at least, a context's own
-    next symbols those that, with it, make up ``min_pair_share``: by counting, at most 1 / share of each, whatever the
-    corpus, which bounds the model (it alone is broadcast). Everything else falls back, through the smoothing, to the
-    counts of all words, and these are never gathered: each chunk of documents asks for the totals of its own rare words
-    by a shuffle, and adds them to what its frequent words gave.
+    The tree has a node for every context of up to ``depth`` tokens that training texts have twice or more and that the
+    divergence test retains (left_to_parent()); no share of the corpus and no size decides. A node gives each next token
+    seen twice or more its count less ``discount``, and what is left goes to the distribution of its suffix; the root is
+    the add-one distribution of base_score. A token is scored at the longest retained suffix of what precedes it. An
+    n-gram is asked for only where its two shorter ones occur twice, which loses none. Words and contexts are 64-bit hashes.
 
-    A chunk is a partition of docs; docs must split alike each time it is read, as tables do, and a word without an answer
-    raises. Null text: only the end token. Null doc_id: a training row. Repeated rows count each. Empty table: no rows.
-    Extra columns are ignored.
+    Each of the depth + 1 steps is one exchange of keys, summed in the chunks first, to buckets and back: a word in every
+    text is one key a chunk. Null or empty text: only the end token. A very long text is a chunk of its own, whole. Null
+    doc_id: a training row. Repeated rows count each. Empty table: no rows. There are no ties to break: equal texts have
+    equal scores. Extra columns are ignored.
     """
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % held_out_of == held_out, F.lit(False))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), out.alias("held_out"), F.spark_partition_id().alias("chunk"))
-    counted = own.mapInArrow(_vocabulary, "chunk int, word long, n long")
-    same = Window.partitionBy("word")
-    summed = counted.select("chunk", "word", F.sum("n").over(same).alias("c"), (F.col("chunk") == F.min("chunk").over(same)).alias("first"))
-    totals = saved(summed, "totals")
-    tidy(spark)
-    whole = totals.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = int(whole["n"] or 0), int(whole["v"] or 0)
-    least = max(2, math.ceil(min_share * n))
-    frequent = totals.where(F.col("first") & (F.col("c") >= least)).select("word", "c").toPandas()
-    words = frequent["word"].to_numpy(np.int64).astype(np.uint64)
-    by = np.argsort(words)
-    tree = Tree(words[by], frequent["c"].to_numpy(np.int64)[by], n, v)
-    ends = int(tree.counts[tree.symbols == END].sum())
-    pairs = np.arange(tree.width, dtype=np.int64)
-    sizes = np.append(tree.counts, ends)
-    live = (pairs == tree.begin) | (np.append(tree.symbols, np.uint64(0)) != END)
-    pairs, sizes = pairs[live & (sizes > 0)], sizes[live & (sizes > 0)]
-    least_pair = max(2, math.ceil(min_pair_share * n))
-    for _ in range(order):
-        if not len(pairs):
-            break
-        tree.add_order(pairs, sizes)
-        model = spark.sparkContext.broadcast(tree)
-        kept = own.mapInArrow(_pair_counts(model), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pair).toPandas()
-        kept = kept.sort_values("pair")
-        keys, sums = kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
-        tree.retain(keys, sums, discount, strictness)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), out.alias("held_out"))
+    state = Saved(own.mapInArrow(_chunks, _STATE), "chunks")
+    sums = state.df.agg(F.sum("train").alias("n"), F.sum("tokens").alias("all"), F.count("*").alias("chunks")).first()
+    tokens, types = int(sums["n"] or 0), 0
+    buckets = max(8, math.ceil(int(sums["all"] or 0) / BUCKET))
+    for step in range(1, depth + 2):
+        asked = state.df.mapInArrow(_asking(step, depth, buckets, tokens, types), _ASK)
+        replies = Saved(asked.groupBy("bucket", "kind").applyInArrow(_answering(discount, strictness), _REPLY), "replies")
+        tidy(spark)
+        if step == 1:
+            types = int(replies.df.agg(F.sum("types")).first()[0] or 0)
+        learned = state.df.groupBy("chunk").cogroup(replies.df.groupBy("chunk")).applyInArrow(_learning(step, depth, tokens, types, discount), _STATE)
+        after = Saved(learned, "chunks")
+        state.drop()
+        replies.drop()
         tidy(spark)
-        is_end = tree.symbols_of(np.array([END]))[0]
-        grown = (sums >= least) & (keys % tree.width != is_end)
-        pairs, sizes = keys[grown], sums[grown]
-    model = spark.sparkContext.broadcast(tree)
-    part = own.mapInArrow(_known_part(model), "chunk int, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>")
-    answers = totals.where(F.col("c") < least).select("chunk", "word", "c")
-    scale = math.log10(n + v + 1)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.combine_chunks()
-        rare = rows.column("rare").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-        rare = rare.chunk(0) if isinstance(rare, pa.ChunkedArray) else rare
-        hashes, lengths = rare.flatten().to_numpy(), np.asarray(rare.value_lengths())
-        word, c = right.column("word").to_numpy(), right.column("c").to_numpy()
-        by_word = np.argsort(word)
-        at = _find(word[by_word], hashes)
-        if (at < 0).any():
-            raise ValueError("a chunk has changed since its words were counted")
-        counts = c[by_word][at] if len(at) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(rows.num_rows), lengths)
-        logs = np.bincount(doc, np.log10(counts + 1.0) - scale, rows.num_rows)
-        known = np.bincount(doc, counts > 0, rows.num_rows).astype(np.int64)
-        get = lambda name: rows.column(name).to_numpy()
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "held_out": rows.column("held_out"),
-                "n_tokens": rows.column("n_tokens"),
-                "n_known": pa.array(get("known") + known, pa.int64()),
-                "train_tokens": pa.array(np.full(rows.num_rows, n, np.int64)),
-                "base_score": pa.array(get("base") + logs, pa.float64()),
-                "score": pa.array(get("model") + logs, pa.float64()),
-            }
-        )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return part.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+        state = after
+    return state.df.mapInArrow(_scores(tokens, types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

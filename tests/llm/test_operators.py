@@ -199,20 +199,73 @@ def test_suffix_tree_base_scores_and_gain(spark, fixture):
     assert suffixtree.score(empty(spark)).count() == 0
 
 
+class BruteTree:
+    """The tree by dictionaries: counts of all n-grams of the training texts, and the test of each context when asked."""
+
+    def __init__(self, streams, depth, discount=0.5, strictness=1.0):
+        self.depth, self.discount, self.strictness, self.lefts = depth, discount, strictness, {}
+        self.grams = collections.Counter(tuple(t[i : i + m]) for t in streams for m in range(1, depth + 2) for i in range(len(t) - m + 1))
+        self.total = sum(len(t) - 1 for t in streams)
+        self.types = len({x for t in streams for x in t[1:]})
+        self.nexts = collections.defaultdict(dict)
+        for g, c in self.grams.items():
+            if c > 1:
+                self.nexts[g[:-1]][g[-1]] = c
+
+    def left(self, context):
+        if context not in self.lefts:
+            n, after = self.grams[context], self.nexts[context] if context in self.nexts else {}
+            above = {w: self.p(context[1:], w) for w in after}
+            rest = n - sum(after.values())
+            gain = sum(c * math.log10(c / n / above[w]) for w, c in after.items()) + (rest * math.log10(rest / n / max(1 - sum(above.values()), 1e-12)) if rest else 0)
+            kept = n > 1 and after and gain > self.strictness * 0.5 * math.log10(n) * (len(after) + 1)
+            self.lefts[context] = (rest + self.discount * len(after)) / n if kept else None
+        return self.lefts[context]
+
+    def p(self, context, word):
+        if not context:
+            return (self.grams[(word,)] + 1) / (self.total + self.types + 1)
+        left, above = self.left(context), self.p(context[1:], word)
+        if left is None:
+            return above
+        c = self.nexts[context].get(word, 0)
+        return ((c - self.discount) / self.grams[context] if c else 0) + left * above
+
+    def score(self, t):
+        return sum(math.log10(self.p(tuple(t[max(0, i - self.depth) : i]), t[i])) for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_suffix_tree_scores_equal_brute_force(spark, fixture, depth, monkeypatch):
+    df, rows = fixture
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    streams = [["<begin>", *words((r[1] or "").translate(low)), "<end>"] for r in rows]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
+    tree = BruteTree([t for t, h in zip(streams, held, strict=True) if not h], depth)
+    kept = [x for x in tree.lefts.values() if x is not None]
+    want = sorted((-1 if r[0] is None else r[0], round(tree.score(t), 6)) for r, t in zip(rows, streams, strict=True))
+    monkeypatch.setattr(suffixtree, "CHUNK", 3000)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 6)) for r in suffixtree.score(df, depth=depth).collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and max(abs(x[1] - y[1]) for x, y in zip(got, want, strict=True)) < 1e-4
+    kept = [x for x in tree.lefts.values() if x is not None]
+    assert len(kept) > 20 and len(kept) < len(tree.lefts)
+
+
 def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     r = random.Random(1)
     rows = [(i, " ".join(x for _ in range(60) for x in (("new", "york") if r.random() < 0.5 else ("old", "town")))) for i in range(60)]
-    got = suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string"), min_share=1e-3, min_pair_share=1e-3).toPandas()
+    got = suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     held = got[got.held_out]
     assert len(held) and held.score.sum() > 0.6 * held.base_score.sum()
-    hashes = np.array([1, 2, 3], np.uint64)
-    tree = suffixtree.Tree(hashes, np.array([50, 30, 19]), 100, 4)  # one rare word of count 1
-    tree.add_order(np.array([0, 1]), np.array([50, 30]))
-    tree.retain(np.array([1, 2, 4]), np.array([40, 5, 2]), 0.5, 0.0)
-    for node in range(len(tree.parent)):
-        known = 10.0 ** tree.log_of(np.full(3, node), np.arange(3))
-        rare = 10.0 ** tree.log_of(np.array([node]), np.array([-1]))[0] * (2 + 1) / 105  # the rare word and the unseen one
-        assert abs(known.sum() + rare - 1) < 1e-9
+    streams = [["<begin>", *words(t), "<end>"] for _, t in rows]
+    tree = BruteTree(streams, 2)
+    for context in [("new",), ("old", "town"), ("<begin>",), ("york", "new")]:
+        assert abs(sum(tree.p(context, w) for w in ("new", "old", "york", "town", "<end>", "unseen")) - 1) < 1e-9
+
+
+def test_keys_survive_their_planes():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (suffixtree._keys(suffixtree._planes(keys)) == keys).all() and len(suffixtree._keys(suffixtree._planes(keys[:0]))) == 0
 
 
 def test_license_spans(spark, fixture):
