@@ -1,4 +1,5 @@
-"""Exact substring deduplication: seed on winnowed anchors, extend over whole windows, remove what repeats."""
+"""Exact substring deduplication by seed and extend: documents meet at winnowed anchors, matches grow both ways from there,
+and the maximal repeats that are long enough are cut."""
 
 from __future__ import annotations
 
@@ -11,9 +12,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Saved, saved, tidy
+from ..runtime import Saved, tidy
 from .textkernel import Words, batches, gram_hashes
 
+#: Places of one anchor that are compared pair by pair at most; more are extended all at once, by window.
+PAIRED = 64
+#: Pairs compared at once.
+STEP = 1 << 15
+
 SEED = 10
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -61,47 +67,135 @@ def _seeds(window: int):
     return run
 
 
+def _contexts(window: int):
+    """Of each place of an anchor: the word hashes that a window around it can hold to the left (nearest first) and right."""
+    side = window - SEED
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(items):
+            words = Words(batch.column("text"))
+            lists, seeds, few = batch.column("places"), batch.column("seeds").flatten(), batch.column("few").flatten().to_numpy(zero_copy_only=False).astype(bool)
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[few]
+            place = lists.flatten().to_numpy(zero_copy_only=False)[few]
+            at = words.bounds[doc] + place
+            steps = np.arange(side)
+            padded = np.concatenate([words.hash, np.zeros(1, np.uint64)])
+            near = at[:, None] - 1 - steps[None, :]
+            left = padded[np.where(near >= words.bounds[doc][:, None], near, len(words.hash))]
+            near = at[:, None] + SEED + steps[None, :]
+            right = padded[np.where(near < words.bounds[doc + 1][:, None], near, len(words.hash))]
+            raw = np.ascontiguousarray(np.concatenate([left, right], axis=1)).tobytes()
+            width = 16 * side
+            yield pa.record_batch(
+                [seeds.filter(pa.array(few)), batch.column("cid").take(pa.array(doc)), pa.array(place, pa.int32()), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())],
+                ["seed", "cid", "place", "around"],
+            )
+
+    return run
+
+
+def match_lengths(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many leading columns of each row of one equal those of two; 0 stands for no word and matches nothing."""
+    differ = (one != two) | (one == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), one.shape[1])
+
+
+def _extend(window: int):
+    """Every two places of an anchor, extended word by word to both sides; of each place the longest repeat found there."""
+    side = window - SEED
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(items, "seed"):
+            n = batch.num_rows
+            seed, cid, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "cid", "place"))
+            around = np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint64).reshape(n, 2 * side)
+            starts = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+            last = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+            later = last - np.arange(n) - 1  # partners after each row in its group
+            left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            ends = np.cumsum(later)
+            for lo in range(0, int(ends[-1]) if n else 0, STEP):
+                pair = np.arange(lo, min(lo + STEP, int(ends[-1])))
+                x = np.searchsorted(ends, pair, "right")
+                y = x + 1 + pair - (ends[x] - later[x])
+                l, r = match_lengths(around[x, :side], around[y, :side]), match_lengths(around[x, side:], around[y, side:])
+                long = l + r >= side  # with the anchor, a repeat of window words
+                for rows in (x[long], y[long]):
+                    np.maximum.at(left, rows, l[long])
+                    np.maximum.at(right, rows, r[long])
+            hit = np.flatnonzero(left + right >= side)
+            yield pa.record_batch([pa.array(cid[hit]), pa.array(place[hit] - left[hit], pa.int64()), pa.array(place[hit] + SEED + right[hit], pa.int64())], ["cid", "low", "high"])
+
+    return run
+
+
+def _whole_groups(items: Iterator[pa.RecordBatch], key: str, rows: int = 8192) -> Iterator[pa.Table]:
+    """The rows, sorted by key, in tables of about so many rows that end where a key ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in items:
+        lo = 0
+        while lo < batch.num_rows:
+            part = batch.slice(lo, rows)
+            lo += part.num_rows
+            values = part.column(key).to_numpy(zero_copy_only=False)
+            if held:
+                last = held[-1].column(key)[held[-1].num_rows - 1].as_py()
+                same = int(np.searchsorted(values != last, True)) if values[-1] != last else len(values)
+                if same < len(values) and sum(b.num_rows for b in held) + same >= rows:
+                    held.append(part.slice(0, same))
+                    yield pa.Table.from_batches(held)
+                    held = [part.slice(same)]
+                    continue
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _windows(window: int):
-    """Windows whose chosen seed occurs elsewhere: two hashes of all their words (seed plus its extension to both sides)."""
+    """Windows around the anchors of many places: two hashes of all their words, that is of the anchor extended to each side."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(items):
             words = Words(batch.column("text"), seeds=(7, 11))
             _, at, starts, chosen = anchors(words, window)
             hot = np.zeros(len(words.hash), bool)
-            lists = batch.column("hot")
+            lists, many = batch.column("places"), ~batch.column("few").flatten().to_numpy(zero_copy_only=False).astype(bool)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            hot[np.repeat(words.bounds[:-1], lists.value_lengths().to_numpy(zero_copy_only=False)) + flat] = True
+            hot[(np.repeat(words.bounds[:-1], lists.value_lengths().to_numpy(zero_copy_only=False)) + flat)[many]] = True
             keep = hot[at[chosen]] if len(chosen) else np.zeros(0, bool)
             starts = starts[keep]
             one, first = gram_hashes(words.hashes[0], words.doc, window)
             two, _ = gram_hashes(words.hashes[1], words.doc, window)
             index = np.searchsorted(first, starts)
             docs = words.doc[starts] if len(starts) else np.zeros(0, np.int64)
-            offs = pa.array(np.searchsorted(docs, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.record_batch(
-                [
-                    *(batch.column(c) for c in ("cid", "mult", "text")),
-                    pa.ListArray.from_arrays(offs, pa.array(one[index].astype(np.int64))),
-                    pa.ListArray.from_arrays(offs, pa.array(two[index].astype(np.int64))),
-                    pa.ListArray.from_arrays(offs, pa.array(starts - words.bounds[docs] if len(starts) else docs, pa.int32())),
-                ],
-                ["cid", "mult", "text", "h1", "h2", "at"],
+                [pa.array(one[index].astype(np.int64)), pa.array(two[index].astype(np.int64)), batch.column("cid").take(pa.array(docs)), pa.array(starts - words.bounds[docs] if len(starts) else docs, pa.int64())],
+                ["h1", "h2", "cid", "at"],
             )
 
     return run
 
 
-def _cut(window: int):
+def _once(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each cid; repeated rows have come to one task by their key."""
+    seen: set[int] = set()
+    for batch in items:
+        keep = []
+        for c in batch.column("cid").to_pylist():
+            keep.append(c not in seen)
+            seen.add(c)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _cut():
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(items):
             words = Words(batch.column("text"))
-            lists = batch.column("repeated")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            begin = np.repeat(words.bounds[:-1], lists.value_lengths().to_numpy(zero_copy_only=False)) + flat
+            low, high = (batch.column(c) for c in ("low", "high"))
+            base = np.repeat(words.bounds[:-1], low.value_lengths().to_numpy(zero_copy_only=False))
             change = np.zeros(len(words.hash) + 1, np.int64)
-            np.add.at(change, begin, 1)
-            np.add.at(change, begin + window, -1)
+            np.add.at(change, base + low.flatten().to_numpy(zero_copy_only=False), 1)
+            np.add.at(change, base + high.flatten().to_numpy(zero_copy_only=False), -1)
             gone = np.cumsum(change)[:-1] > 0
             removed = np.add.reduceat(np.append(gone, False), words.bounds[:-1]) * (np.diff(words.bounds) > 0)
             raw, shas, kept = words.raw.tobytes(), [], []
@@ -119,41 +213,56 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False) -> Da
     """doc_id, n_words, n_removed, kept_sha256 of every row: words in a run of ``window`` words that starts anywhere else
     are removed; with ``texts``, also kept_text of the texts that changed in part (null where all or nothing stays).
 
-    Seeds are runs of SEED words, winnowed so that every window holds one; a seed found once in the corpus cannot lie in a
-    repeated window. The windows around the other seeds, that is a seed with its extension to either side, are compared
-    whole by 128 bits of hash, counted with map-side combination, so a passage in a third of all documents is one count a
-    task. Overlapping repeated windows join into the maximal repeats that are cut. Copies of a text are one row of the
-    search, weighted by their number; all their words go if there are enough for one window.
+    Anchors are runs of SEED words, winnowed so that every window chooses one, by its own words alone: equal windows hold
+    one anchor at one place, and an anchor found once in the corpus lies in no repeated window. The places of an anchor
+    are brought together with the words around them, every two of them are extended word by word to both sides as far as
+    a window can reach, and a match of ``window`` words or more is a repeat at both; at each place the longest to either
+    side stays, and overlapping ones join into the maximal repeats that are cut. An anchor with more than PAIRED places
+    would make their square of pairs: there all extensions are taken at once, each window around the anchor compared
+    whole by 128 bits of hash and counted with map-side combination, which finds the same words.
 
-    Null text: no words. Null doc_id: kept. Repeated rows are copies. Empty table: no rows. Extra columns are ignored.
+    Copies of a text are one row of the search; all their words go if there are enough for one window. Null text: no
+    words. Null doc_id: kept. Repeated rows are copies. Very long texts are searched whole. Ties: all places of a repeat
+    are cut, none is preferred. Empty table: no rows. Extra columns are ignored.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_id", F.unhex(F.md5("text")))
-    rows = saved(own.mapInArrow(_seeds(window), "doc_id long, text_id binary, n_words long, whole_sha string, seeds array<long>, places array<int>"), "seeds")
-    spark = docs.sparkSession
+    rows = Saved(own.mapInArrow(_seeds(window), "doc_id long, text_id binary, n_words long, whole_sha string, seeds array<long>, places array<int>"), "seeds").df
     copies = rows.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    classes = saved(copies.select(F.col("text_id").alias("k_text"), "rep", "mult", F.monotonically_increasing_id().alias("cid")), "copies")
+    classes = Saved(copies.select(F.col("text_id").alias("k_text"), "rep", "mult", F.monotonically_increasing_id().alias("cid")), "copies").df
     one = rows.where("size(seeds) > 0").join(classes, (F.col("text_id") == F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    reps = Saved(one.select("cid", "mult", F.arrays_zip("seeds", "places").alias("z")), "reps")
+    reps = Saved(one.dropDuplicates(["cid"]).select("cid", F.arrays_zip("seeds", "places").alias("z")), "reps")
     tidy(spark)
-    flat = reps.df.select("cid", "mult", F.explode("z").alias("z")).select("cid", "mult", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
-    often = flat.groupBy("seed").agg(F.sum("mult").alias("n")).where("n > 1").select("seed")
-    hot = saved(flat.select("seed", "cid", "place").join(often, "seed", "left_semi").groupBy("cid").agg(F.collect_set("place").alias("hot")), "hot")
+    flat = reps.df.select("cid", F.explode("z").alias("z")).select("cid", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
+    # written, so that the join sees two plain exchanges and a seed of very many places can be split at run time
+    often = Saved(flat.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed", (F.col("n") <= PAIRED).alias("few")), "often")
+    found = flat.join(often.df, "seed").select("cid", F.struct("place", "seed", "few").alias("z"))
+    gathered = Saved(found.groupBy("cid").agg(F.collect_list("z").alias("z")), "places")
     reps.drop()
     tidy(spark)
-    wanted = hot.join(classes, "cid").hint("shuffle_hash")
-    held = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_id"] == wanted["k_text"])).select("cid", "mult", "text", "hot")
-    made = Saved(held.mapInArrow(_windows(window), "cid long, mult long, text string, h1 array<long>, h2 array<long>, at array<int>"), "windows")
+    wanted = gathered.df.join(classes, "cid").hint("shuffle_hash")
+    held = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_id"] == wanted["k_text"]))
+    parts = held.select("cid", "mult", "text", F.col("z.place").alias("places"), F.col("z.seed").alias("seeds"), F.col("z.few").alias("few"))
+    made = Saved(parts.mapInArrow(_once, parts.schema), "held")
     tidy(spark)
 
-    zipped = made.df.select("cid", "mult", F.explode(F.arrays_zip("h1", "h2", "at")).alias("z")).select("cid", "mult", "z.h1", "z.h2", "z.at")
-    again = zipped.groupBy("h1", "h2").agg(F.sum("mult").alias("n")).where("n > 1").select("h1", "h2")
-    alone = zipped.where("mult = 1").select("h1", "h2", "cid", "at")
-    repeated = saved(alone.join(again, ["h1", "h2"], "left_semi").groupBy("cid").agg(F.collect_set("at").alias("repeated")), "repeated")
+    around = made.df.where(F.exists("few", lambda x: x)).select("cid", "text", "places", "seeds", "few").mapInArrow(_contexts(window), "seed long, cid long, place int, around binary")
+    paired = Saved(around.repartition("seed").sortWithinPartitions("seed").mapInArrow(_extend(window), "cid long, low long, high long"), "paired")
+    tidy(spark)
+    crowded = made.df.where(F.exists("few", lambda x: ~x)).select("cid", "text", "places", "few").mapInArrow(_windows(window), "h1 long, h2 long, cid long, at long")
+    windows = Saved(crowded, "windows")
+    again = Saved(windows.df.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
+    repeated = windows.df.join(again.df, ["h1", "h2"], "left_semi").select("cid", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
+    spans = paired.df.union(repeated).groupBy("cid").agg(F.collect_list(F.struct("low", "high")).alias("z"))
+    ranges = Saved(spans.select(F.col("cid").alias("r_cid"), F.col("z.low").alias("low"), F.col("z.high").alias("high")), "ranges")
+    for x in (often, gathered, paired, windows, again):
+        x.drop()
     tidy(spark)
-    cut_in = made.df.select("cid", "text").join(repeated.hint("shuffle_hash"), "cid")
-    cut = saved(cut_in.mapInArrow(_cut(window), "cid long, n_removed long, sha string, kept_text string"), "cut")
+    cut_in = made.df.where("mult = 1").select("cid", "text").join(ranges.df.hint("shuffle_hash"), F.col("cid") == F.col("r_cid"))
+    cut = Saved(cut_in.select("cid", "text", "low", "high").mapInArrow(_cut(), "cid long, n_removed long, sha string, kept_text string"), "cut").df
     made.drop()
+    ranges.drop()
     tidy(spark)
     cut = cut if texts else cut.drop("kept_text")
     final = rows.select("doc_id", "text_id", "n_words", "whole_sha").join(classes, F.col("text_id") == F.col("k_text")).join(cut, "cid", "left")

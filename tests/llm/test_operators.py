@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -331,7 +332,9 @@ def test_toxicity_is_learned_and_reproducible(spark):
     assert toxicity.classify(df, labels.limit(0), ("low", "toxic")).where("toxic").count() == 0
 
 
-def test_repeated_passages_go_exactly(spark, fixture):
+@pytest.mark.parametrize("paired", [64, 3, 0])
+def test_repeated_passages_go_exactly(spark, fixture, paired, monkeypatch):
+    monkeypatch.setattr(substrings, "PAIRED", paired)
     df, rows = fixture
     own = [words(r[1]) for r in rows]
     count = collections.Counter(tuple(w[j : j + 35]) for w in own for j in range(len(w) - 34))
@@ -347,6 +350,24 @@ def test_repeated_passages_go_exactly(spark, fixture):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_matches_extend_as_word_by_word():
+    r = random.Random(3)
+    one, two = (np.array([[r.randint(0, 2) for _ in range(9)] for _ in range(500)], np.uint64) for _ in range(2))
+    for a, b, n in zip(one.tolist(), two.tolist(), substrings.match_lengths(one, two).tolist(), strict=True):
+        assert n == next((k for k in range(9) if a[k] != b[k] or a[k] == 0), 9)
+
+
+def test_groups_stay_whole_between_tables():
+    r = random.Random(2)
+    keys = sorted(r.randint(0, 40) for _ in range(500))
+    rows = pa.table({"seed": pa.array(keys, pa.int64()), "n": range(500)})
+    for size in (1, 7, 64, 1000):
+        parts = list(substrings._whole_groups(iter(rows.to_batches(max_chunksize=size)), "seed", 10))
+        assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(500))
+        sets = [set(p.column("seed").to_pylist()) for p in parts]
+        assert all(not a & b for a, b in zip(sets[:-1], sets[1:], strict=True))
+
+
 def test_sainte_lague_gives_seats_by_highest_quotients():
     r = random.Random(8)
     for _ in range(50):
