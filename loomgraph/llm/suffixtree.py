@@ -39,13 +39,22 @@ def _unpack(size: int, data: bytes) -> object:
     return pickle.loads(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True))  # noqa: S301 - written by _pack
 
 
+def _bytes(values: np.ndarray) -> np.ndarray:
+    """The values by byte: bytes that are nearly all alike compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+
+
+def _values(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _planes(keys: np.ndarray) -> np.ndarray:
-    """Steps between sorted keys, by byte: the upper bytes are nearly all zero and compress away."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Steps between sorted keys, whose upper bytes are nearly all zero, by byte."""
+    return _bytes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _keys(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_values(planes, np.uint64), dtype=np.uint64)
 
 
 def extend(gram: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
@@ -59,7 +68,8 @@ class Chunk:
 
     count[m] is how often the n-gram of m tokens that ends at a place occurs in training texts, 0 for once or never if
     m > 1; own marks one place of each n-gram of the last order that this chunk reports; log is the running log10
-    probability of the token at a place, 0 once it has been added to the score of its text.
+    probability of the token at a place, 0 once it has been added to the score of its text. vocab has the frequent words
+    of the chunk first, and loses those, and symbol the places, that no repeated n-gram needs any more.
     """
 
     def __init__(self, ids: list, held: np.ndarray, bounds: np.ndarray, vocab: np.ndarray, symbol: np.ndarray) -> None:
@@ -67,7 +77,16 @@ class Chunk:
         self.count: dict[int, np.ndarray] = {}
         self.known = np.zeros(0, np.int64)  # training count of each word of vocab
         self.own, self.log = np.zeros(0, bool), np.zeros(0)
-        self.score = np.zeros(len(ids))
+        self.score, self.base, self.found = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+
+    def __getstate__(self) -> dict:
+        made = self.__dict__ | {"symbol": _bytes(self.symbol), "log": _bytes(self.log.astype(np.float32))}
+        return made | {"count": {m: _bytes(c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c) for m, c in self.count.items()}}
+
+    def __setstate__(self, made: dict) -> None:
+        self.__dict__.update(made)
+        self.symbol, self.log = _values(made["symbol"], np.int32), _values(made["log"], np.float32).astype(float)
+        self.count = {m: _values(c, np.uint32 if len(c) == 4 else np.int64).astype(np.int64) for m, c in made["count"].items()}
 
     @property
     def doc(self) -> np.ndarray:
@@ -108,12 +127,26 @@ class Chunk:
     def begin(self, tokens: int, types: int) -> None:
         self.log = np.log10((self.known + 1.0) / (tokens + types + 1))[self.symbol]
         self.log[self.first] = 0.0
+        self.base = np.bincount(self.doc, self.log, len(self.ids))
+        self.found = np.bincount(self.doc, (self.known[self.symbol] > 0) & ~self.first, len(self.ids)).astype(np.int64)
+
+    def forget(self) -> None:
+        """Drop the symbols that lie in no n-gram of two tokens that occurs twice, and the words that are left nowhere."""
+        often = self.count[2] >= 2
+        used = often.copy()
+        used[:-1] |= often[1:]
+        words, symbol = np.unique(self.symbol[used], return_inverse=True)
+        self.vocab = np.append(self.vocab[words], np.uint64(0))
+        self.symbol = np.full(len(self.symbol), len(words), np.int32)
+        self.symbol[used] = symbol
+        self.known = np.zeros(0, np.int64)
 
     def asks(self, step: int, depth: int) -> Iterator[tuple[int, np.ndarray, dict]]:
         """(kind, sorted keys, what comes with them) of a step: positive kinds are orders of n-grams, negative ones of contexts."""
         train = ~np.repeat(self.held, np.diff(self.bounds))
         if step == 1:
-            yield 1, self.vocab, {"n": np.bincount(self.symbol, train, len(self.vocab)).astype(np.int64)}
+            order = np.argsort(self.vocab)
+            yield 1, self.vocab[order], {"n": np.bincount(self.symbol, train, len(self.vocab)).astype(np.int64)[order]}
         if step <= depth:
             at = self.grams_asked(step + 1)
             keys, index = np.unique(self.gram(step + 1)[at], return_inverse=True)
@@ -134,7 +167,8 @@ class Chunk:
     def learn(self, step: int, depth: int, replies: dict[int, list[tuple[int, dict]]], discount: float) -> None:
         """Take in the answers to asks(step)."""
         if step == 1:
-            self.known = np.concatenate([x["n"] for _, x in sorted(replies[1], key=lambda r: r[0])])
+            self.known = np.zeros(len(self.vocab), np.int64)
+            self.known[np.argsort(self.vocab)] = np.concatenate([x["n"] for _, x in sorted(replies[1], key=lambda r: r[0])])
         if step > 1:
             k = step - 1
             at = self.contexts_asked(k)
@@ -163,6 +197,8 @@ class Chunk:
                 over[self.contexts_asked(step)] = False
             self.score += np.bincount(self.doc[over], self.log[over], len(self.ids))
             self.log[over] = 0.0
+            if step == 2:
+                self.forget()
             self.count.pop(step - 1, None)
 
 
@@ -177,10 +213,13 @@ def _chunks(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
         stream[bounds[1:] - 1] = END
         stream[inside] = words.hash
-        vocab, symbol = np.unique(stream, return_inverse=True)
+        vocab, symbol, times = np.unique(stream, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
         held = batch.column("held_out").to_numpy(zero_copy_only=False)
         sizes = np.diff(bounds) - 1
-        chunk = Chunk(batch.column("doc_id").to_pylist(), held, bounds, vocab, symbol.astype(np.int32))
+        chunk = Chunk(batch.column("doc_id").to_pylist(), held, bounds, vocab[order], rank[symbol])
         yield _row((part << 32) + number, int(sizes.sum()), int(sizes[~held].sum()), chunk)
         number += 1
 
@@ -288,21 +327,19 @@ def _learning(step: int, depth: int, tokens: int, types: int, discount: float):
     return run
 
 
-def _scores(tokens: int, types: int):
+def _scores(tokens: int):
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
             for i in range(batch.num_rows):
                 chunk = _chunk_of(batch, i)
-                known, doc, n, token = chunk.known[chunk.symbol], chunk.doc, len(chunk.ids), ~chunk.first
-                base = np.log10((known + 1.0) / (tokens + types + 1))
                 yield pa.record_batch(
                     [
                         pa.array(chunk.ids, pa.int64()),
                         pa.array(chunk.held),
                         pa.array(np.diff(chunk.bounds) - 1, pa.int64()),
-                        pa.array(np.bincount(doc[token], known[token] > 0, n).astype(np.int64)),
-                        pa.array(np.full(n, tokens, np.int64)),
-                        pa.array(np.bincount(doc[token], base[token], n)),
+                        pa.array(chunk.found),
+                        pa.array(np.full(len(chunk.ids), tokens, np.int64)),
+                        pa.array(chunk.base),
                         pa.array(chunk.score),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -335,13 +372,15 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int =
     for step in range(1, depth + 2):
         asked = state.df.mapInArrow(_asking(step, depth, buckets, tokens, types), _ASK)
         replies = Saved(asked.groupBy("bucket", "kind").applyInArrow(_answering(discount, strictness), _REPLY), "replies")
+        del asked
         tidy(spark)
         if step == 1:
             types = int(replies.df.agg(F.sum("types")).first()[0] or 0)
         learned = state.df.groupBy("chunk").cogroup(replies.df.groupBy("chunk")).applyInArrow(_learning(step, depth, tokens, types, discount), _STATE)
         after = Saved(learned, "chunks")
+        del learned
         state.drop()
         replies.drop()
         tidy(spark)
         state = after
-    return state.df.mapInArrow(_scores(tokens, types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return state.df.mapInArrow(_scores(tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
