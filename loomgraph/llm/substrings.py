@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Saved, tidy
-from .textkernel import Words, batches, gram_hashes
+from .textkernel import Words, batches, gram_hashes, once
 
 #: Places of one anchor that are compared pair by pair at most; more are extended all at once, by window.
 PAIRED = 64
@@ -176,17 +176,6 @@ def _windows(window: int):
     return run
 
 
-def _once(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of each cid; repeated rows have come to one task by their key."""
-    seen: set[int] = set()
-    for batch in items:
-        keep = []
-        for c in batch.column("cid").to_pylist():
-            keep.append(c not in seen)
-            seen.add(c)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _cut():
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(items):
@@ -244,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = False) -> Da
     wanted = gathered.df.join(classes, "cid").hint("shuffle_hash")
     held = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_id"] == wanted["k_text"]))
     parts = held.select("cid", "mult", "text", F.col("z.place").alias("places"), F.col("z.seed").alias("seeds"), F.col("z.few").alias("few"))
-    made = Saved(parts.mapInArrow(_once, parts.schema), "held")
+    made = Saved(parts.mapInArrow(once, parts.schema), "held")
     tidy(spark)
 
     around = made.df.where(F.exists("few", lambda x: x)).select("cid", "text", "places", "seeds", "few").mapInArrow(_contexts(window), "seed long, cid long, place int, around binary")

@@ -184,6 +184,17 @@ def runs(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def once(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each cid of a task, for rows that are repeated and have come to one task by their key."""
+    seen: set[int] = set()
+    for batch in items:
+        keep = []
+        for c in batch.column("cid").to_pylist():
+            keep.append(c not in seen)
+            seen.add(c)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph over n nodes with edges a - b."""
     root = list(range(n))

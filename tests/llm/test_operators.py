@@ -469,5 +469,46 @@ def test_near_duplicates_equal_brute_force(spark, fixture):
     assert jaccard.link_classes(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
 
 
-def test_prefixes_are_shortened_until_the_recall_is_reached():
-    assert jaccard.choose_depth(0.8, 0.999) == 4 and jaccard.choose_depth(0.95, 0.999) == 8 and jaccard.choose_depth(0.1, 0.999) == 1
+@pytest.mark.parametrize("cross", [False, True])
+def test_tries_join_what_sketches_allow(cross):
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(r.integers(2, 14))
+        rest = sorted(r.integers(0, 2, 4, dtype=np.uint8).astype(">u4").tobytes() for _ in range(n))
+        sketch, apart = r.integers(0, 2, (n, 8), dtype=np.uint8), r.integers(0, 2, n)
+        got = jaccard.trie_links(rest, sketch, apart if cross else None, 0.75)
+        near = lambda x, y: (sketch[x] == sketch[y]).mean() >= 0.75 and (not cross or apart[x] != apart[y])
+        root, own = list(range(n)), list(range(n))
+        for x in range(n):
+            for y in range(n):
+                if x != y and near(x, y):
+                    root = [min(root[x], root[y]) if c in (root[x], root[y]) else c for c in root]
+        for x, y in got:
+            assert near(x, y)
+            own = [min(own[x], own[y]) if c in (own[x], own[y]) else c for c in own]
+        assert own == root and len(got) == n - len(set(root))
+
+
+def test_forest_is_cut_until_the_audit_is_content(spark, fixture, monkeypatch):
+    df, _ = fixture
+    assert jaccard.expected_recall(0.8, 4) > 0.999 > jaccard.expected_recall(0.8, 5)
+    depths, prefixes = [], jaccard._prefixes
+    monkeypatch.setattr(jaccard, "_prefixes", lambda depth: depths.append(depth) or prefixes(depth))
+    want = sorted(map(str, jaccard.link_classes(df, block=4).select("doc_id", "class_id", "n_links").collect()))
+    assert depths == [4]
+    monkeypatch.setattr(jaccard, "least_recall", lambda rows: 0.9 if len(depths) < 4 else 1.0)
+    assert sorted(map(str, jaccard.link_classes(df, block=4).select("doc_id", "class_id", "n_links").collect())) == want and depths == [4, 4, 3, 2]
+    monkeypatch.setattr(jaccard, "least_recall", lambda rows: 0.0)
+    assert sorted(map(str, jaccard.link_classes(df, block=4).select("doc_id", "class_id", "n_links").collect())) == want
+
+
+def test_audit_counts_links_by_brute_force(spark, fixture):
+    df, rows = fixture
+    assert jaccard.least_recall([(9, 9), (1, 1), (1, 0)]) == 0.5 and jaccard.least_recall([]) == 1.0
+    texts_of = sorted({r[1] or "" for r in rows})
+    sets = {t: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for t in texts_of for w in [words(t)]}
+    asked = [(i, np.unique(jaccard.shingle_sets(pa.array([t]), 5)[0])) for i, t in enumerate(texts_of) if sets[t]]
+    batch = pa.record_batch([pa.array([t.encode() for t in texts_of]), pa.array(texts_of)], ["text_id", "text"])
+    got = {(a, b) for part in jaccard._audit(asked, 5, 0.8)(iter([batch])) for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)}
+    want = {(i, u.encode()) for i, t in enumerate(texts_of) for u in texts_of if sets[t] & sets[u] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u])}
+    assert got == want and len(want) > len(texts_of)
