@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Saved, tidy
+from ..runtime import Saved, shared_dir, tidy
 from .textkernel import Words, batches, mix
 
 #: The begin of a text, a symbol of contexts only, and its end, counted as a token; no word hashes to them but by chance.
@@ -348,6 +349,27 @@ def _scores(tokens: int):
     return run
 
 
+class _Dealt(Saved):
+    """Chunks in a table of the shared folder with ``parts`` buckets by chunk: to be joined with answers, it need not move."""
+
+    def __init__(self, df: DataFrame, parts: int) -> None:
+        self.spark, self.schema, self.name = df.sparkSession, df.schema, f"loomgraph_chunks_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/loomgraph/{self.name}"
+        df.write.format("parquet").bucketBy(parts, "chunk").option("path", self.path).saveAsTable(self.name)
+
+    @property
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Take the table from the catalogue; its files stay."""
+        self.spark.sql(f"drop table if exists {self.name}")
+
+    def drop(self) -> None:
+        self.forget()
+        super().drop()
+
+
 def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int = 3, discount: float = 0.5, strictness: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -376,11 +398,13 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int =
         tidy(spark)
         if step == 1:
             types = int(replies.df.agg(F.sum("types")).first()[0] or 0)
-        learned = state.df.groupBy("chunk").cogroup(replies.df.groupBy("chunk")).applyInArrow(_learning(step, depth, tokens, types, discount), _STATE)
-        after = Saved(learned, "chunks")
-        del learned
+        held = state.table if step > 1 else state.df
+        learned = held.groupBy("chunk").cogroup(replies.df.groupBy("chunk")).applyInArrow(_learning(step, depth, tokens, types, discount), _STATE)
+        after = _Dealt(learned, max(8, math.ceil(int(sums["chunks"]) / 4)))
+        del held, learned
         state.drop()
         replies.drop()
         tidy(spark)
         state = after
+    state.forget()
     return state.df.mapInArrow(_scores(tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
