@@ -20,27 +20,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     length of chains; rounds are written to the shared folder and the plan never grows. Edges with a null end and loops
     are left out of the search (a node with nothing but a loop appears as its own component).
     """
-    spark = edges.sparkSession
     own = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
     state = Saved(own.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = state.df.where("a = b").select(F.col("a").alias("node"))
     current, held, seen = state.df.where("a <> b"), [state], None
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # the least neighbours are written, so that the join sees two plain exchanges and a node of very many edges can be split
+        near = Saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = near.df
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         turned = large.where("a <> b")
         lower = turned.groupBy("a").agg(F.min("b").alias("m"))
         small = turned.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
         step = Saved(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        near.drop()
         now = _mark(step.df)
-        if now == seen or not now[0]:
+        if not now[0] or (now == seen and step.df.join(current, ["a", "b"], "left_anti").isEmpty()):
             break
         seen, current = now, step.df
         held.append(step)
         if len(held) > 3:
             held.pop(1).drop()
-    _ = spark
     linked = step.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = linked.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     alone = loops.join(linked.select("node").union(roots.select("node")), "node", "left_anti").withColumn("component", F.col("node"))

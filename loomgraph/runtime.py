@@ -35,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of this machine serves a
+    local session, as in tests; on a cluster that raises, since each executor would write to its own disk."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
@@ -63,11 +66,28 @@ class Saved:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _KEPT.discard(self.path)
+
+
+#: Tables of saved() that have not been removed; results read them, so clear() is called when those are done with.
+_KEPT: set[str] = set()
 
 
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, cut from its lineage by a table in the shared folder."""
-    return Saved(df, name).df
+    """df, cut from its lineage by a table in the shared folder, which stays until clear()."""
+    made = Saved(df, name)
+    _KEPT.add(made.path)
+    return made.df
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that saved() has left in the shared folder; no result that reads one may be used after it."""
+    paths = list(_KEPT)
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _KEPT.discard(p)
+    return len(paths)
 
 
 def let(value, body):
