@@ -24,7 +24,7 @@ from .textkernel import Words, batches, mix
 #: The begin of a text, a symbol of contexts only, and its end, counted as a token; no word hashes to them but by chance.
 BEGIN, END = np.uint64(0xBE61BE61BE61BE61), np.uint64(0x5EED5EED5EED5EED)
 #: Bytes of text in a chunk, and keys in a bucket, about.
-CHUNK, BUCKET = 8 << 20, 1 << 21
+CHUNK, BUCKET = 4 << 20, 1 << 20
 
 _STATE = "chunk long, tokens long, train long, size long, data binary"
 _ASK = "bucket int, kind int, chunk long, at long, size long, data binary"
@@ -316,14 +316,15 @@ def _answering(discount: float, strictness: float):
 
 def _learning(step: int, depth: int, tokens: int, types: int, discount: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _chunk_of(left, 0)
+        chunk, same = _chunk_of(left, 0), [left.column(c)[0].as_py() for c in ("chunk", "tokens", "train")]
         replies: dict[int, list] = {}
         for i in range(right.num_rows):
             replies.setdefault(right.column("kind")[i].as_py(), []).append((right.column("at")[i].as_py(), _unpack(right.column("size")[i].as_py(), right.column("data")[i].as_py())))
         if step == 2:
             chunk.begin(tokens, types)
+        del left, right
         chunk.learn(step, depth, replies, discount)
-        return pa.Table.from_batches([_row(*(left.column(c)[0].as_py() for c in ("chunk", "tokens", "train")), chunk)])
+        return pa.Table.from_batches([_row(*same, chunk)])
 
     return run
 
