@@ -17,6 +17,8 @@ from .textkernel import Words, batches, forest, mix, once, runs
 TREES, DEEPEST = 16, 8
 #: Texts of the recall audit, at most: those of the lowest hashes of their text, of no more characters than AUDIT_CHARS.
 AUDIT_ROWS, AUDIT_CHARS = 400, 20_000
+#: Pairs of a shingle and an asked text counted at once.
+PAIRS = 1 << 20
 #: A pair of a bucket is a candidate if its signatures agree in a share of places within SLACK of the threshold; a pair at
 #: 0.8 fails that once in 1e8.
 SLACK = 0.2
@@ -289,8 +291,18 @@ def _audit(asked: list[tuple[int, np.ndarray]], k: int, threshold: float):
             once_each = np.unique(doc * len(known) + at[same])
             doc, at = once_each // len(known), once_each % len(known)
             times = begin[at + 1] - begin[at]
-            index = np.repeat(begin[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            pair, count = np.unique(np.repeat(doc, times) * len(asked) + owner[index], return_counts=True)
+            pairs, counts = [], []
+            firsts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            work = np.add.reduceat(times, firsts) if len(doc) else firsts
+            group = np.cumsum(work) // PAIRS  # whole texts, of about so many pairs of a shingle and an asked text
+            edges = [*firsts[np.flatnonzero(np.diff(group, prepend=-1))].tolist(), len(doc)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                many = times[lo:hi]
+                index = np.repeat(begin[at[lo:hi]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                found = np.unique(np.repeat(doc[lo:hi], many) * len(asked) + owner[index], return_counts=True)
+                pairs.append(found[0])
+                counts.append(found[1])
+            pair, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, counts))
             d, q = pair // len(asked), pair % len(asked)
             enough = count * part.denominator >= part.numerator * sizes[q]  # a link shares this much of either set
             d, q, count = d[enough], q[enough], count[enough]
@@ -426,16 +438,13 @@ def _sets(k: int):
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """One row of docs for each class of link_classes(): that of the least doc_id, unchanged.
+    """One row of docs for each class of link_classes(): that of the least doc_id, unchanged, with columns of any names.
 
     Where several rows have that doc_id, one of them stays; classes without any doc_id keep one row each text.
     """
-    from pyspark.sql import Window
-
-    columns = docs.columns
     linked = link_classes(docs, **options)
-    keep = linked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("k_doc"), F.col("text_id").alias("k_text"), F.col("class_id").alias("k_class")).distinct()
-    rows = docs.withColumn("k_own", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    both = rows.join(keep.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("k_own") == F.col("k_text")))
-    first = Window.partitionBy("k_doc", "k_text").orderBy(*[c for c in columns if c not in ("text",)])
-    return both.withColumn("k_turn", F.row_number().over(first)).where("k_turn = 1").select(*columns)
+    keep = linked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_id").distinct()
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))).alias("own"))
+    both = rows.join(keep.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("text_id")))
+    first = Window.partitionBy("id", "own").orderBy(*[F.col("row").getField(c) for c in docs.columns if c != "text"])
+    return both.withColumn("turn", F.row_number().over(first)).where("turn = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
