@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .textkernel import PUNCTUATION, Words, batches, gram_hashes
 
 GRAM, WINNOW, BAND = 3, 2, 6
-#: Templates are broadcast; together they may hold this many words at most.
-MAX_TEMPLATE_WORDS = 200_000
+#: Templates go to every executor; together they may hold this many words (16 bytes each, with their fingerprints) at most,
+#: several times those of all published licenses.
+MAX_TEMPLATE_WORDS = 8_000_000
 
 # Notices that texts carry, by SPDX identifier.
 TEMPLATES = {
@@ -163,7 +164,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     Null or empty text: no matches. Null doc_id: scanned. Repeated rows are scanned each. Empty table: no rows. Extra
     columns are ignored.
     """
-    index = Index(templates or TEMPLATES)
+    index = Index(TEMPLATES if templates is None else templates)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 

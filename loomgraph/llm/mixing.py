@@ -158,18 +158,19 @@ def apply(docs: DataFrame, **options: object) -> DataFrame:
 
     n_chars, if there, is measured anew on a cut row. A null or empty text takes no words, so it is left out.
     """
-    columns = docs.columns
-    taken = mix(docs, **options).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "epochs", "partial")
-    turn = lambda key, source, size: F.row_number().over(Window.partitionBy(key).orderBy(source, size))
-    taken = taken.withColumn("m_turn", turn("m_doc", "m_source", "m_size"))
-    rows = docs.withColumn("m_key", F.col("doc_id").cast("long")).withColumn("m_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("m_row", turn("m_key", F.col("source").cast("string"), "m_words"))
-    both = rows.join(taken.hint("shuffle_hash"), F.col("m_key").eqNullSafe(F.col("m_doc")) & (F.col("m_row") == F.col("m_turn")))
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("m_size") > 0, F.col("epochs")).otherwise(F.lit(0)).cast("int"))
-    part = F.when((F.col("partial") > 0) & (F.col("partial") < F.col("m_size")), F.array(F.col("partial"))).when(F.col("partial") > 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
-    out = both.withColumn("m_cut", F.explode(F.concat(whole, part)))
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    out = out.withColumn("text", F.when(F.col("m_cut") >= 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("m_cut"), F.lit(0)).cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("m_cut") >= 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return out.select(*columns)
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.struct("*").alias("row"))
+    rows = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size.alias("size"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
+    taken = mix(docs, **options).withColumn("turn", turn).select("doc_id", "turn", "epochs", "partial")
+    both = rows.withColumn("turn", turn).alias("r").join(taken.hint("shuffle_hash").alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.turn") == F.col("t.turn")))
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0)).cast("int"))
+    part = F.when((F.col("partial") > 0) & (F.col("partial") < F.col("size")), F.array(F.col("partial"))).when(F.col("partial") > 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    out = both.select("row", F.explode(F.concat(whole, part)).alias("cut"))
+    words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    text = F.when(F.col("cut") >= 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("cut"), F.lit(0)).cast("int")), " ")).otherwise(F.col("row.text"))
+    out = out.withColumn("text", text)
+    fields = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.when(F.col("cut") >= 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))
+    return out.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,5 +1,7 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between a trusted and the raw corpus.
 
+The n-grams are words and pairs of words, and the same of the words' shapes, which tell text from markup in any language.
+
 Built-in functions only: texts become arrays of words, and every count is an expression over those arrays.
 """
 
@@ -35,11 +37,6 @@ def _pairs(values: Column, k: int) -> Column:
     return let(values, lambda v: F.zip_with(short(v), _shift(v, k), lambda a, b: F.xxhash64(a, b)))
 
 
-def window_hashes(tokens: Column) -> Column:
-    """A 64-bit hash of each run of 8 tokens, from hashes of 1, 2 and 4 of them."""
-    return _pairs(_pairs(_pairs(F.transform(tokens, lambda w: F.xxhash64(w)), 1), 2), 4)
-
-
 def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
     """How many tokens lie in a window of width tokens whose hash occurs twice or more."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -55,18 +52,31 @@ def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
 
 
-def word_counts(text: Column) -> Column:
-    """struct(n, repeated): words of a text, and those in windows that occur twice; each array is made once a row."""
+def measures(text: Column, ratios: Column | None = None, buckets: tuple[int, int] = (0, 0)) -> Column:
+    """struct(n, repeated, total): words of a text, those in windows that occur twice, and the sum of the ratios of its words
+    and pairs of words; each array is made once a row. Windows have a 64-bit hash from hashes of 1, 2 and 4 words."""
 
-    def of_hashes(w: Column, h: Column) -> Column:
+    def of_windows(one: Column, two: Column, h: Column) -> Column:
         repeated = F.when(F.size(F.array_distinct(h)) < F.size(h), covered_by_repeats(h)).otherwise(F.lit(0))
-        return F.struct(F.size(w).alias("n"), repeated.alias("repeated"))
+        total = F.lit(0).cast("long")
+        if ratios is not None:
+            total = _sum(one, ratios, buckets[0], buckets[1]) + _sum(two, ratios, buckets[0], buckets[1])
+        return F.struct(F.size(one).alias("n"), repeated.alias("repeated"), total.alias("total"))
+
+    ones = F.transform(words(text), lambda w: F.xxhash64(w))
+    return let(ones, lambda one: let(_pairs(one, 1), lambda two: let(_pairs(_pairs(two, 2), 4), lambda h: of_windows(one, two, h))))
+
+
+def _bucket(h: Column, first: int, buckets: int) -> Column:
+    return (F.pmod(h, F.lit(buckets)) + F.lit(first)).cast("int")
+
 
-    return let(words(text), lambda w: let(window_hashes(w), lambda h: of_hashes(w, h)))
+def _sum(hashes: Column, ratios: Column, first: int, buckets: int) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.get(ratios, _bucket(h, first, buckets)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and text with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+def base_counts(docs: DataFrame, ratios: Column | None = None, buckets: tuple[int, int] = (0, 0)) -> DataFrame:
+    """doc_id and text with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and total of measures().
 
     The windows of a text are compared by 64-bit hashes, so two different windows of one text count as equal with a
     probability of about its squared number of words in 2**65.
@@ -77,7 +87,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     counts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         bare.alias("text"),
-        word_counts(bare).alias("q"),
+        measures(bare, ratios, buckets).alias("q"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("q_dup"),
     )
     bare = F.col("text")
@@ -89,6 +99,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.coalesce(F.length(bare) - F.length(F.regexp_replace(bare, r"[#*$%&|<>]+", "")), F.lit(0)).cast("long").alias("n_symbols"),
         F.col("q_dup").cast("long").alias("n_dup_lines"),
         F.col("q.repeated").cast("long").alias("n_repeat_words"),
+        F.col("q.total").alias("total"),
     )
 
 
@@ -98,71 +109,77 @@ def shapes(text: Column) -> Column:
     return words(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}+", "A"), r"[0-9]+", "0"))
 
 
-def grams(tokens: Column, buckets: int) -> Column:
-    """Buckets of the hashed single tokens and pairs of neighbours."""
-    ones = F.transform(tokens, lambda w: F.xxhash64(w))
-    both = F.transform(F.array(ones), lambda h: F.concat(h, _pairs(h, 1)))[0]
-    return F.transform(both, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def _with_pairs(hashes: Column) -> Column:
+    return let(hashes, lambda h: F.concat(h, _pairs(h, 1)))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 0.5) -> list[int]:
+def grams(text: Column, buckets: tuple[int, int]) -> Column:
+    """Buckets of the hashed shapes and pairs of shapes, then, after buckets[0] of those, of the words and pairs of words."""
+    of_shapes = F.transform(_with_pairs(F.transform(shapes(text), lambda w: F.xxhash64(w))), lambda h: _bucket(h, 0, buckets[0]))
+    of_words = F.transform(_with_pairs(F.transform(words(text), lambda w: F.xxhash64(w))), lambda h: _bucket(h, *buckets))
+    return F.concat(of_shapes, of_words)
+
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int], smoothing: float = 20.0) -> list[int]:
     """For every bucket, 1e6 times the natural logarithm of its trusted over its raw probability, rounded. Both counts are
     smoothed on the raw corpus's scale, so that a small trusted corpus is not at a disadvantage.
 
-    trusted: doc_id of trusted documents, TRUSTED_ROWS at most. Raw counts are of all documents. Only ``buckets`` rows of
-    counts reach the driver. No trusted document: all zero, so that every document is at the threshold's mercy equally.
+    trusted: doc_id of trusted documents, TRUSTED_ROWS at most. Raw counts are of all documents. Only a row of counts a
+    bucket reaches the driver. No trusted document: all zero, so that every document is at the threshold's mercy equally.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(TRUSTED_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), grams(shapes(F.col("text")), buckets).alias("g"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), grams(F.col("text"), buckets).alias("g"))
     marked = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left")
     counted = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode("g").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("target"))
-    raw, target = [0] * buckets, [0] * buckets
+    raw, target = [0] * sum(buckets), [0] * sum(buckets)
     for r in counted.collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
-        return [0] * buckets
+        return [0] * sum(buckets)
     scale = sum(raw) / sum(target)
     return [round(1e6 * math.log((t * scale + smoothing) / (r + smoothing))) for t, r in zip(target, raw, strict=True)]
 
 
-def gram_score(text: Column, ratios: Column, buckets: int) -> Column:
-    """struct(n, total): n-grams of a text and the sum of their ratios."""
-    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
-    return let(grams(shapes(text), buckets), lambda g: F.struct(F.size(g).cast("long").alias("n"), total(g).alias("total")))
+def _table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int]) -> Column:
+    return F.split(F.lit(",".join(map(str, ratio_table(docs, trusted, buckets)))), ",").cast("array<long>")
+
+
+def _shape_score(text: Column, ratios: Column, buckets: int) -> Column:
+    """The sum of the ratios of a text's shapes and pairs of shapes, of which there are as many as words and pairs of words."""
+    return _sum(_with_pairs(F.transform(shapes(text), lambda w: F.xxhash64(w))), ratios, 0, buckets)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, buckets: int = 4096, threshold: float = -0.06) -> DataFrame:
+def _n_grams(n: Column) -> Column:
+    return (F.lit(4) * n - F.when(n > 0, F.lit(2)).otherwise(F.lit(0))).cast("long")
+
+
+def judge(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.06) -> DataFrame:
     """doc_id, base counts, base_failed, score (mean log-likelihood ratio of its n-grams), kept, for every document.
 
     A document fails the base rules with under 20 words, or over 30 % of words in repeated windows. It is kept if it does
     not and its score, in whole millionths, is at least threshold times its number of n-grams: integer arithmetic, so
-    reruns and other partitionings agree. Null or empty text: no words, base_failed. Null doc_id: judged, never trusted.
-    Repeated rows are judged each. Empty table: no rows. Extra columns are ignored.
+    reruns and other partitionings agree, and a score at the threshold (a tie) is kept. Null or empty text: no words,
+    base_failed. Very long texts are read whole. Null doc_id: judged, never trusted. Repeated rows are judged each. Empty
+    table: no rows. Extra columns are ignored.
     """
-    table = ratio_table(docs, trusted, buckets)
-    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
-    counts = base_counts(docs).withColumn("q_score", gram_score(F.col("text"), ratios, buckets))
+    ratios = _table(docs, trusted, buckets)
+    counts = base_counts(docs, ratios, buckets).withColumn("q_shapes", _shape_score(F.col("text"), ratios, buckets[0]))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("q_score.n").alias("q_n"), F.col("q_score.total").alias("q_total"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    scored = counts.select(*base, _n_grams(F.col("n_words")).alias("q_n"), (F.col("total") + F.col("q_shapes")).alias("q_total"))
     return scored.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+        *base,
         failed.alias("base_failed"),
         F.when(F.col("q_n") > 0, F.col("q_total") / F.col("q_n") / F.lit(1e6)).otherwise(F.lit(0.0)).alias("score"),
         (~failed & (F.col("q_total") >= F.lit(round(threshold * 1e6)) * F.col("q_n"))).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that judge() keeps, unchanged, in one pass without a shuffle: the verdict is an expression."""
-    columns = docs.columns
-    buckets, threshold = int(options.get("buckets", 4096)), float(options.get("threshold", -0.06))
-    ratios = F.split(F.lit(",".join(map(str, ratio_table(docs, trusted, buckets)))), ",").cast("array<long>")
-    w, g = F.col("q_words"), F.col("q_score")
-    held = docs.select(*columns, word_counts(F.col("text")).alias("q_words"), gram_score(F.col("text"), ratios, buckets).alias("q_score"))
-    good = (w["n"] >= 20) & (100 * w["repeated"].cast("long") <= 30 * w["n"].cast("long")) & (g["total"] >= F.lit(round(threshold * 1e6)) * g["n"])
-    return held.where(good).select(*columns)
+def keep_good(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.06) -> DataFrame:
+    """The rows of docs that judge() keeps, unchanged, in one pass without a shuffle: the verdict is an expression. Columns
+    may have any names."""
+    ratios, text = _table(docs, trusted, buckets), F.col("row.text").cast("string")
+    held = docs.select(F.struct("*").alias("row")).select("row", measures(text, ratios, buckets).alias("m"), _shape_score(text, ratios, buckets[0]).alias("s"))
+    n = F.col("m.n").cast("long")
+    good = (n >= 20) & (100 * F.col("m.repeated").cast("long") <= 30 * n) & (F.col("m.total") + F.col("s") >= F.lit(round(threshold * 1e6)) * _n_grams(n))
+    return held.where(good).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -176,6 +176,61 @@ def test_quality_counts_and_verdicts(spark, fixture):
     assert quality.judge(empty(spark), df.select("doc_id")).count() == 0
 
 
+def test_quality_scores_are_mean_log_ratios(spark, fixture):
+    """Counts, buckets and ratios by dictionaries; only the hash is asked of Spark."""
+    df, rows = fixture
+    buckets = (64, 512)
+    own = {r[0]: r[1] for r in rows if r[1] is not None}
+    shape = lambda w: re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", w)))
+    some = {i: t for i, t in own.items() if i is not None and t.isascii()}
+    singles = sorted({x for t in some.values() for w in words(t) for x in (w, shape(w))})
+    h = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in singles], "x string").selectExpr("x", "xxhash64(x)").collect()}
+    pairs = sorted({(h[a], h[b]) for t in some.values() for ws in (words(t), [shape(w) for w in words(t)]) for a, b in zip(ws[:-1], ws[1:], strict=True)})
+    hh = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", "xxhash64(a, b)").collect()}
+
+    def grams(t):
+        out = []
+        for base, n, ws in ((0, 64, [shape(w) for w in words(t)]), (64, 512, words(t))):
+            ones = [h[w] for w in ws]
+            out += [base + x % n for x in ones + [hh[p] for p in zip(ones[:-1], ones[1:], strict=True)]]
+        return out
+
+    part = df.where(df.doc_id.isin(list(some)))
+    kept = [r for r in rows if r[0] in some]
+    trusted = {i for i in some if i is not None and i < 20}
+    raw, good = collections.Counter(), collections.Counter()
+    for r in kept:
+        raw.update(grams(r[1]))
+        good.update(grams(r[1]) if r[0] in trusted else [])
+    scale = sum(raw.values()) / sum(good.values())
+    ratio = {b: round(1e6 * math.log((good[b] * scale + 20) / (raw[b] + 20))) for b in raw}
+    got = {r["doc_id"]: r for r in quality.judge(part, df.where("doc_id < 20").select("doc_id"), buckets).collect()}
+    for r in kept:
+        g = grams(r[1])
+        want = sum(ratio[b] for b in g) / len(g) / 1e6 if g else 0.0
+        assert abs(got[r[0]]["score"] - want) < 1e-9
+        assert got[r[0]]["kept"] == (not got[r[0]]["base_failed"] and sum(ratio[b] for b in g) >= -60000 * len(g))
+
+
+CLASHING = ["row", "epochs", "partial", "m_size", "turn", "size", "cut", "q_words", "q_score", "m", "s", "k_doc", "k_text", "id", "own", "text_id", "class_id", "secret_base", "secret_spans", "found", "clean", "Kept", "a.b", "q_n", "base", "lead"]
+
+
+def test_columns_may_have_any_names(spark, fixture):
+    df, rows = fixture
+    from pyspark.sql import functions as F
+
+    clash = df.select("doc_id", "text", "source", "n_chars", *[F.col("n").cast("string").alias(c) for c in CLASHING])
+    bare = df.select("doc_id", "text", "source", "n_chars")
+    trusted = df.where("doc_id < 30").select("doc_id")
+    for run in (lambda x: quality.keep_good(x, trusted), jaccard.keep_one, secrets.redact, mixing.apply):
+        got, want = run(clash), run(bare)
+        assert got.columns == clash.columns
+        assert sorted(map(str, got.select("doc_id", "text", "source", "n_chars").collect())) == sorted(map(str, want.collect()))
+        assert {str(r["a.b"]) for r in got.collect()} <= {"7", "1", "None"}
+    for run in (lambda x: quality.judge(x, trusted), jaccard.link_classes, mixing.mix, substrings.remove_repeats, suffixtree.score, licenses.scan):
+        assert sorted(map(str, run(clash).collect())) == sorted(map(str, run(bare).collect()))
+
+
 def test_quality_rejects_what_is_unlike_the_trusted(spark):
     good = [(i, " ".join(f"word{k % 7}" if k % 5 else "Plain," for k in range(i % 20 + 30, i % 20 + 70)).replace("0", "a"), "x") for i in range(40)]
     good = [(i, re.sub(r"\d", "b", t) + f" tail{'c' * (i % 5)} end", s) for i, t, s in good]
@@ -431,6 +486,28 @@ def test_secret_spans(spark, fixture):
     assert secrets.redact(empty(spark)).count() == 0
 
 
+def test_hot_windows_equal_entropies_counted_anew(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    rows = [(k, "".join(r.choice((signs, signs[:6], "0123456789abcdef")[k % 3]) for _ in range(r.randint(0, 70)))) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    for window, bits in ((16, 3.0), (20, 3.6), (5, 1.9)):
+        for x in df.select("s", secrets.hot_windows(F.col("s"), window, bits).alias("h")).collect():
+            hot = [i for i, e in enumerate(entropies(x["s"], window)) if e >= bits - 1e-12]
+            assert tuple(x["h"]) == ((hot[0], hot[-1] + window) if hot else (None, None))
+
+
+def test_many_spans_and_long_strings(spark):
+    r = random.Random(2)
+    many = " ".join(f"token = abcdefghijkl{i}" for i in range(700))
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20000))
+    got = {x["doc_id"]: [tuple(s) for s in x["secret_spans"]] for x in secrets.scan(spark.createDataFrame([(1, many), (2, long)], "doc_id long, text string")).collect()}
+    assert [s for s in got[1] if s[2] != "entropy"] == brute_secrets(many) and len(got[1]) == 700
+    assert [(s[0], s[2], s[3]) for s in got[2]] == [(0, "entropy", 20000)]
+
+
 def test_entropy_spans_beyond_base_spans_and_placeholders(spark):
     key = "wJalrXUtnFEMIxK7MDENGxbPxRfiCYzQ3"
     shown = {
