@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import Saved, saved
-from .traverse import best_edges, degrees, oriented, reach
+from .traverse import degrees, oriented, reach
 
 # What a node and an edge must have, and the values their enumerations allow.
 NODE_FIELDS = ("id", "label", "file_type", "source_file")
@@ -415,7 +415,7 @@ def reached_tests(edges: DataFrame, tests: DataFrame, depth: int = 3) -> DataFra
     """(symbol, test): what each test reaches within depth hops."""
     from .traverse import bounded_paths
 
-    return bounded_paths(tests, best_edges(oriented(edges)), 1, depth).select(F.col("end").alias("symbol"), F.col("start").alias("test"))
+    return bounded_paths(tests, oriented(edges), 1, depth).select(F.col("end").alias("symbol"), F.col("start").alias("test"))
 
 
 def wrong_side(edges: DataFrame, entries: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def entry_paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, depth: i
     """(start, end, depth, edge_ids) of shortest paths from entries to sinks."""
     from .traverse import bounded_paths
 
-    found = bounded_paths(entries, best_edges(oriented(edges)), 1, depth)
+    found = bounded_paths(entries, oriented(edges), 1, depth)
     return found.join(sinks.select(F.col("id").alias("end")), "end", "left_semi").select("start", "end", "depth", "edge_ids")
 
 

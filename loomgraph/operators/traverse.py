@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Saved, saved
+from ..runtime import saved
 
 
 def oriented(edges: DataFrame, way: str = "out", relations: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -30,58 +32,54 @@ def bounded_paths(starts: DataFrame, hops: DataFrame, low: int, high: int) -> Da
 
     With low <= 1 every end comes once, at its least depth (a start is its own end at depth 0 if low is 0, else only
     through a cycle). With low >= 2 it comes once, at the first depth from low on; one path for each (start, end) is kept a
-    level, paths without an inferred edge first, which bounds the frontier by the number of pairs.
+    level, paths without an inferred edge first, then the surer, lower last edge, which bounds the frontier by the number
+    of pairs. hops may hold parallel edges: they are met by the frontier first and the best is chosen in the same
+    aggregate. Each level is written, so none is computed again by those after it.
     """
     own = starts.select(F.col("id").alias("start")).distinct()
     front = own.select("start", F.col("start").alias("end"), F.lit(0).alias("depth"), F.lit(False).alias("inferred"), F.array().cast("array<bigint>").alias("edge_ids"))
     levels = [front] if low == 0 else []
     step = hops.select(F.col("u"), F.col("v"), F.col("edge_id").alias("via"), F.col("inferred").alias("guess"), F.col("line").alias("via_line"))
-    one_best = Window.partitionBy("start", "end").orderBy("inferred", "via_line", "via")
     for depth in range(1, high + 1):
-        moved = front.join(step, F.col("end") == F.col("u")).where(~F.array_contains("edge_ids", F.col("via")))
-        moved = moved.select("start", F.col("v").alias("end"), F.lit(depth).alias("depth"), (F.col("inferred") | F.col("guess")).alias("inferred"), F.concat("edge_ids", F.array("via")).alias("edge_ids"), "via", "via_line")
-        front = moved.withColumn("r", F.row_number().over(one_best)).where("r = 1").drop("r", "via", "via_line")
+        moved = front.join(step, F.col("end") == F.col("u"))
+        if low >= 2:  # a first arrival repeats no edge, so only later ones are looked at
+            moved = moved.where(~F.array_contains("edge_ids", F.col("via")))
+        best = F.min(F.struct((F.col("inferred") | F.col("guess")).alias("inferred"), "guess", "via_line", "via", F.concat("edge_ids", F.array("via")).alias("edge_ids"))).alias("best")
+        found = moved.groupBy("start", F.col("v").alias("end")).agg(best)
         if low <= 1 and levels:
-            seen = levels[0].select("start", "end")
-            for other in levels[1:]:
-                seen = seen.unionByName(other.select("start", "end"))
-            front = front.join(seen, ["start", "end"], "left_anti")
-        if depth % 3 == 0 and depth < high:
-            front = saved(front, "front")
+            seen = reduce(DataFrame.unionByName, [x.select("start", "end") for x in levels])
+            found = found.join(seen, ["start", "end"], "left_anti")
+        front = saved(found.select("start", "end", F.lit(depth).alias("depth"), F.col("best.inferred").alias("inferred"), F.col("best.edge_ids").alias("edge_ids")), "front")
         if depth >= low:
             levels.append(front)
-    out = levels[0]
-    for other in levels[1:]:
-        out = out.unionByName(other)
+    out = reduce(DataFrame.unionByName, levels)
     if low >= 2:
-        first = Window.partitionBy("start", "end").orderBy("depth")
-        out = out.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+        first = F.min(F.struct("depth", "inferred", "edge_ids")).alias("best")
+        out = out.groupBy("start", "end").agg(first).select("start", "end", "best.depth", "best.inferred", "best.edge_ids")
     return out
 
 
 def reach(starts: DataFrame, hops: DataFrame, depth: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(id, distance) of every node reached, starts at 0; to a fix-point if depth is None.
 
-    through: nodes (id) that may be walked from; others are reached and not left (starts always are).
+    through: nodes (id) that may be walked from; others are reached and not left (starts always are). A level is one join
+    of the frontier with the hops and one anti-join with all that was seen.
     """
-    seen = Saved(starts.select("id").distinct().withColumn("distance", F.lit(0)), "reach")
-    parts, front, d = [seen], seen.df, 0
-    step = hops.select("u", "v").distinct()
+    seen = [saved(starts.select("id").distinct().withColumn("distance", F.lit(0)), "reach")]
+    step, d = hops.select("u", "v"), 0
     while depth is None or d < depth:
         d += 1
-        outgoing = front if through is None or d == 1 else front.join(through.select("id"), "id", "left_semi")
+        outgoing = seen[-1] if through is None or d == 1 else seen[-1].join(through.select("id"), "id", "left_semi")
         found = outgoing.join(step, F.col("id") == F.col("u")).select(F.col("v").alias("id")).distinct()
-        for p in parts:
-            found = found.join(p.df.select("id"), "id", "left_anti")
-        new = Saved(found.withColumn("distance", F.lit(d)), "reach")
-        front = new.df
-        if front.isEmpty():
+        found = found.join(reduce(DataFrame.unionByName, [x.select("id") for x in seen]), "id", "left_anti")
+        if d == depth:
+            seen.append(found.withColumn("distance", F.lit(d)))  # the last level is only read once
             break
-        parts.append(new)
-    out = parts[0].df
-    for p in parts[1:]:
-        out = out.unionByName(p.df)
-    return out
+        new = saved(found.withColumn("distance", F.lit(d)), "reach")
+        if new.isEmpty():
+            break
+        seen.append(new)
+    return reduce(DataFrame.unionByName, seen)
 
 
 def hub_threshold(degrees: DataFrame, floor: int = 50, share: float = 0.99) -> int:
@@ -108,7 +106,7 @@ def guarded_bfs(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: in
 
 def shortest_path(starts: DataFrame, ends: DataFrame, hops: DataFrame, high: int = 10) -> DataFrame:
     """(start, end, depth, inferred, edge_ids) of a shortest path between the given nodes."""
-    found = bounded_paths(starts, best_edges(hops), 0, high)
+    found = bounded_paths(starts, hops, 0, high)
     return found.join(ends.select(F.col("id").alias("end")).distinct(), "end", "left_semi").select("start", "end", "depth", "inferred", "edge_ids")
 
 

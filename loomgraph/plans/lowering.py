@@ -8,12 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.traverse import best_edges, bounded_paths, oriented
+from ..operators.traverse import bounded_paths, oriented
 from . import pattern as P
 
 # Statuses from best to worst, by rank, and how many lines and examples a row cites.
 STATUSES = ("statically_verified", "strong_inference", "weak_inference", "unknown")
 LINES_PER_NODE, EXAMPLES = 3, 3
+#: Lines of a bucket in joins of definitions with lines.
+LINE_BUCKET = 256
+#: Rows that patterns without a common variable may give.
+MAX_PRODUCT = 10_000_000
 COLUMN = {"name": "name", "label": "label", "file": "source_file", "line": "line", "id": "id"}
 
 
@@ -148,9 +152,11 @@ class Lowering:
 
         collect(c)
         for rx in at:
-            lines = self.graph.lines.where(F.col("text").rlike(rx)).select(F.col("file").alias("l_file"), F.col("line").alias("l_line"))
+            lines = self.graph.lines.where(F.col("text").rlike(rx)).select(F.col("file").alias("l_file"), F.col("line").alias("l_line"), F.floor(F.col("line") / LINE_BUCKET).alias("l_bucket"))
             end = F.coalesce(F.col("line_end"), F.col("line"))
-            found = df.join(lines, (F.col("source_file") == F.col("l_file")) & (F.col("l_line") >= F.col("line")) & (F.col("l_line") <= end)).select(F.col("id").alias("f_id")).distinct()
+            cut = df.where(F.col("line") <= end).select("id", "source_file", "line", end.alias("end"), F.explode(F.sequence(F.floor(F.col("line") / LINE_BUCKET), F.floor(end / LINE_BUCKET))).alias("bucket"))
+            within = (F.col("source_file") == F.col("l_file")) & (F.col("bucket") == F.col("l_bucket")) & (F.col("l_line") >= F.col("line")) & (F.col("l_line") <= F.col("end"))
+            found = cut.join(lines, within).select(F.col("id").alias("f_id")).distinct()
             df = df.join(found, F.col("id") == F.col("f_id"), "left").withColumn(flags[rx], F.col("f_id").isNotNull()).drop("f_id")
 
         def turn(x: object) -> Column:
@@ -173,33 +179,49 @@ class Lowering:
             out = (out & m) if c.op == "and" else (out | m)
         return out, None
 
-    def hops(self, e: P.Edge, starts: DataFrame) -> DataFrame:
-        """(u, v, inferred): pairs an edge pattern joins."""
-        one = best_edges(oriented(self.graph.edges, e.way, e.relations))
-        if (e.low, e.high) == (1, 1):
-            return one.select("u", "v", "inferred")
-        return bounded_paths(starts, one, e.low, e.high).select(F.col("start").alias("u"), F.col("end").alias("v"), "inferred")
-
-    def path(self, p: P.Path, local: bool = False, outer: set[str] = frozenset()) -> DataFrame:
-        """Bindings of a pattern: node columns and ``inferred``; a variable met again is an equality."""
-        if len(p.edges) == 1 and not local and self._ends_smaller(p):
+    def hops(self, e: P.Edge, starts: DataFrame, few: bool, ends: DataFrame | None) -> DataFrame:
+        """(u, v, inferred): pairs an edge pattern joins. few: the starts are restricted; ends: the ids the other end is
+        restricted to. Edges are met by both before they are grouped, so a selective end prunes the shuffle."""
+        all_hops = oriented(self.graph.edges, e.way, e.relations)
+        if (e.low, e.high) != (1, 1):
+            return bounded_paths(starts, all_hops, e.low, e.high).select(F.col("start").alias("u"), F.col("end").alias("v"), "inferred")
+        if few:
+            all_hops = all_hops.join(starts.select(F.col("id").alias("u")), "u", "left_semi")
+        if ends is not None:
+            all_hops = all_hops.join(ends.select(F.col("id").alias("v")), "v", "left_semi")
+        return all_hops.groupBy("u", "v").agg(F.min("inferred").alias("inferred"))
+
+    def path(self, p: P.Path, local: bool = False, outer: set[str] = frozenset(), given: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Bindings of a pattern: node columns and ``inferred``; a variable met again is an equality. given: for variables
+        that are bound already, a table of their columns that their nodes are taken from."""
+        given = given or {}
+        if (len(p.edges) == 1 and not local and self._ends_smaller(p)) or (p.nodes[0].var not in given and p.nodes[-1].var in given):
             p = P.Path(p.nodes[::-1], tuple(P.Edge(e.relations, {"out": "in", "in": "out"}.get(e.way, e.way), e.low, e.high) for e in p.edges[::-1]))
-        df = self.scan(p.nodes[0], push=not local or p.nodes[0].var in outer).withColumn("inferred", F.lit(False))
-        seen = {p.nodes[0].var}
-        for e, n in zip(p.edges, p.nodes[1:], strict=True):
-            last = p.nodes[p.nodes.index(n, 1) - 1] if p.nodes.count(n) == 1 else p.nodes[[i for i in range(1, len(p.nodes)) if p.edges[i - 1] is e][0] - 1]
+
+        def candidates(n: P.Node) -> DataFrame:
+            if n.var not in given:
+                return self.scan(n, push=not local or n.var in outer)
+            known = given[n.var]
+            return known if not n.kinds else known.join(self.scan(n, False).select(F.col(f"`{n.var}.id`")), [f"`{n.var}.id`"], "left_semi")
+
+        narrow = lambda n: n.var in given or ((not local or n.var in outer) and bool(self.pushed.get(n.var)))
+        first = p.nodes[0]
+        df, few, seen = candidates(first).withColumn("inferred", F.lit(False)), narrow(first), {first.var}
+        for last, e, n in zip(p.nodes[:-1], p.edges, p.nodes[1:], strict=True):
             at = F.col(f"`{last.var}.id`")
-            pairs = self.hops(e, df.select(at.alias("id")))
+            right = None if n.var in seen else candidates(n)
+            ends = right.select(F.col(f"`{n.var}.id`").alias("id")) if right is not None and narrow(n) else None
+            pairs = self.hops(e, df.select(at.alias("id")), few, ends)
             df = df.join(pairs.select(F.col("u").alias("hop_u"), F.col("v").alias("hop_v"), F.col("inferred").alias("hop_i")), at == F.col("hop_u"))
             df = df.withColumn("inferred", F.col("inferred") | F.col("hop_i")).drop("hop_u", "hop_i")
-            if n.var in seen:
+            if right is None:
                 df = df.where(F.col(f"`{n.var}.id`") == F.col("hop_v"))
                 if n.kinds:
                     df = df.join(self.scan(n, False).select(F.col(f"`{n.var}.id`").alias("hop_k")), F.col("hop_v") == F.col("hop_k"), "left_semi")
                 df = df.drop("hop_v")
             else:
-                right = self.scan(n, push=not local or n.var in outer)
                 df = df.join(right, F.col("hop_v") == F.col(f"`{n.var}.id`")).drop("hop_v")
+            few = few or narrow(n)
             seen.add(n.var)
         return df
 
@@ -208,14 +230,22 @@ class Lowering:
         pinned = lambda v: any(id_pins(c) for c in self.pushed.get(v, []))
         return p.edges[0].high > 1 and pinned(p.nodes[1].var) and not pinned(p.nodes[0].var)
 
+    def _columns(self, df: DataFrame, var: str) -> DataFrame:
+        return df.select(*[F.col(f"`{var}.{c}`") for c in ("id", "label", "name", "source_file", "line")]).distinct()
+
     def bindings(self) -> DataFrame:
-        df, seen = None, set()
-        for p in self.query.paths:
-            own = self.path(p)
+        """All patterns joined, the restricted ones first, so that what they bind narrows the others."""
+        narrow = lambda p: sum(bool(self.pushed.get(v)) for v in p.vars())
+        df, seen, few = None, set(), False
+        rest = list(self.query.paths)
+        while rest:
+            p = max(rest, key=lambda x: (df is None or bool(seen & x.vars()), narrow(x)))
+            rest.remove(p)
+            shared = sorted(seen & p.vars())
+            own = self.path(p, given={v: self._columns(df, v) for v in shared} if few else None)
             if df is None:
                 df = own
             else:
-                shared = sorted(seen & p.vars())
                 renamed = own.withColumnRenamed("inferred", "other_inferred")
                 for v in shared:
                     for c in ("label", "name", "source_file", "line"):
@@ -227,22 +257,30 @@ class Lowering:
                         on = on & (F.col(f"`{v}.id`") == F.col(f"`{v}.id2`"))
                     df = df.join(renamed, on).drop(*[f"{v}.id2" for v in shared])
                 else:
+                    self._product(df, renamed)
                     df = df.crossJoin(renamed)
                 df = df.withColumn("inferred", F.col("inferred") | F.col("other_inferred")).drop("other_inferred")
             seen |= p.vars()
+            few = few or bool(narrow(p))
         for c in self.residual:
             df = self.restrict(df, c, seen)
         return df
 
-    def witness(self, e: P.Exists, seen: set[str]) -> tuple[DataFrame, list[str]]:
+    def _product(self, a: DataFrame, b: DataFrame) -> None:
+        """Patterns without a common variable multiply: raise if that gives more rows than MAX_PRODUCT."""
+        n, m = a.count(), b.count()
+        if n * m > MAX_PRODUCT:
+            raise P.QueryError(f"patterns without a common variable would give {n} x {m} rows, {MAX_PRODUCT} are allowed")
+
+    def witness(self, e: P.Exists, seen: set[str], df: DataFrame) -> tuple[DataFrame, list[str]]:
         shared = sorted(seen & e.path.vars())
-        found = self.path(e.path, local=True, outer=set(shared))
+        found = self.path(e.path, local=True, outer=set(shared), given={v: self._columns(df, v) for v in shared})
         return found.select(*[F.col(f"`{v}.id`").alias(f"x{i}") for i, v in enumerate(shared)]).distinct(), shared
 
     def restrict(self, df: DataFrame, c: object, seen: set[str]) -> DataFrame:
         negated = isinstance(c, P.Logic) and c.op == "not" and isinstance(c.parts[0], P.Exists)
         if isinstance(c, P.Exists) or negated:
-            found, shared = self.witness(c.parts[0] if negated else c, seen)
+            found, shared = self.witness(c.parts[0] if negated else c, seen, df)
             on = F.lit(True)
             for i, v in enumerate(shared):
                 on = on & (F.col(f"`{v}.id`") == F.col(f"x{i}"))
@@ -253,7 +291,7 @@ class Lowering:
         def turn(x: object) -> Column:
             nonlocal df
             if isinstance(x, P.Exists):
-                found, shared = self.witness(x, seen)
+                found, shared = self.witness(x, seen, df)
                 self.serial += 1
                 flag = f"exists{self.serial}"
                 marked = found.withColumn(flag, F.lit(True))

@@ -90,7 +90,7 @@ def monitor(rx: str, baseline: DataFrame, store: C.Store) -> Callable[[DataFrame
 def maintained_postings(old: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
     """Postings after files(file, text) changed and others (file) went: theirs replaced, all others untouched."""
     out = changed.select("file").unionByName(gone.select("file"))
-    return old.join(out, "file", "left_anti").unionByName(S.postings(changed).select(*old.columns))
+    return old.join(out, "file", "left_anti").select(*old.columns).unionByName(S.postings(changed))
 
 
 def affected_closure(changed: DataFrame, imports: DataFrame, depth: int | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -35,13 +36,22 @@ def test_pagerank_sums_to_one(spark):
     assert abs(sum(ranks.values()) - 1) < 1e-6 and ranks["c"] > ranks["b"] > ranks["a"]
 
 
-def test_required_literals_never_lose_a_match():
-    cases = {"foo.*bar": ["foo", "bar"], "(abc|abd)x": None, "ab": None, "[a-z]+hello": ["hello"], "(?:xyz)?qqq": ["qqq"]}
+def test_required_strings_never_lose_a_match():
+    f = lambda *x: frozenset(x)
+    cases = {"foo.*bar": [f("bar"), f("foo")], "(abc|abd)x": [f("abcx", "abdx")], "ab": [], "[a-z]+hello": [f("hello")], "(?:xyz)?qqq": [f("qqq")], "a|bcd": [], "(?:abc){2,}d": [f("abcabc")], "gr[ae]y": [f("gray", "grey")]}
+    cases |= {"foo(?=zip)bar": [f("foobar")], "(abc.*|.xyz)": [f("abc", "xyz")], "x{3}y": [f("xxxy")], "(?i)hello": [f("hello")], "(?i)skip": [], "caf\u00e9 noir": [f(" noir"), f("caf")]}
     for pattern, want in cases.items():
-        need = search.required(pattern)
-        flat = re.findall(r"'lit', '([^']+)'", str(need))
-        assert flat == want if want else need is None or need[0] in ("or", "and", "lit")
-    assert search.required("a|bcd") is None and search.required("skip", ignore_case=True) is None
+        assert search.required(pattern) == want, pattern
+    assert search.required("skip", ignore_case=True) == [] and search.required("hello", ignore_case=True) == [f("hello")]
+    r = random.Random(3)
+    for _ in range(400):
+        piece = lambda d=0: r.choice(["a", "bc", "abc", "[ab]", "c?", "(?:ab)+", "a{2}", ".", "^", "x*", f"(?:{piece(d + 1)}|{piece(d + 1)})" if d < 2 else "b"])  # noqa: E731, B023
+        pattern = "".join(piece() for _ in range(r.randint(1, 6)))
+        needs = search.required(pattern)
+        for _ in range(30):
+            text = "".join(r.choice("abcx") for _ in range(r.randint(0, 14)))
+            if re.search(pattern, text):
+                assert all(any(x in text for x in need) for need in needs), (pattern, needs, text)
 
 
 def test_indexed_search_equals_a_scan(spark):
@@ -60,8 +70,17 @@ def test_filters():
     for bad in ("is:odd", "/(/", "(path:a", "path:a OR"):
         with pytest.raises(search.FilterError):
             search.parse_filters(bad)
-    with pytest.raises(search.FilterError):
-        search.where_column("__import__('os')", {"a"})
+    for bad in ("__import__('os')", "a >", "a > 1 and", "(a > 1", "b > 1", "3", "a 1", "a = 1", "not " * 60 + "a"):
+        with pytest.raises(search.FilterError):
+            search.where_column(bad, {"a"})
+
+
+def test_inventory_conditions(spark):
+    rows = [(a, b) for a in range(4) for b in range(4)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for text in ("a", "not a", "a > 1 and b < 2 or not (a == b)", "0 < a <= b", "a != 2 and (b >= 1 or a)", "not a and not b == 3"):
+        want = [(a, b) for a, b in rows if eval(text, {"a": a, "b": b})]  # noqa: S307
+        assert sorted(map(tuple, df.where(search.where_column(text, {"a", "b"})).collect())) == sorted(want), text
 
 
 def test_scalar_functions(spark):

@@ -77,16 +77,29 @@ def test_built_queries_equal_written_ones(graph):
 @pytest.mark.parametrize(
     ("text", "part"),
     [
-        ("return x", "starts with MATCH"),
-        ("match (x:wizard)", "unknown kind"),
-        ("match (x)-[calls*1..11]->(y)", "at most 10"),
-        ("match (x)-[*3..2]->(y)", "empty"),
-        ("match (x)-[e:calls]->(y)", "no variables"),
-        ("match (x) where y.id = 'a'", "not bound"),
-        ("match (x) where x.line = 'a'", "number"),
-        ("match (x) where x.name ~ '('", "regular expression"),
-        ("match (x) limit 0", "at least 1"),
-        ("match (x) where x.text = 'a'", "only be searched"),
+        ("return x", "come first"),
+        ("match (x:wizard)", "no such kind"),
+        ("match (x)-[calls*1..11]->(y)", "more than the 10"),
+        ("match (x)-[*3..2]->(y)", "no number of edges"),
+        ("match (x)-[e:calls]->(y)", "cannot be named"),
+        ("match (x) where y.id = 'a'", "no pattern binds"),
+        ("match (x) where x.line = 'a'", "with numbers"),
+        ("match (x) where x.name ~ '('", "cannot be compiled"),
+        ("match (x) limit 0", "above 0"),
+        ("match (x) where x.text = 'a'", "nothing else"),
+        ("match (x) where", "missing here"),
+        ("match (x) where (x.id = 'a'", "never closed"),
+        ("match (x) where x.id = 'a' x.id", "cannot stand in a condition"),
+        ("match (x) where x.id == 'a'", "value"),
+        ("match (x) where x.line ~ '1'", "field of characters"),
+        ("match (x) where x.name ~ x.label", "field of characters"),
+        ("match (x) where x.size = 1", "no field"),
+        ("match (x)-[calls]->", "node is missing"),
+        ("match (x)<-[calls]->(y)", "one way"),
+        ("match (x) return x y", "RETURN lists"),
+        ("match (x) return x where x.id = 'a'", "cannot stand after"),
+        ("match (x) where " + "not " * 40 + "x.id = 'a'", "nested"),
+        ("match (x) ?", "belongs to nothing"),
     ],
 )
 def test_errors_say_what_is_wrong(text, part):
@@ -94,6 +107,24 @@ def test_errors_say_what_is_wrong(text, part):
         P.parse(text)
 
 
+def test_conditions_bind_as_written():
+    c = lambda v: P.Compare(P.Ref("x", "id"), "=", v)
+    tree = P.parse("MATCH (x) WHERE NOT x.id = 'a' and x.id='b' OR (x.id = 'c' or x.id = 'd') AND not not x.id = \"e'\\\"\" Return x.file, Count( x ), COUNT(*) limit 7")
+    left = P.Logic("and", (P.Logic("not", (c("a"),)), c("b")))
+    right = P.Logic("and", (P.Logic("or", (c("c"), c("d"))), P.Logic("not", (P.Logic("not", (c("e'\""),)),))))
+    assert tree.where == P.Logic("or", (left, right)) and tree.limit == 7
+    assert tree.items == [P.Item("x", "file"), P.Item("x", None, True), P.Item("*", None, True)]
+
+
+def test_edges_and_nodes_are_read_whole():
+    tree = P.parse("(a:Class|function)-[calls|uses*2]->()<-[*..4]-(b)-[ : count * 3.. ]-(:file), (b) where exists (a)-[*]->(:test) and not exists (b)<-[x]-()")
+    (p, q) = tree.paths
+    assert [n.kinds for n in p.nodes] == [("class", "function"), (), (), ("file",)] and [n.named for n in p.nodes] == [True, False, True, False]
+    assert p.edges == (P.Edge(("calls", "uses"), "out", 2, 2), P.Edge((), "in", 1, 4), P.Edge(("count",), "both", 3, 10))
+    assert q == P.Path((P.Node("b"),)) and len({n.var for n in p.nodes}) == 4 and [i.var for i in tree.items] == ["a", "b"]
+    assert tree.where.parts[0].path.edges == (P.Edge((), "out", 1, 5),)
+
+
 def test_globs():
     import re
 
