@@ -26,6 +26,9 @@ BEGIN, END = np.uint64(0xBE61BE61BE61BE61), np.uint64(0x5EED5EED5EED5EED)
 #: Bytes of text in a chunk, and keys in a bucket, about.
 CHUNK, BUCKET = 4 << 20, 1 << 20
 
+#: Steps of one in which stored logarithms are rounded.
+_STEPS = 1 << 18
+
 _STATE = "chunk long, tokens long, train long, size long, data binary"
 _ASK = "bucket int, kind int, chunk long, at long, size long, data binary"
 _REPLY = "chunk long, kind int, at long, types long, size long, data binary"
@@ -81,12 +84,12 @@ class Chunk:
         self.score, self.base, self.found = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
 
     def __getstate__(self) -> dict:
-        made = self.__dict__ | {"symbol": _bytes(self.symbol), "log": _bytes(self.log.astype(np.float32))}
+        made = self.__dict__ | {"symbol": _bytes(self.symbol), "log": _bytes(np.rint(self.log * -_STEPS).astype(np.uint32))}
         return made | {"count": {m: _bytes(c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c) for m, c in self.count.items()}}
 
     def __setstate__(self, made: dict) -> None:
         self.__dict__.update(made)
-        self.symbol, self.log = _values(made["symbol"], np.int32), _values(made["log"], np.float32).astype(float)
+        self.symbol, self.log = _values(made["symbol"], np.int32), _values(made["log"], np.uint32) / -_STEPS
         self.count = {m: _values(c, np.uint32 if len(c) == 4 else np.int64).astype(np.int64) for m, c in made["count"].items()}
 
     @property

