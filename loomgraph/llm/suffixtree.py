@@ -391,7 +391,7 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int =
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % held_out_of == held_out, F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), out.alias("held_out"))
-    state = Saved(own.mapInArrow(_chunks, _STATE), "chunks")
+    state = _Dealt(own.mapInArrow(_chunks, _STATE), 4 * spark.sparkContext.defaultParallelism)
     sums = state.df.agg(F.sum("train").alias("n"), F.sum("tokens").alias("all"), F.count("*").alias("chunks")).first()
     tokens, types = int(sums["n"] or 0), 0
     buckets = max(8, math.ceil(int(sums["all"] or 0) / BUCKET))
@@ -400,9 +400,10 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, depth: int =
         replies = Saved(asked.groupBy("bucket", "kind").applyInArrow(_answering(discount, strictness), _REPLY), "replies")
         del asked
         tidy(spark)
+        tidy(spark)  # what was asked is the largest exchange; its files should be gone before the chunks are written anew
         if step == 1:
             types = int(replies.df.agg(F.sum("types")).first()[0] or 0)
-        held = state.table if step > 1 else state.df
+        held = state.table
         learned = held.groupBy("chunk").cogroup(replies.df.groupBy("chunk")).applyInArrow(_learning(step, depth, tokens, types, discount), _STATE)
         after = _Dealt(learned, max(8, math.ceil(int(sums["chunks"]) / 4)))
         del held, learned
