@@ -240,5 +240,5 @@ def redact(text: Column) -> Column:
 def sql_tables(text: Column) -> Column:
     """Names after FROM, JOIN, INTO, UPDATE and TABLE, comments and strings blanked, in lower case."""
     # one pass from left to right: what opens first, a string or a comment, hides the other
-    bare = F.regexp_replace(text, r"('(?:[^']|'')*+')|-{2}.*+|(?s:/[*].*?[*]/)", " ")
+    bare = F.regexp_replace(text, r"'[^']*'|-{2}[^\n]*|(?s:/[*].*?[*]/)", " ")
     return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"(?i)\b(?:from|join|into|update|table)\s+([a-z_][a-z0-9_.]*)"), F.lit(1)), lambda x: F.lower(x)))

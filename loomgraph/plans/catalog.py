@@ -232,22 +232,6 @@ def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
     return ranks.where("id like 'nation:%' or id like 'region:%'").select("id", F.round(F.col("rank") * 1e6, 3).alias("rank"))
 
 
-@query()
-def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    """PageRank of the nation and region graph with a focus, to convergence."""
-    e = adapter.edges(spark, d, ("located_in", "in_region")).where("src like 'nation:%' or src like 'supplier:%'")
-    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    w = e.groupBy("src", "dst").agg(F.sqrt(F.count("*")).alias("weight"))
-    return graphops.pagerank(n, w, n.where("id = 'nation:1'"), rounds=20, tolerance=1e-8)
-
-
-@query()
-def pagerank_personal(spark: SparkSession, d: str) -> DataFrame:
-    e = adapter.edges(spark, d, ("located_in", "in_region")).where("src like 'nation:%' or src like 'supplier:%'").withColumn("weight", F.lit(1.0))
-    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return graphops.personalised_pagerank(n, e, n.where("id like 'supplier:1%'").withColumn("mass", F.lit(1.0)), rounds=5)
-
-
 @query(
     """with o as (select o_orderkey k from orders where o_orderpriority<>'1-URGENT'), n as (select o_orderkey k from orders where o_orderkey%3<>0)
  select 'order:'||k id, 'added' change from n where k not in (select k from o) union all select 'order:'||k, 'removed' from o where k not in (select k from n)"""
@@ -331,12 +315,6 @@ def import_cycles_3(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.array_join("cycle", "|").alias("cycle"), F.col("length").cast("int").alias("length"))
 
 
-@query()
-def scc_components(spark: SparkSession, d: str) -> DataFrame:
-    t = _trade(spark, d)
-    return graphops.strong_components(t.select(F.col("src").alias("id")).union(t.select("dst")).distinct(), t)
-
-
 @query()
 def feedback_edges(spark: SparkSession, d: str) -> DataFrame:
     t = _trade(spark, d)
@@ -354,12 +332,6 @@ def community_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return graphops.cohesion(m, _trade(spark, d)).withColumn("cohesion", F.round("cohesion", 6))
 
 
-@query()
-def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    g = adapter.graph(spark, d, ("supplied_by", "located_in"))
-    return graphops.renumber(graphops.label_propagation(g.nodes.where("file_type in ('part', 'supplier', 'nation')"), g.edges.where("src not like 'customer:%'"), 3))
-
-
 @query(
     """select n_regionkey community, left(sha256(string_agg(n_name||chr(0), '' order by n_name)), 16) fingerprint, count(*) n from nation group by 1"""
 )
@@ -368,26 +340,14 @@ def community_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return graphops.fingerprints(m).join(m.groupBy("community").agg(F.count("*").alias("n")), "community")
 
 
-@query(
-    f"""with {NODES}, {EDGES}, ends as (select src id from edges union all select dst from edges), deg as (select n.id, file_type, split_part(source_file,'/',1) top, count(e.id) degree from nodes n left join ends e on e.id=n.id group by 1,2,3)
- select src, dst, relation, ((case confidence when 'INFERRED' then 2 else 1 end) + 4 + (case when least(a.degree,b.degree)<=2 and greatest(a.degree,b.degree)>=5 then 1 else 0 end))::int score
- from edges e join deg a on a.id=src join deg b on b.id=dst where relation in ('located_in','in_region')"""
-)
-def surprise_score(spark: SparkSession, d: str) -> DataFrame:
-    g = adapter.graph(spark, d)
-    n = g.nodes
-    return graphops.surprise(n, g.edges).where("relation in ('located_in', 'in_region')").select("src", "dst", "relation", "score")
-
-
 @query(
     f"""with {NODES}, {EDGES} select rule, e.src, e.dst, case when confidence='EXTRACTED' then 'VIOLATED' else 'POSSIBLE' end verdict from edges e join nodes a on a.id=src join nodes b on b.id=dst
- join (values ('no-order-part','order','part'), ('no-nation-region','nation','region')) r(rule,f,t) on f=a.file_type and t=b.file_type where a.line<=50"""
+ join (values ('no-order-part','order','part'), ('no-nation-region','nation','region')) r(rule,f,t) on f=a.file_type and t=b.file_type"""
 )
 def guard_violations(spark: SparkSession, d: str) -> DataFrame:
     g = adapter.graph(spark, d, ("contains", "in_region"))
     rules = spark.createDataFrame([("no-order-part", "order", "part"), ("no-nation-region", "nation", "region")], "rule string, from_group string, to_group string")
-    low = g.edges.join(g.nodes.where("line <= 50").select(F.col("id").alias("src")), "src", "left_semi")
-    return graphops.checked_guards(g.nodes, low, rules, F.col("file_type"))
+    return graphops.checked_guards(g.nodes, g.edges, rules, F.col("file_type"))
 
 
 @query(
@@ -498,14 +458,14 @@ def claim_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with s as (select o_custkey f, o_orderkey sym, o_orderkey%97 a, o_orderkey%97+o_orderkey%13 b from orders where o_custkey<=200), h as (select user_id f, (event_id%110)::bigint line, value>=50 hit from events where user_id<=200),
+    """with s as (select o_custkey f, o_orderkey sym, o_orderkey%97 a, o_orderkey%97+o_orderkey%13 b from orders), h as (select user_id f, (event_id%110)::bigint line, value>=50 hit from events),
  j as (select h.*, sym, row_number() over (partition by h.f, line, hit, rid order by b-a, -a, sym) k from (select *, row_number() over () rid from h) h left join s on s.f=h.f and line between a and b)
  select f file, sym symbol, count(*) filter (where hit) covered, count(*) measured from j where k=1 group by 1,2"""
 )
 def coverage_interval(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey <= 200")
+    o = table(spark, d, "orders")
     spans = o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("symbol"), (F.col("o_orderkey") % 97).alias("start"), (F.col("o_orderkey") % 97 + F.col("o_orderkey") % 13).alias("end"))
-    hits = table(spark, d, "events").where("user_id <= 200").select(F.col("user_id").alias("file"), (F.col("event_id") % 110).alias("line"), (F.col("value") >= 50).cast("int").alias("hits"))
+    hits = table(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 110).alias("line"), (F.col("value") >= 50).cast("int").alias("hits"))
     return history.coverage_by_symbol(hits, spans)
 
 
@@ -573,14 +533,14 @@ def benchmark_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with l as (select o_custkey f, row_number() over (partition by o_custkey order by o_orderkey) line from orders where o_custkey<=50),
- h as (select c_custkey f, 5 s, 2 ol, 4 nl from customer where c_custkey<=50 union all select c_custkey, 10, 3, 0 from customer where c_custkey<=50)
+    """with l as (select o_custkey f, row_number() over (partition by o_custkey order by o_orderkey) line from orders),
+ h as (select c_custkey f, 5 s, 2 ol, 4 nl from customer union all select c_custkey, 10, 3, 0 from customer)
  select f file, line, (case when line<5 then line when line<7 then null when line<10 then line+2 when line<13 then null else line-1 end)::bigint new_line from l"""
 )
 def carried_lines(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey <= 50")
+    o = table(spark, d, "orders")
     lines = o.select(F.col("o_custkey").alias("file"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("line"))
-    c = table(spark, d, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("file"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
     hunks = c.select("file", F.lit(5).alias("old_start"), F.lit(2).alias("old_len"), F.lit(4).alias("new_len")).union(c.select("file", F.lit(10), F.lit(3), F.lit(0)))
     return history.carried_lines(lines, hunks)
 
@@ -648,12 +608,12 @@ def tokens_idf(spark: SparkSession, d: str) -> DataFrame:
  s as (select count(*) t, avg(l) al, avg(nl) an, count(*) filter (where b0+n0+p0>0) d0, count(*) filter (where b1+n1+p1>0) d1, count(*) filter (where b2+n2+p2>0) d2 from c),
  f as (select c.*, s.*, b0/(0.25+0.75*l/al)+3.0*n0/(0.7+0.3*nl/an)+0.5*p0 t0, b1/(0.25+0.75*l/al)+3.0*n1/(0.7+0.3*nl/an)+0.5*p1 t1, b2/(0.25+0.75*l/al)+3.0*n2/(0.7+0.3*nl/an)+0.5*p2 t2 from c, s where b0+n0+p0+b1+n1+p1+b2+n2+p2>0),
  g as (select uid, ln(1+(t-d0+0.5)/(d0+0.5))*t0/(1.2+t0) + 0.5*ln(1+(t-d1+0.5)/(d1+0.5))*t1/(1.2+t1) + 0.25*ln(1+(t-d2+0.5)/(d2+0.5))*t2/(1.2+t2) score from f)
- select uid, round(score,6) score from g order by round(score,6) desc, uid limit 40"""
+ select uid, round(score,6) score, round(score/(select max(score) from g),6) share from g order by round(score,9) desc, uid limit 40"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("body"), F.col("source").alias("name"), F.col("lang").alias("path"))
-    scored = search.bm25f(docs, {"moron": 1.0, "license": 0.5, "src7": 0.25}).withColumn("score", F.round("score", 6))
-    return scored.orderBy(F.desc("score"), "uid").limit(40)
+    best = search.top_scores(search.bm25f(docs, {"moron": 1.0, "license": 0.5, "src7": 0.25}), 40)
+    return best.select("uid", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
 
 
 @query(
@@ -686,27 +646,6 @@ def near_dup_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_jaccard_pairs(table(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")), 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
-def near_dup_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """MinHash bands over the distinct words of conversation turns."""
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return dedup.minhash_pairs(c, "k", T.tokens(F.col("text")))
-
-
-@query(
-    f"""with f as (select item_id name, {TOK.format('text')} t from benchmark where len({TOK.format('text')})>=8), r as (select distinct name, list_aggregate(t[i:i+4],'string_agg',' ') run from (select name, t, unnest(range(1,len(t)-3)) i from f)),
- q as (select r.* from r join (select run from r group by 1 having count(*)<=20) z on z.run=r.run), n as (select name, count(*) n from q group by 1)
- select a.name a, b.name b, count(*) shared from q a join q b on a.run=b.run and a.name<b.name group by 1,2"""
-)
-def clone_shingles(spark: SparkSession, d: str) -> DataFrame:
-    """Rare runs of five tokens that two items share."""
-    f = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), T.tokens(F.col("text")).alias("tokens")).where("size(tokens) >= 8")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - 4), lambda i: F.array_join(F.slice("tokens", i, F.lit(5)), " ")))
-    flat = f.select("name", F.explode(runs).alias("run"))
-    few = flat.join(flat.groupBy("run").agg(F.count("*").alias("df")).where("df <= 20"), "run")
-    return few.select("run", F.col("name").alias("a")).join(few.select("run", F.col("name").alias("b")), "run").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
 @query(
     """with c as (select p_partkey, unnest(string_split(p_name,'')) ch from part), n as (select p_partkey, ch, count(*) k from c where ch<>'' group by 1,2)
  select p_partkey, round(-sum(k*1.0/t*log2(k*1.0/t)),6) bits from (select *, sum(k) over (partition by p_partkey) t from n) group by 1"""
@@ -737,10 +676,13 @@ def label_tiers(spark: SparkSession, d: str) -> DataFrame:
     return search.label_tiers(adapter.nodes(spark, d), "part/Brand#12").withColumn("tier", F.col("tier").cast("int"))
 
 
-@query("select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)',1), lambda x: lower(x)))) tables from (select doc_id, lang, regexp_replace(text,'[^ -~]',' ','g') as text from documents) where lang='en' and regexp_matches(text,'(?i)\\b(?:from|join|into|update|table) +([a-z_][a-z0-9_.]*)') and not regexp_matches(text,'--|/\\*|''')")
+@query(
+    r"""select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)\b(?:from|join|into|update|table)\s+([a-z_][a-z0-9_.]*)', 1), lambda x: lower(x)))) tables
+ from (select doc_id, regexp_replace(regexp_replace(text, '[^ -~\n]', ' ', 'g'), '''[^'']*''|-{2}[^\n]*|(?s:/[*].*?[*]/)', ' ', 'g') t from documents where text is not null)"""
+)
 def schema_lineage(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^ -~]", " ").alias("text")).where("not text rlike '--|/[*]|\\''")
-    return docs.select("doc_id", F.sort_array(T.sql_tables(F.col("text"))).alias("tables")).where("size(tables) > 0")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~\\n]", " ").alias("text"))
+    return docs.select("doc_id", F.sort_array(T.sql_tables(F.col("text"))).alias("tables"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) href from pages")
@@ -748,10 +690,12 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
 
 
-@query("select doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')) digest from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
+@query(
+    r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]{16,}', 'Bearer [secret]', 'g'),
+ '(?i)((?:password|secret|token|api_?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{12,}', '\1[secret]', 'g')) digest from documents where text is not null"""
+)
 def scrub_pii(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").rlike(T.EMAIL))
-    return docs.select("doc_id", F.md5(F.regexp_replace("text", T.EMAIL, "[email]")).alias("digest"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"))
 
 
 # -- claims and change --------------------------------------------------------------------------------------------------
@@ -769,11 +713,11 @@ def claim_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with d as (select distinct l_orderkey claim_id, l_partkey dep, l_suppkey%3 fp, l_partkey%10 file from lineitem where l_orderkey<=3000), f as (select p_partkey dep, p_partkey%3 fp from part where p_partkey%11<>0)
+    """with d as (select distinct l_orderkey claim_id, l_partkey dep, l_suppkey%3 fp, l_partkey%10 file from lineitem), f as (select p_partkey dep, p_partkey%3 fp from part where p_partkey%11<>0)
  select d.claim_id, case when max((f.fp is null or f.fp<>d.fp)::int)=1 then 'stale' else 'rebound' end verdict from d left join f on f.dep=d.dep group by 1 having max((f.fp is null or f.fp<>d.fp)::int)=1 or max((file<3)::int)=1"""
 )
 def stale_claims(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey <= 3000")
+    li = table(spark, d, "lineitem")
     deps = li.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("dep_key"), (F.col("l_suppkey") % 3).alias("fp"), (F.col("l_partkey") % 10).alias("file")).distinct()
     own = deps.select("claim_id").distinct().withColumn("status", F.lit("active"))
     facets = table(spark, d, "part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("dep_key"), (F.col("p_partkey") % 3).alias("fp"))
@@ -816,18 +760,6 @@ def _stream_folder(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
 
 
-@query()
-def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """All event ids through a watermarked deduplication, run to the end of what is there."""
-    from ..runtime import shared_dir
-    import uuid
-
-    root = f"{shared_dir(spark)}/loomgraph/stream-{uuid.uuid4().hex}"
-    stream = flows.deduplicated(_stream_folder(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"]).select("event_id", "event_type")
-    flows.run_once(stream, lambda df, _: df.write.mode("append").parquet(f"{root}/out"), f"{root}/state")
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
 @query("select user_id claim_id, arg_max(event_type, (ts, event_id)) status, arg_max(event_id, (ts, event_id)) seq from events group by 1")
 def stream_stateful_status(spark: SparkSession, d: str) -> DataFrame:
     """The status of each claim kept by a stateful operator; the newest row a claim has is the answer."""
@@ -839,3 +771,6 @@ def stream_stateful_status(spark: SparkSession, d: str) -> DataFrame:
     stream = flows.last_status(events)
     flows.run_once(stream, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out"), f"{root}/state", "update")
     return history.latest(spark.read.parquet(f"{root}/out"), ["claim_id"], ["batch"]).select("claim_id", "status", "seq")
+
+
+from . import catalog_more  # noqa: E402, F401  registers its queries here

@@ -96,11 +96,17 @@ def office_text(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, n int, text string")
 
 
+def _lines_in_order(spark: SparkSession, path: str):
+    """The lines of text files with their file, and windows that run over the lines of one file; a file may be read in splits."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("report"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return raw, Window.partitionBy("report").orderBy("split", "at")
+
+
 def lcov(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, hits) of an lcov report: each record belongs to the source file named last before it."""
-    raw = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    raw, order = _lines_in_order(spark, path)
     file = F.when(F.col("value").startswith("SF:"), F.substring("value", 4, 10_000))
-    named = raw.withColumn("file", F.last(file, ignorenulls=True).over(Window.orderBy("at")))
+    named = raw.withColumn("file", F.last(file, ignorenulls=True).over(order))
     da = named.where(F.col("value").startswith("DA:"))
     return da.select("file", F.regexp_extract("value", r"^DA:(\d+)", 1).cast("int").alias("line"), F.regexp_extract("value", r"^DA:\d+,(\d+)", 1).cast("int").alias("hits"))
 
@@ -184,9 +190,9 @@ def frames_on_files(frames: DataFrame, files: DataFrame) -> DataFrame:
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit, ts, author, path) of a log made by git with --name-only and the format ``@%H|%aI|%an``."""
-    raw = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    raw, order = _lines_in_order(spark, path)
     head = F.when(F.col("value").startswith("@"), F.substring("value", 2, 10_000))
-    rows = raw.withColumn("head", F.last(head, ignorenulls=True).over(Window.orderBy("at"))).where("value <> '' and not startswith(value, '@')")
+    rows = raw.withColumn("head", F.last(head, ignorenulls=True).over(order)).where("value <> '' and not startswith(value, '@')")
     part = lambda n: F.split("head", r"\|")[n]
     return rows.select(part(0).alias("commit"), part(1).cast("timestamp").alias("ts"), part(2).alias("author"), F.col("value").alias("path"))
 
