@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..graph.components import components
 from ..runtime import Saved, saved, tidy
-from .textkernel import Words, batches, forest, mix, once, runs
+from .textkernel import Words, across, batches, mix, once, runs, spanning
 
 TREES, DEEPEST = 16, 8
 #: Texts of the recall audit, at most: those of the lowest hashes of their text, of no more characters than AUDIT_CHARS.
@@ -123,26 +123,28 @@ def trie_links(rest: list[bytes], sketch: np.ndarray, apart: np.ndarray | None,
 
     Matches are taken at the longest prefix first, and the prefix is shortened a label at a time down to the root of the
     subtree; at each length only texts that no longer prefix has joined are compared, by their sketches. apart: the block
-    of each text, where only pairs of different blocks count.
+    of each text, where only links between blocks are wanted; texts of one block are joined first, as their own task does.
     """
     n = len(rest)
     root, kept = np.arange(n), []
-    for width in range(len(rest[0]) if n else 0, -1, -4):
-        cut = [0, *(i for i in range(1, n) if rest[i][:width] != rest[i - 1][:width]), n]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            for x in range(lo, hi - 1):
-                y = np.flatnonzero(root[x + 1 : hi] != root[x]) + x + 1
-                if apart is not None:
-                    y = y[apart[y] != apart[x]]
-                if not len(y):
+    for across in (False,) if apart is None else (False, True):
+        for width in range(len(rest[0]) if n else 0, -1, -4):
+            cut = [0, *(i for i in range(1, n) if rest[i][:width] != rest[i - 1][:width]), n]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if (root[lo:hi] == root[lo]).all():
                     continue
-                y = y[(sketch[y] == sketch[x]).mean(axis=1) >= least]
-                for z in y.tolist():
-                    if root[z] != root[x]:
-                        kept.append((x, z))
-                        root[lo:hi][root[lo:hi] == root[z]] = root[x]
+                for x in range(lo, hi - 1):
+                    y = np.flatnonzero(root[x + 1 : hi] != root[x]) + x + 1
+                    if apart is not None:
+                        y = y[(apart[y] != apart[x]) == across]
+                    if not len(y):
+                        continue
+                    y = y[(sketch[y] == sketch[x]).mean(axis=1) >= least]
+                    for z in y.tolist():
+                        if root[z] != root[x]:
+                            if across or apart is None:
+                                kept.append((x, z))
+                            root[root == root[z]] = root[x]
     return kept
 
 
@@ -256,11 +258,13 @@ def _verify(threshold: float):
                 link = (both > 0) & (both * (part.numerator + part.denominator) >= part.numerator * (size[:, None] + size[None, :]))
                 np.fill_diagonal(link, False)
                 if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+                    p, q = across(link, blk)
                     link &= blk[:, None] != blk[None, :]
+                else:
+                    p, q = spanning(link)
                 weight = link @ mult
                 out += [(int(c), None, int(w)) for c, w in zip(cid, weight, strict=True) if w]
-                x, y = np.nonzero(np.triu(link))
-                out += [(int(cid[p]), int(cid[q]), 0) for p, q in forest(n, x, y)]
+                out += [(x, y, 0) for x, y in zip(cid[p].tolist(), cid[q].tolist(), strict=True)]
             if len(out) > 4096:
                 yield made()
                 out.clear()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..graph.components import components
 from ..runtime import Saved, saved, tidy
-from .textkernel import forest, runs
+from .textkernel import across, runs, spanning
 
 #: Vectors of the recall audit: those of the lowest hashes of their id.
 AUDIT_ROWS = 1000
@@ -77,22 +77,6 @@ def _buckets(tables: list[int], bits: int):
     return run
 
 
-def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph with the symmetric matrix link, breadth first."""
-    free, a, b = link.any(axis=1), [], []
-    while free.any():
-        front = np.array([free.argmax()])
-        free[front] = False
-        while len(front):
-            rows = link[front]
-            new = np.flatnonzero(rows.any(axis=0) & free)
-            a.append(front[rows[:, new].argmax(axis=0)] if len(new) else new)
-            b.append(new)
-            free[new] = False
-            front = new
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def _pairs(u: np.ndarray, v: np.ndarray, sim: np.ndarray, span: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64()), pa.array(np.full(len(u), span))], ["u", "v", "sim", "span"])
 
@@ -186,15 +170,17 @@ def _compare(threshold: float):
             cid, blk, mult = (group.column(c).to_numpy() for c in ("cid", "blk", "mult"))
             unit = unit_rows(group.column("raw").to_pylist())
             link = unit @ unit.T >= threshold
+            link |= link.T
             np.fill_diagonal(link, False)
             if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+                p, q = across(link, blk)
                 link &= blk[:, None] != blk[None, :]
+            else:
+                p, q = spanning(link)
             weight = link @ mult
-            x, y = np.nonzero(np.triu(link))
-            kept = forest(n, x, y)
-            a = [*cid[weight > 0].tolist(), *(int(cid[p]) for p, _ in kept)]
-            b = [None] * int((weight > 0).sum()) + [int(cid[q]) for _, q in kept]
-            w = [*weight[weight > 0].tolist(), *[0] * len(kept)]
+            a = [*cid[weight > 0].tolist(), *cid[p].tolist()]
+            b = [None] * int((weight > 0).sum()) + cid[q].tolist()
+            w = [*weight[weight > 0].tolist(), *[0] * len(p)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (a, b, w)], ["a", "b", "w"])
 
     return run

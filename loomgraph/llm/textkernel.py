@@ -212,3 +212,35 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             root[max(p, q)] = min(p, q)
             kept.append((x, y))
     return kept
+
+
+def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph with the symmetric matrix link, breadth first."""
+    free, a, b = link.any(axis=1), [], []
+    while free.any():
+        front = np.array([free.argmax()])
+        free[front] = False
+        while len(front):
+            rows = link[front]
+            new = np.flatnonzero(rows.any(axis=0) & free)
+            a.append(front[rows[:, new].argmax(axis=0)] if len(new) else new)
+            b.append(new)
+            free[new] = False
+            front = new
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def across(link: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks of rows that, with those inside the blocks, span the graph of the symmetric matrix link: as
+    few as there are parts to join, not one a row."""
+    inside = link & (block[:, None] == block[None, :])
+    label = np.arange(len(link))
+    for p, q in zip(*(x.tolist() for x in spanning(inside)), strict=True):  # breadth first, so p has its final label
+        label[q] = label[p]
+    x, y = np.nonzero(np.triu(link & (block[:, None] != block[None, :])))
+    _, first = np.unique(label[x] * len(link) + label[y], return_index=True)
+    x, y = x[first], y[first]
+    kept = forest(len(link), label[x], label[y])
+    place = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(label[x], label[y], strict=True))}
+    at = [place[k] for k in kept]
+    return x[at], y[at]

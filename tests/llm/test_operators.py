@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomgraph.llm import jaccard, licenses, mixing, neardup, packing, quality, secrets, substrings, suffixtree, toxicity
+from loomgraph.llm import jaccard, licenses, mixing, neardup, packing, quality, secrets, substrings, suffixtree, textkernel, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed string, g long, n long, h1 long, cid long"
@@ -554,16 +554,34 @@ def test_tries_join_what_sketches_allow(cross):
         rest = sorted(r.integers(0, 2, 4, dtype=np.uint8).astype(">u4").tobytes() for _ in range(n))
         sketch, apart = r.integers(0, 2, (n, 8), dtype=np.uint8), r.integers(0, 2, n)
         got = jaccard.trie_links(rest, sketch, apart if cross else None, 0.75)
-        near = lambda x, y: (sketch[x] == sketch[y]).mean() >= 0.75 and (not cross or apart[x] != apart[y])
+        near = lambda x, y: (sketch[x] == sketch[y]).mean() >= 0.75
         root, own = list(range(n)), list(range(n))
         for x in range(n):
             for y in range(n):
                 if x != y and near(x, y):
                     root = [min(root[x], root[y]) if c in (root[x], root[y]) else c for c in root]
+                    if cross and apart[x] == apart[y]:
+                        own = [min(own[x], own[y]) if c in (own[x], own[y]) else c for c in own]
+        inside = len(set(own))
         for x, y in got:
-            assert near(x, y)
+            assert near(x, y) and (not cross or apart[x] != apart[y])
             own = [min(own[x], own[y]) if c in (own[x], own[y]) else c for c in own]
-        assert own == root and len(got) == n - len(set(root))
+        assert own == root and len(got) == inside - len(set(root))
+
+
+def test_links_across_blocks_are_as_few_as_can_be():
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(r.integers(2, 30))
+        link = np.triu(r.random((n, n)) < 0.08, 1)
+        link |= link.T
+        block = r.integers(0, 2, n)
+        join = lambda rows: textkernel.forest(n, *(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], []))))
+        inside = [(x, y) for x in range(n) for y in range(n) if link[x, y] and block[x] == block[y]]
+        p, q = textkernel.across(link, block)
+        assert all(link[x, y] and block[x] != block[y] for x, y in zip(p, q, strict=True))
+        every = len(join(list(zip(*(v.tolist() for v in np.nonzero(link)), strict=True))))
+        assert len(join(inside)) + len(p) == every == len(join(inside + list(zip(p.tolist(), q.tolist(), strict=True))))
 
 
 def test_forest_is_cut_until_the_audit_is_content(spark, fixture, monkeypatch):
