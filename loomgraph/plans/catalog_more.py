@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..graph.components import components
-from ..operators import claims, dedup, graphops, history, search
+from ..operators import analysis, claims, dedup, graphops, history, search
 from ..runtime import shared_dir, table
 from ..sources import adapter, readers, sinks
 from ..streaming import flows
@@ -529,3 +529,125 @@ def graph_load(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("src", "dst", "line")
 
 
+
+
+# -- program questions -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """with n as (select p_partkey id, case p_partkey%6 when 0 then 'run'||p_size||'()' when 1 then '.call()' when 2 then 'm'||p_size||'.py' when 3 then 'Box' when 4 then 'Intro' else 'x' end label, case p_partkey%6 when 4 then 'document' else 'code' end t, case when p_partkey%10=9 then '' else case when p_partkey%4=0 then 'tests/' else 'src/' end||'m'||p_size||'.py' end f from part),
+ k as (select *, f<>'' and label = split_part(f,'/',2) file, (id%12=3) own from n), j as (select *, f<>'' and not file and t='code' sym from k)
+ select id, list_filter([case when file then 'file' end, case when sym then 'symbol' end, case when sym and ends_with(label,'()') then 'function' end, case when sym and ends_with(label,'()') and (starts_with(label,'.') or id%12=6) then 'method' end,
+   case when sym and not ends_with(label,'()') and own then 'class' end, case when f<>'' and not file and t='document' then 'section' end, case when (file or sym) and starts_with(f,'tests/') then 'test' end], lambda x: x is not null) kinds from j"""
+)
+def derived_kinds(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    label = F.expr("case p_partkey % 6 when 0 then concat('run', p_size, '()') when 1 then '.call()' when 2 then concat('m', p_size, '.py') when 3 then 'Box' when 4 then 'Intro' else 'x' end")
+    file = F.expr("if(p_partkey % 10 = 9, '', concat(if(p_partkey % 4 = 0, 'tests/', 'src/'), 'm', p_size, '.py'))")
+    nodes = p.select(F.col("p_partkey").alias("id"), label.alias("label"), F.when(F.col("p_partkey") % 6 == 4, "document").otherwise("code").alias("file_type"), file.alias("source_file"))
+    edges = p.where("p_partkey % 12 = 3").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 3).alias("dst"), F.lit("method").alias("relation"))
+    return analysis.with_kinds(nodes, edges).select("id", "kinds")
+
+
+@query(
+    """with recursive o as (select o_custkey fn, row_number() over (partition by o_custkey order by o_orderkey) b, o_orderkey from orders), e as (select fn, b src, b+1 dst from o union select fn, b, b//2+1 from o where b%4=0),
+ k as (select fn, b, b%3 v, max(o_orderkey) x from o group by 1,2,3), r(fn, x, v, b) as (select k.fn, k.x, k.v, e.dst from k join e on e.fn=k.fn and e.src=k.b union select r.fn, r.x, r.v, e.dst from r join e on e.fn=r.fn and e.src=r.b where not exists (select 1 from k where k.fn=r.fn and k.b=r.b and k.v=r.v))
+ select fn, x definition, b "block" from r"""
+)
+def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as functions whose orders are blocks in a row, with a jump back from every fourth; each defines one of three variables."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("fn"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("b"), "o_orderkey")
+    flow = o.select("fn", F.col("b").alias("src"), (F.col("b") + 1).alias("dst")).unionByName(o.where("b % 4 = 0").select("fn", F.col("b").alias("src"), (F.floor(F.col("b") / 2) + 1).alias("dst")))
+    return analysis.reaching_definitions(flow, o.select("fn", F.col("b").alias("block"), F.lit(0).alias("place"), (F.col("b") % 3).alias("var"), F.col("o_orderkey").alias("definition")))
+
+
+@query(
+    """select 'region:'||n_regionkey target, 'nation:'||n_nationkey caller, 1 depth, ['in_region@1'] guards from nation union all select 'region:'||n_regionkey, 'customer:'||c_custkey, 2, ['in_region@1'] from customer join nation on n_nationkey=c_nationkey
+ union all select 'region:'||n_regionkey, 'supplier:'||s_suppkey, 2, ['located_in@1','in_region@1'] from supplier join nation on n_nationkey=s_nationkey"""
+)
+def guarded_callers(spark: SparkSession, d: str) -> DataFrame:
+    """What leads to the regions and under which guards; the way from a customer has none."""
+    e = adapter.edges(spark, d, ("located_in", "in_region")).withColumn("guard", F.when(~F.col("src").startswith("customer:"), analysis.guard_column(F.col("relation"), F.col("line"))))
+    regions = adapter.nodes(spark, d).where("file_type = 'region'").select("id")
+    return analysis.guarded_callers(e, regions, 2).select("target", "caller", F.col("depth").cast("int").alias("depth"), "guards")
+
+
+@query(
+    f"""with {LINES} select file, line::int line, text, regexp_replace(text, '(^|[^A-Za-z0-9_])License($|[^A-Za-z0-9_])', '\\1Licence\\2', 'g') "after", line%2=0 sure from lines where regexp_matches(text, '(^|[^A-Za-z0-9_])License($|[^A-Za-z0-9_])')"""
+)
+def rename_preview(spark: SparkSession, d: str) -> DataFrame:
+    lines = adapter.lines(spark, d)
+    return analysis.rename_preview(lines, "License", "Licence", lines.where("line % 2 = 0").select("file", "line"))
+
+
+@query("select o_custkey::varchar file, o_orderkey::int line, 'part:'||o_orderkey%50 \"key\", 'r'||o_orderkey%50 resource from orders where o_orderkey%50 between 0 and 20")
+def resource_links(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").cast("int").alias("line"), F.expr("concat('give(\"part:', o_orderkey % 50, '\", 1)')").alias("text"))
+    known = table(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), F.col("p_partkey")).alias("key"), F.concat(F.lit("r"), F.col("p_partkey")).alias("resource"))
+    return analysis.resource_links(lines, known)
+
+
+@query(
+    """with w as (select n_nationkey k, lower(translate(n_name,'IÇĞÖŞÜçğıöşü','icgosucgiosu'))||['','lar','lardan','imizde','xq'][n_nationkey%5+1] word, lower(translate(n_name,'IÇĞÖŞÜçğıöşü','icgosucgiosu')) s from nation)
+ select word, case when k%5=4 then word else s end stem from w"""
+)
+def turkish_stems(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    s = T.fold_tr(F.col("n_name"))
+    words = n.select(F.concat(s, F.element_at(F.array(*[F.lit(x) for x in ("", "lar", "lardan", "imizde", "xq")]), (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("word"))
+    return analysis.turkish_stems(words, n.select(s.alias("stem")))
+
+
+@query(
+    """with c as (select s_suppkey id, case when s_suppkey>1 and s_suppkey%3=0 then s_suppkey-1 end b from supplier), gone as (select id from c where id%7=2), r as (select c.id from c join gone on gone.id=c.b)
+ select id claim_id, 'text gone' probe, true definitive from gone union all select id, 'text moved', false from c where id%7=3 union all select id, 'nothing cited', false from c where id%7=5 union all select id, 'rests on a refuted claim', true from r"""
+)
+def critique_probes(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("claim_id"), F.when((F.col("s_suppkey") > 1) & (F.col("s_suppkey") % 3 == 0), F.col("s_suppkey") - 1).alias("rests_on"))
+    anchors = s.where("claim_id % 7 <> 5").select("claim_id", F.lit("f").alias("file"), F.col("claim_id").alias("line"), F.concat(F.lit("line "), F.col("claim_id")).alias("text"))
+    lines = anchors.where("claim_id % 7 <> 2").select("file", F.when(F.col("claim_id") % 7 == 3, F.col("line") + 1000).otherwise(F.col("line")).alias("line"), F.concat(F.lit("  "), F.col("text")).alias("text"))
+    return analysis.critique(s, anchors, lines)
+
+
+@query(
+    f"with {NODES}, {EDGES}, l as (select s, t, count(*)::double w from (select src s, dst t from edges union all select dst, src from edges) where s<>t group by 1,2), g as (select s id, sum(w) deg from l group by 1), "
+    + _unrolled(
+        4,
+        "select 'nation:1' id, 0.0 p, 1.0 r",
+        "select id, sum(p) p, sum(r) r from (select id, p, r from {p} union all select x.id, 0.3*x.r, -x.r from {p} x join g on g.id=x.id where x.r>=1e-4*g.deg union all select l.t, 0.0, 0.7*x.r*l.w/g.deg from {p} x join g on g.id=x.id join l on l.s=x.id where x.r>=1e-4*g.deg) group by 1",
+        "select id, round(p*1e6, 3) rank from {p} where p>0",
+    )
+)
+def push_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds of local push around a nation."""
+    e = adapter.edges(spark, d).withColumn("weight", F.lit(1.0))
+    seeds = spark.createDataFrame([("nation:1", 1.0)], "id string, mass double")
+    return analysis.push_pagerank(e, seeds, eps=1e-4, rounds=4).select("id", F.round(F.col("rank") * 1e6, 3).alias("rank"))
+
+
+@query(f"with {NODES}, {EDGES}, ends as (select src id from edges union all select dst from edges) select n.id, count(e.id) degree from nodes n left join ends e on e.id=n.id group by n.id")
+def map_view(spark: SparkSession, d: str) -> DataFrame:
+    """A view by its name."""
+    g = adapter.graph(spark, d)
+    return analysis.view("degrees", g.nodes, g.edges)
+
+
+@query("select 'customer:'||o_custkey src, 'order:'||o_orderkey dst from orders where o_orderpriority like '1%' or o_orderpriority like '3%'")
+def edges_in_context(spark: SparkSession, d: str) -> DataFrame:
+    context = F.expr("case substring(o_orderpriority, 1, 1) when '1' then 'call' when '2' then 'field' when '3' then 'import' else 'export' end")
+    e = table(spark, d, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey")).alias("src"), F.concat(F.lit("order:"), F.col("o_orderkey")).alias("dst"), context.alias("context"))
+    return analysis.in_context(e, analysis.contexts_of("Who calls it, and which modules?")).select("src", "dst")
+
+
+@query(
+    """with w(term, weight) as (values ('parsehttpreply', 1.0), ('parse', 0.7), ('http', 0.7), ('reply', 0.7), ('database', 0.4), ('db', 1.0), ('handlers', 1.0), ('handl', 0.5), ('response', 0.28), ('rep', 0.35), ('parsehttprep', 0.5)) select term, weight::double weight from w"""
+)
+def question_terms(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.analyze_question(spark, "How does parseHTTPReply call the db handlers?", {"reply": ["response"]}).where("term not in ('call', 'repl')")
+
+
+@query()
+def guarded_dfs(spark: SparkSession, d: str) -> DataFrame:
+    """Depth-first walks of two steps from the regions."""
+    g = adapter.graph(spark, d, ("located_in", "in_region"))
+    return analysis.guarded_dfs(g.nodes, g.edges, g.nodes.where("file_type = 'region'"), 2)

@@ -202,7 +202,9 @@ class Lowering:
             if n.var not in given:
                 return self.scan(n, push=not local or n.var in outer)
             known = given[n.var]
-            return known if not n.kinds else known.join(self.scan(n, False).select(F.col(f"`{n.var}.id`")), [f"`{n.var}.id`"], "left_semi")
+            if not n.kinds:
+                return known
+            return known.join(self.scan(n, False).select(F.col(f"`{n.var}.id`").alias("kind_id")), F.col(f"`{n.var}.id`") == F.col("kind_id"), "left_semi")
 
         narrow = lambda n: n.var in given or ((not local or n.var in outer) and bool(self.pushed.get(n.var)))
         first = p.nodes[0]
