@@ -108,10 +108,10 @@ match_query(
 )
 match_query(
     "match_not_exists",
-    "match (p:part) where not exists (o:order)-[contains]->(p) or p.name ~ '9$' return p",
-    ("contains",),
-    """select 'part:'||p_partkey p, 1::bigint bindings, 'strong_inference' status from part
-       where not exists (select 1 from lineitem join orders on o_orderkey=l_orderkey where l_partkey=p_partkey) or regexp_matches(p_name, '9$')""",
+    "match (c:customer) where not exists (c)-[placed]->(:order) or c.name ~ '[379]$' return c",
+    ("placed",),
+    """select 'customer:'||c_custkey c, 1::bigint bindings, 'strong_inference' status from customer
+       where not exists (select 1 from orders where o_custkey=c_custkey) or regexp_matches(c_name, '[379]$')""",
 )
 match_query(
     "match_returns_fields",

@@ -14,7 +14,7 @@ from ..runtime import shared_dir, table
 from ..sources import adapter, readers, sinks
 from ..streaming import flows
 from .catalog import _TRADE, EDGES, LINES, NODES, TOK, _trade, match_query, query
-from .lowering import Graph, cited_lines, run
+from .lowering import Graph, cited_lines, explained, run
 
 # -- the pattern language --------------------------------------------------------------------------------------------------
 
@@ -65,6 +65,28 @@ def match_cited_lines(spark: SparkSession, d: str) -> DataFrame:
     return cited_lines(g, g.nodes, "[Ll]icense|token")
 
 
+@query(
+    """with b as (select c_custkey, n_nationkey, n_name from customer join nation on n_nationkey=c_nationkey where c_custkey%2=0 or not exists (select 1 from orders where o_custkey=c_custkey)),
+ k as (select n_name, c_custkey, row_number() over (partition by n_name order by 'customer:'||c_custkey, 'nation:'||n_nationkey) r, 'customer:'||c_custkey c, 'nation:'||n_nationkey n from b)
+ select n_name, count(*) count_c, count(*) bindings, 'strong_inference' status, false absence, list('c='||c||' n='||n order by r) filter (where r<=3) examples from k group by 1"""
+)
+def match_explained(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with up to three of their bindings, and whether they rest on an absence."""
+    g = adapter.graph(spark, d, ("located_in", "placed"))
+    even = g.nodes.join(table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.expr("concat('customer:', c_custkey)").alias("id")), "id", "left_semi").unionByName(g.nodes.where("file_type <> 'customer'"))
+    lonely = g.nodes.where("file_type = 'customer'").join(table(spark, d, "orders").select(F.expr("concat('customer:', o_custkey)").alias("id")), "id", "left_anti")
+    own = Graph(even.unionByName(lonely).distinct(), g.edges, None, g.kinds, g.relations)
+    return explained(own, "match (c:customer)-[located_in]->(n:nation) return n.name, count(c)")
+
+
+@query(
+    """select 'customer:'||c_custkey c, 1::bigint bindings, 'strong_inference' status, true absence, ['c=customer:'||c_custkey] examples from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_orderpriority in ('1-URGENT','2-HIGH'))"""
+)
+def match_absence(spark: SparkSession, d: str) -> DataFrame:
+    g = adapter.graph(spark, d, ("placed",))
+    return explained(g, "match (c:customer) where not exists (c)-[placed]->(o:order) and c.line >= 0 return c", exists_where={"o": F.col("source_file").isin("order/1-URGENT", "order/2-HIGH")})
+
+
 # -- filters and scores ----------------------------------------------------------------------------------------------------
 
 _PATHS = "p as (select p_partkey, case when p_size%3=0 then 'vendor/' else 'src/' end||lower(replace(p_brand,'#','-'))||case when p_size%4=0 then '/tests/' else '/lib/' end||'m'||p_size||case when p_size%5=0 then '.min.js' else '.py' end f, p_name n from part)"
@@ -75,9 +97,9 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.expr(file).alias("file"), F.col("p_name").alias("text"), F.col("p_name").alias("name"), F.concat(F.lit("part."), F.col("p_name")).alias("qual"))
 
 
-@query(f"with {_PATHS} select p_partkey, f file from p where not starts_with(f, 'vendor/') and (contains(f, '/tests/') or ends_with(f, '.min.js')) and lower(n) like '%1'")
+@query(f"with {_PATHS} select p_partkey, f file from p where not starts_with(f, 'vendor/') and (contains(f, '/tests/') or ends_with(f, '.min.js')) and regexp_matches(lower(n), '[aeiou1-9]$')")
 def filter_kinds_and_symbols(spark: SparkSession, d: str) -> DataFrame:
-    _, tree = search.parse_filters("-is:vendored (is:test OR is:minified) symbol:*1")
+    _, tree = search.parse_filters("-is:vendored (is:test OR is:minified) symbol:*[aeiou1-9]")
     return _paths(spark, d).where(search.filter_column(tree)).select("p_partkey", "file")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.traverse import bounded_paths, oriented
@@ -80,6 +81,13 @@ def _has(c: object, test) -> bool:
     return test(c) or (isinstance(c, P.Logic) and any(_has(p, test) for p in c.parts))
 
 
+def _negates(c: object, x: object, turned: bool = False) -> bool:
+    """Whether x stands under an odd number of NOTs in c."""
+    if c is x:
+        return turned
+    return isinstance(c, P.Logic) and any(_negates(p, x, turned ^ (c.op == "not")) for p in c.parts)
+
+
 def id_pins(c: object) -> list[str] | None:
     """Ids a condition pins a variable to: one ``id = ..`` or an OR of them."""
     if isinstance(c, P.Compare) and c.left.field == "id" and c.op == "=" and isinstance(c.right, str):
@@ -92,7 +100,7 @@ def id_pins(c: object) -> list[str] | None:
 
 class Lowering:
     def __init__(self, graph: Graph, query: P.Query) -> None:
-        self.graph, self.query, self.serial = graph, query, 0
+        self.graph, self.query, self.serial, self.extra = graph, query, 0, {}
         used = {e for p in self._paths() for x in p.edges for e in x.relations}
         known = graph.relations
         if known is not None and used - set(known):
@@ -119,6 +127,8 @@ class Lowering:
     def scan(self, n: P.Node, push: bool = True) -> DataFrame:
         """Candidates of a node: its kinds, then its own conditions, cheap ones first; columns <var>.<column>."""
         df = self.graph.nodes
+        if n.var in self.extra:
+            df = df.where(self.extra[n.var])
         if n.kinds:
             df = df.where(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in n.kinds])))
         own = self.pushed.get(n.var, []) if push else []
@@ -294,6 +304,7 @@ class Lowering:
             nonlocal df
             if isinstance(x, P.Exists):
                 found, shared = self.witness(x, seen, df)
+                self.absence |= _negates(c, x)
                 self.serial += 1
                 flag = f"exists{self.serial}"
                 marked = found.withColumn(flag, F.lit(True))
@@ -314,8 +325,19 @@ class Lowering:
         condition = turn(c)
         return df.where(condition).drop(*flags)
 
-    def result(self) -> DataFrame:
-        """The rows of the query, with ``bindings`` and ``status``; a plain variable is its id."""
+    def examples(self, df: DataFrame, keys: list) -> DataFrame:
+        """Up to EXAMPLES bindings of each row, sure ones first, then by id: one ``var=id`` list of words each."""
+        names = list(dict.fromkeys(n.var for p in self.query.paths for n in p.nodes if n.named))
+        shown = F.array_join(F.array(*[F.concat(F.lit(f"{v}="), F.col(f"`{v}.id`")) for v in names]), " ")
+        flat = df.select(*keys, "inferred", shown.alias("shown")).distinct()
+        own = [f"`{c}`" for c in flat.columns[: len(keys)]]
+        first = Window.partitionBy(*own).orderBy("inferred", "shown") if own else Window.partitionBy(F.lit(0)).orderBy("inferred", "shown")
+        few = flat.withColumn("place", F.row_number().over(first)).where(F.col("place") <= EXAMPLES)
+        return few.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"]).alias("examples"))
+
+    def result(self, explain: bool = False) -> DataFrame:
+        """The rows of the query, with ``bindings`` and ``status``; a plain variable is its id. With explain, also ``absence``,
+        whether the query's rows rest on an edge that is not there, and ``examples``."""
         q = self.query
         df = self.bindings()
         rank = F.when(F.col("inferred"), F.lit(2)).otherwise(F.lit(1))
@@ -329,6 +351,11 @@ class Lowering:
         out = df.groupBy(*key).agg(*measures, F.count("*").cast("long").alias("bindings"), named)
         columns = [i.name for i in q.items] + ["bindings", "status"]
         out = out.select(*dict.fromkeys(columns))
+        if explain:
+            shown = self.examples(df, key)
+            on = reduce(lambda a, b: a & b, [F.col(f"o.`{i.name}`").eqNullSafe(F.col(f"s.`{i.name}`")) for i in keys], F.lit(True))
+            both = out.alias("o").join(shown.alias("s"), on, "left")
+            out = both.select(*[F.col(f"o.`{c}`") for c in out.columns], F.lit(self.absence).alias("absence"), F.coalesce("s.examples", F.array().cast("array<string>")).alias("examples"))
         if q.limit is not None:
             order = [F.desc("bindings")] if counts else []
             out = out.orderBy(*order, *[F.col(i.name) for i in keys]).limit(q.limit)
@@ -341,6 +368,15 @@ def run(graph: Graph, query: str | P.Query) -> DataFrame:
     return Lowering(graph, tree).result()
 
 
+def explained(graph: Graph, query: str | P.Query, exists_where: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of a query with ``absence`` and ``examples``. exists_where: conditions on node columns for variables, which
+    hold inside EXISTS too."""
+    tree = P.parse(query, graph.kinds) if isinstance(query, str) else query
+    lowered = Lowering(graph, tree)
+    lowered.extra = dict(exists_where or {})
+    return lowered.result(explain=True)
+
+
 def run_capped(graph: Graph, query: str | P.Query, max_rows: int = 200) -> tuple[list, bool]:
     """At most max_rows rows on the driver and whether these are all."""
     rows = run(graph, query).limit(max_rows + 1).collect()
@@ -357,8 +393,6 @@ def views(graph: Graph, query: str | P.Query) -> DataFrame:
 
 def cited_lines(graph: Graph, nodes: DataFrame, rx: str, most: int = LINES_PER_NODE) -> DataFrame:
     """(id, line, text) of the first lines of each node's definition that match."""
-    from pyspark.sql import Window
-
     end = F.coalesce(F.col("line_end"), F.col("n.line"))
     n, lines = nodes.alias("n"), graph.lines.where(F.col("text").rlike(rx)).alias("l")
     hits = n.join(lines, (F.col("n.source_file") == F.col("l.file")) & (F.col("l.line") >= F.col("n.line")) & (F.col("l.line") <= end)).select("id", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
