@@ -1,6 +1,7 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between a trusted and the raw corpus.
 
-The n-grams are words and pairs of words, and the same of the words' shapes, which tell text from markup in any language.
+The n-grams are pairs of neighbouring words, and of their shapes, which tell text from markup in any language. On halves of
+the labelled documents, these two kinds part good from bad by a wider gap than with single words or single shapes added.
 
 Built-in functions only: texts become arrays of words, and every count is an expression over those arrays.
 """
@@ -53,14 +54,14 @@ def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
 
 
 def measures(text: Column, ratios: Column | None = None, buckets: tuple[int, int] = (0, 0)) -> Column:
-    """struct(n, repeated, total): words of a text, those in windows that occur twice, and the sum of the ratios of its words
-    and pairs of words; each array is made once a row. Windows have a 64-bit hash from hashes of 1, 2 and 4 words."""
+    """struct(n, repeated, total): words of a text, those in windows that occur twice, and the sum of the ratios of its pairs
+    of words; each array is made once a row. Windows have a 64-bit hash from hashes of 1, 2 and 4 words."""
 
     def of_windows(one: Column, two: Column, h: Column) -> Column:
         repeated = F.when(F.size(F.array_distinct(h)) < F.size(h), covered_by_repeats(h)).otherwise(F.lit(0))
         total = F.lit(0).cast("long")
         if ratios is not None:
-            total = _sum(one, ratios, buckets[0], buckets[1]) + _sum(two, ratios, buckets[0], buckets[1])
+            total = _sum(two, ratios, buckets[0], buckets[1])
         return F.struct(F.size(one).alias("n"), repeated.alias("repeated"), total.alias("total"))
 
     ones = F.transform(words(text), lambda w: F.xxhash64(w))
@@ -109,15 +110,14 @@ def shapes(text: Column) -> Column:
     return words(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}+", "A"), r"[0-9]+", "0"))
 
 
-def _with_pairs(hashes: Column) -> Column:
-    return let(hashes, lambda h: F.concat(h, _pairs(h, 1)))
+def _pair_hashes(tokens: Column) -> Column:
+    return _pairs(F.transform(tokens, lambda w: F.xxhash64(w)), 1)
 
 
 def grams(text: Column, buckets: tuple[int, int]) -> Column:
-    """Buckets of the hashed shapes and pairs of shapes, then, after buckets[0] of those, of the words and pairs of words."""
-    of_shapes = F.transform(_with_pairs(F.transform(shapes(text), lambda w: F.xxhash64(w))), lambda h: _bucket(h, 0, buckets[0]))
-    of_words = F.transform(_with_pairs(F.transform(words(text), lambda w: F.xxhash64(w))), lambda h: _bucket(h, *buckets))
-    return F.concat(of_shapes, of_words)
+    """Buckets of the hashed pairs of shapes, then, after buckets[0] of those, of the pairs of words."""
+    of_shapes = F.transform(_pair_hashes(shapes(text)), lambda h: _bucket(h, 0, buckets[0]))
+    return F.concat(of_shapes, F.transform(_pair_hashes(words(text)), lambda h: _bucket(h, *buckets)))
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int], smoothing: float = 20.0) -> list[int]:
@@ -145,15 +145,15 @@ def _table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int]) -> Col
 
 
 def _shape_score(text: Column, ratios: Column, buckets: int) -> Column:
-    """The sum of the ratios of a text's shapes and pairs of shapes, of which there are as many as words and pairs of words."""
-    return _sum(_with_pairs(F.transform(shapes(text), lambda w: F.xxhash64(w))), ratios, 0, buckets)
+    """The sum of the ratios of a text's pairs of shapes, of which there are as many as pairs of words."""
+    return _sum(_pair_hashes(shapes(text)), ratios, 0, buckets)
 
 
 def _n_grams(n: Column) -> Column:
-    return (F.lit(4) * n - F.when(n > 0, F.lit(2)).otherwise(F.lit(0))).cast("long")
+    return (F.lit(2) * F.greatest(n - 1, F.lit(0))).cast("long")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.06) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.15) -> DataFrame:
     """doc_id, base counts, base_failed, score (mean log-likelihood ratio of its n-grams), kept, for every document.
 
     A document fails the base rules with under 20 words, or over 30 % of words in repeated windows. It is kept if it does
@@ -175,7 +175,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096,
     )
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.06) -> DataFrame:
+def keep_good(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = (4096, 65536), threshold: float = -0.15) -> DataFrame:
     """The rows of docs that judge() keeps, unchanged, in one pass without a shuffle: the verdict is an expression. Columns
     may have any names."""
     ratios, text = _table(docs, trusted, buckets), F.col("row.text").cast("string")

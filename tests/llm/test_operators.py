@@ -192,7 +192,7 @@ def test_quality_scores_are_mean_log_ratios(spark, fixture):
         out = []
         for base, n, ws in ((0, 64, [shape(w) for w in words(t)]), (64, 512, words(t))):
             ones = [h[w] for w in ws]
-            out += [base + x % n for x in ones + [hh[p] for p in zip(ones[:-1], ones[1:], strict=True)]]
+            out += [base + hh[p] % n for p in zip(ones[:-1], ones[1:], strict=True)]
         return out
 
     part = df.where(df.doc_id.isin(list(some)))
@@ -209,7 +209,7 @@ def test_quality_scores_are_mean_log_ratios(spark, fixture):
         g = grams(r[1])
         want = sum(ratio[b] for b in g) / len(g) / 1e6 if g else 0.0
         assert abs(got[r[0]]["score"] - want) < 1e-9
-        assert got[r[0]]["kept"] == (not got[r[0]]["base_failed"] and sum(ratio[b] for b in g) >= -60000 * len(g))
+        assert got[r[0]]["kept"] == (not got[r[0]]["base_failed"] and sum(ratio[b] for b in g) >= -150000 * len(g))
 
 
 CLASHING = ["row", "epochs", "partial", "m_size", "turn", "size", "cut", "q_words", "q_score", "m", "s", "k_doc", "k_text", "id", "own", "text_id", "class_id", "secret_base", "secret_spans", "found", "clean", "Kept", "a.b", "q_n", "base", "lead"]
@@ -237,7 +237,7 @@ def test_quality_rejects_what_is_unlike_the_trusted(spark):
     junk = [(100 + i, " ".join(f"w{'o' * (k % 9)}rd***" + "&" * (k % 3) for k in range(i, i + 40)), "x") for i in range(10)]
     df = spark.createDataFrame(good + junk, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["score"] for r in quality.judge(df, df.where("doc_id < 40").select("doc_id")).collect()}
-    assert max(got[i] for i in range(100, 110)) < -0.06 < min(got[i] for i in range(40))
+    assert max(got[i] for i in range(100, 110)) < -0.15 < min(got[i] for i in range(40))
 
 
 def test_suffix_tree_base_scores_and_gain(spark, fixture):
