@@ -52,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written to the shared folder and read again.
+
+    Every stage takes nulls in any column, empty and very long texts, repeated rows and columns of any names. Documents
+    with a null or empty text fail the quality rules, so the later stages see none; of repeated rows the near-duplicate
+    stage keeps one. A document with a null doc_id is judged like any other. Ties are settled as the operators say. Empty
+    table: no rows. The tables written on the way stay in the shared folder until runtime.clear().
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
