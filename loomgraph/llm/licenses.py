@@ -71,6 +71,8 @@ class Index:
         if len(words.hash) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
         self.words = [words.hash[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+        if short := [n for n, own in zip(self.names, self.words, strict=True) if len(own) < GRAM]:
+            raise ValueError(f"templates of under {GRAM} words have no fingerprint: {', '.join(short)}")
         rows = set()
         for t, own in enumerate(self.words):
             grams, at = _grams(own)
@@ -161,8 +163,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     that overlap the one with most matched words stays. A narrow operation; only the templates, whose size is checked,
     go to the executors.
 
-    Null or empty text: no matches. Null doc_id: scanned. Repeated rows are scanned each. Empty table: no rows. Extra
-    columns are ignored.
+    Null or empty text: no matches. Very long texts are scanned whole. Null doc_id: scanned. Repeated rows are scanned each.
+    Ties: of equal matches that overlap, the one of greater coverage, then the earlier place, then the earlier name. Empty
+    table: no rows. Extra columns are ignored. No template (an empty mapping): no matches; one of under GRAM words raises.
     """
     index = Index(TEMPLATES if templates is None else templates)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -172,8 +175,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         for batch in batches(items):
             words = Words(batch.column("text"), lower=True, breaks=PUNCTUATION)
             grams, at = words.grams(GRAM)
-            place = np.minimum(np.searchsorted(index.hashes, grams), len(index.hashes) - 1)
-            hits = np.flatnonzero(index.hashes[place] == grams)
+            place = np.minimum(np.searchsorted(index.hashes, grams), max(len(index.hashes) - 1, 0))
+            hits = np.flatnonzero(index.hashes[place] == grams) if len(index.hashes) else np.zeros(0, np.int64)
             docs_hit = words.doc[at[hits]]
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for d in np.unique(docs_hit).tolist():

@@ -83,7 +83,8 @@ def mix(
     order; whole epochs take every document, and the remaining blocks are the first of that order, so at most one
     document a shard is cut. Nothing but the list of sources reaches the driver.
 
-    Null or empty text: size 0, taken 0. Null doc_id: kept, ordered first. Repeated rows count each. Empty table: no rows.
+    Null or empty text: size 0, taken 0. Very long texts are one document, cut like any other. Null doc_id: kept, ordered
+    first. Repeated rows count each. Ties: equal quotients go to the earlier source or shard. Empty table: no rows.
     Extra columns are ignored. Returns doc_id, size, source, source_size, target, taken, first_word, last_word (the cut).
     """
     seed = int(seed)

@@ -228,8 +228,9 @@ def link_vectors(
     classes that the cells would hold as many pairs.
 
     Null, zero or empty vectors and those with null or non-finite components link with nothing; neither do vectors of
-    different lengths. Null vec_id: compared like any other. Repeated rows are equal vectors. Empty table: no rows. Extra
-    columns are ignored.
+    different lengths. Null vec_id: compared like any other. Repeated rows are equal vectors. Ties: equal similarities in a
+    list go to the lower class; a cosine of exactly ``threshold`` is a link. Empty table: no rows. Extra columns are
+    ignored.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = saved(own.mapInArrow(_prepare, "vec_id long, raw binary, key binary"), "vectors")

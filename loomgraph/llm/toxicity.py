@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import PUNCTUATION, Words, batches
+from .textkernel import PUNCTUATION, Words, batches, mix
 
 #: Labelled rows that models are fitted on, at most: those of the lowest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -135,8 +135,9 @@ def classify(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], th
     ``labels`` has doc_id and a 0 / 1 column a category; rows with a null among them are left out, of repeated ids one
     row counts. The chain is fitted on the driver on SAMPLE_ROWS labelled documents at most; scoring is one narrow pass.
 
-    Null or empty text: no words, so the models' biases decide. Null doc_id: scored, never a sample. Repeated rows are
-    scored each. Empty tables: no rows; without labels, base rates. Extra columns are ignored.
+    Null or empty text: no words, so the models' biases decide. Very long texts are read whole; a sampled one reaches the
+    driver as its distinct words. Null doc_id: scored, never a sample. Repeated rows are scored each, and each is a row of
+    the sample if its id is in it. Ties: a probability of exactly ``threshold`` is toxic. Empty tables: no rows; without labels, base rates. Extra columns are ignored.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.array(*[F.col(c).cast("int") for c in categories]).alias("labels"))
@@ -151,11 +152,14 @@ def classify(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], th
     word = lists.flatten().to_numpy().astype(np.uint64)
     doc = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths(), np.int64))
     marked = np.array(got.column("labels").to_pylist(), float).reshape(len(ids), len(categories))
-    # the order of rows must not matter
-    by = np.argsort(ids, kind="stable")
+    # the order of rows must not matter: by id, and of repeated ids by their words
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(ids), np.uint64)
+        np.add.at(sums, doc, mix(word))
+    by = np.lexsort((sums, ids))
     rank = np.empty(len(ids), np.int64)
     rank[by] = np.arange(len(ids))
-    chain = fit_chain(rank[doc], word, marked[by], ids[by] % 3)
+    chain = fit_chain(rank[doc], word, marked[by], (mix(ids[by].astype(np.uint64)) % np.uint64(3)).astype(np.int64))
     models = spark.sparkContext.broadcast(chain)
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

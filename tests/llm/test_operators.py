@@ -353,6 +353,33 @@ def test_every_notice_and_whole_license_has_its_full_span(spark):
         assert name == "clause" or m["template"] == name, (name, m)
 
 
+def test_templates_without_words_and_none(spark):
+    own = spark.createDataFrame([(1, "All rights reserved."), (2, "x " * 30000 + "Licensed under CC BY 4.0. " + "y " * 30000)], "doc_id long, text string")
+    assert all(r["matches"] == [] for r in licenses.scan(own, {}).collect())
+    with pytest.raises(ValueError, match="under 3 words"):
+        licenses.scan(own, {"short": "two words"})
+    assert [(m["template"], m["start"]) for r in licenses.scan(own).collect() for m in r["matches"]] == [("All-rights-reserved", 0), ("CC-BY-4.0", 60000)]
+
+
+def test_license_candidates_lose_no_template(spark):
+    """Every template that stands whole in a text is found, by looking for its words everywhere."""
+    r = random.Random(9)
+    templates = {n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) < 60}
+    rows = []
+    for i in range(60):
+        picks = r.sample(sorted(templates), r.randint(0, 2))
+        rows.append((i, "\n\n".join(" ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(3, 30))) + "\n\n" + templates[p] for p in picks) + "\n\nthe end"))
+    plain = lambda t: re.findall("[a-z0-9]+", t.lower())
+    got = {x["doc_id"]: x["matches"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    for i, t in rows:
+        words_of, spans = plain(t), [(m["start"], m["end"]) for m in got[i]]
+        for n, body in templates.items():
+            b = plain(body)
+            if any(words_of[k : k + len(b)] == b for k in range(len(words_of) - len(b) + 1)):
+                first = re.search(r"[^A-Za-z0-9]+".join(map(re.escape, b)), t, re.I)
+                assert any(s < first.end() and first.start() < e for s, e in spans), (i, n)
+
+
 def brute_align(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

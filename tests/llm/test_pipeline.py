@@ -37,3 +37,17 @@ def test_all_registered_queries_are_known():
     from loomgraph.llm import entry
 
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.QUERIES}
+
+
+def test_stages_take_empty_tables_nulls_repeats_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    raw = table(spark, DIR, "documents").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "src1", 0), (900002, " \n", "en", None, 2)], raw.schema)
+    docs = raw.unionByName(odd).unionByName(raw.where("doc_id % 9 = 0")).withColumn("row", F.lit(1)).withColumn("turn", F.lit("x"))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = saved(stage(spark, now, DIR), "odd")
+            assert name == "best-fit packing" or now.columns == docs.columns
+        assert start is docs or now.count() == 0
