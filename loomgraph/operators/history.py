@@ -9,6 +9,10 @@ from ..plans.lowering import glob_to_regex
 from .traverse import innermost, reach
 
 
+#: Owner rules, at most; they are broadcast.
+MAX_RULES = 20_000
+
+
 def co_changes(commits: DataFrame, most_files: int = 30, shared: int = 3, degree: float = 0.3, linked: DataFrame | None = None) -> DataFrame:
     """(target, other, shared, degree): files in at least ``shared`` commits with a target and ``degree`` of its commits.
 
@@ -139,7 +143,10 @@ def coverage_change(now: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def code_owners(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, owner) by the last of rules(line, regex, owner) that matches; null where none does."""
+    """(path, owner) by the last of rules(line, regex, owner) that matches; null where none does. Rules are tried one by one
+    on every path, so a file of more than MAX_RULES raises; one rule file of a repository has a few hundred."""
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} owner rules")
     hit = paths.join(F.broadcast(rules), F.expr("path rlike regex"), "left")
     return hit.groupBy("path").agg(F.max_by("owner", "line").alias("owner"))
 

@@ -62,7 +62,8 @@ def last_status(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """All that is there now, batch by batch, exactly once a checkpoint."""
+    """All that is there now, batch by batch. The checkpoint counts a batch once it is done, so one that failed half way is
+    given again with its number: ``each`` writes exactly once if it overwrites by that number."""
     query: StreamingQuery = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
     query.awaitTermination()
 

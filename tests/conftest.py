@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 def spark():
     from loomgraph.runtime import session
 
-    s = session("tests", "2", 2)
+    s = session("tests", "4", 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
