@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import Saved, saved
 
 #: Words, as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources gathered on the driver at most (two numbers and a name each); mix() raises beyond it.
+#: Sources planned on the driver at most (two numbers and a name each, broadcast back); more are planned by aggregates.
 MAX_SOURCES = 1_000_000
 
 
@@ -65,6 +65,68 @@ def sainte_lague(votes: np.ndarray, seats: int, limits: np.ndarray | None = None
     return taken
 
 
+def planned_here(found: pd.DataFrame, weights: tuple[int, ...], share: float, max_epochs: float, block_tokens: int) -> pd.DataFrame:
+    """source, source_size, target and blocks of sources(source, source_size), planned on the driver."""
+    names = sorted(found["source"].tolist(), key=lambda x: (x is None, (x or "").encode()))
+    size_of = dict(zip(found["source"].tolist(), found["source_size"].astype("int64").tolist(), strict=True))
+    sizes = [int(size_of[x]) for x in names]
+    targets = fill(sizes, [weights[k % len(weights)] for k in range(len(names))], share * sum(sizes), max_epochs) if names else []
+    limit = np.array([int(max_epochs * s) // block_tokens for s in sizes], np.int64)
+    blocks = sainte_lague(np.array(targets), round(sum(targets) / block_tokens), limit + 1)
+    return pd.DataFrame(
+        {"source": pd.Series(names, dtype="object"), "source_size": pd.Series(sizes, dtype="int64"), "target": pd.Series(targets, dtype="float64"), "dealt": pd.Series(blocks, dtype="int64")}
+    )
+
+
+def planned_apart(sources: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float, block_tokens: int, ways: int = 32) -> DataFrame:
+    """The same plan for any number of sources: ranks by ranges, capped targets by rounds of sums, Sainte-Lague by a bound on
+    the quotients, narrowed ``ways`` at a time, and the seats left over to the highest quotients."""
+    order = (F.col("source").isNull(), F.col("source"))
+    ranged = Saved(sources.repartitionByRange(64, *order).withColumn("part", F.spark_partition_id()), "ranged").df
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("part").count().collect()):
+        starts.append((r["part"], before))
+        before += r["count"]
+    spark = sources.sparkSession
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("start")
+    listed = ranged.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").withColumn("rank", place)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    state = Saved(listed.select("source", "source_size", "rank", weight.alias("weight"), (F.col("source_size") == 0).alias("capped")), "plan").df
+    budget = share * float(state.agg(F.sum("source_size")).first()[0])
+    top = F.lit(max_epochs) * F.col("source_size")
+    while True:
+        r = state.agg(F.coalesce(F.sum(F.when(F.col("capped"), top)), F.lit(0.0)).alias("used"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("open")).first()
+        rest, opened = budget - r["used"], r["open"]
+        own = F.when(F.col("capped"), top).otherwise(F.lit(float(rest)) * F.col("weight") / F.lit(float(opened))) if opened else top
+        state = Saved(state.withColumn("target", own).withColumn("over", ~F.col("capped") & (F.col("target") > top)), "plan").df
+        if state.where("over").isEmpty():
+            break
+        state = state.select("source", "source_size", "rank", "weight", (F.col("capped") | F.col("over")).alias("capped"))
+    limit = F.when(F.col("target") > 0, F.floor(top / F.lit(block_tokens)) + 1).otherwise(F.lit(0)).cast("long")
+    state = Saved(state.select("source", "source_size", "rank", "target", limit.alias("limit")), "plan").df
+    sums = state.agg(F.sum("target").alias("t"), F.sum("limit").alias("l"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("low"), F.max("target").alias("high")).first()
+    seats = int(min(round((sums["t"] or 0.0) / block_tokens), sums["l"] or 0))
+    if seats <= 0:
+        return state.select("source", "source_size", "target", F.lit(0).cast("long").alias("dealt"))
+
+    def above(bound: float) -> Column:
+        return F.least(F.floor((F.col("target") / F.lit(bound) + 1) / 2), F.col("limit")).cast("long")
+
+    low, high = sums["low"] / (4.0 * seats + 4), sums["high"] * 2 + 1
+    while state.agg(F.sum(above(low))).first()[0] < seats:
+        low /= 2
+    for _ in range(12):
+        bounds = [low * (high / low) ** (k / ways) for k in range(1, ways)]
+        counts = state.agg(*[F.sum(above(b)).alias(f"c{k}") for k, b in enumerate(bounds)]).first()
+        low, high = max([low, *(b for b, c in zip(bounds, counts, strict=True) if c >= seats)]), min([high, *(b for b, c in zip(bounds, counts, strict=True) if c < seats)])
+    state = state.withColumn("dealt", above(high))
+    while (left := seats - int(state.agg(F.sum("dealt")).first()[0])) > 0:
+        state = Saved(state, "plan").df
+        more = state.where("dealt < limit").orderBy((F.col("target") / (2 * F.col("dealt") + 1)).desc(), "rank").limit(left).select(F.col("rank").alias("more"))
+        state = state.join(more, F.col("rank") == F.col("more"), "left").withColumn("dealt", F.col("dealt") + F.col("more").isNotNull().cast("long")).drop("more")
+    return state.select("source", "source_size", "target", "dealt")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -81,7 +143,7 @@ def mix(
     of blocks to sources, and a source's blocks to its shards (documents dealt by a seeded hash, about ``shard_tokens``
     words each, so a source with a third of all rows is many shards). A shard lays its documents end to end in seeded
     order; whole epochs take every document, and the remaining blocks are the first of that order, so at most one
-    document a shard is cut. Nothing but the list of sources reaches the driver.
+    document a shard is cut. Nothing but the list of sources reaches the driver, and of over MAX_SOURCES only sums.
 
     Null or empty text: size 0, taken 0. Very long texts are one document, cut like any other. Null doc_id: kept, ordered
     first. Repeated rows count each. Ties: equal quotients go to the earlier source or shard. Empty table: no rows.
@@ -97,32 +159,23 @@ def mix(
     rows = saved(rows, "mix")
     counted = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     found = counted.limit(MAX_SOURCES + 1).toPandas()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names = sorted(found["source"].tolist(), key=lambda x: (x is None, (x or "").encode()))
-    size_of = dict(zip(found["source"].tolist(), found["source_size"].astype("int64").tolist(), strict=True))
-    sizes = [int(size_of[x]) for x in names]
-    shares = [weights[k % len(weights)] for k in range(len(names))]
-    targets = fill(sizes, shares, share * sum(sizes), max_epochs) if names else []
-    limit = np.array([int(max_epochs * s) // block_tokens for s in sizes], np.int64)
-    blocks = sainte_lague(np.array(targets), round(sum(targets) / block_tokens), limit + 1)
-    plan = pd.DataFrame(
-        {
-            "source": pd.Series(names, dtype="object"),
-            "source_size": pd.Series(sizes, dtype="int64"),
-            "target": pd.Series(targets, dtype="float64"),
-            "wanted": pd.Series([min(int(max_epochs * s), int(b) * block_tokens) for s, b in zip(sizes, blocks, strict=True)], dtype="int64"),
-        }
-    )
-    plan["epochs"] = [w // s if s else 0 for w, s in zip(plan["wanted"], plan["source_size"], strict=True)]
-    plan["blocks"] = [math.ceil((w - e * s) / block_tokens) for w, e, s in zip(plan["wanted"], plan["epochs"], plan["source_size"], strict=True)]
-    plan["shards"] = [max(1, math.ceil(s / shard_tokens)) for s in plan["source_size"]]
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, wanted long, epochs long, blocks long, shards long")
+    small = len(found) <= MAX_SOURCES
+    if small:
+        plan = spark.createDataFrame(planned_here(found, weights, share, max_epochs, block_tokens), "source string, source_size long, target double, dealt long")
+    else:
+        plan = planned_apart(counted, weights, share, max_epochs, block_tokens)
+    size = F.col("source_size")
+    wanted = plan.withColumn("wanted", F.least(F.floor(F.lit(max_epochs) * size), F.col("dealt") * block_tokens).cast("long"))
+    epochs = F.when(size > 0, F.floor(F.col("wanted") / size)).otherwise(F.lit(0)).cast("long")
+    rest = F.ceil((F.col("wanted") - F.col("epochs") * size) / F.lit(block_tokens)).cast("long")
+    made = wanted.withColumn("epochs", epochs).withColumn("blocks", rest).withColumn("shards", F.greatest(F.lit(1), F.ceil(size / F.lit(shard_tokens))).cast("long"))
+    made = made.select("source", "source_size", "target", "epochs", "blocks", "shards")
+    sources = F.broadcast(made) if small else Saved(made, "sources").df
 
     key: Column = F.xxhash64(F.col("doc_id"), F.lit(seed))
     placed = (
         rows.alias("d")
-        .join(F.broadcast(sources.alias("s")), F.col("d.source").eqNullSafe(F.col("s.source")))
+        .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "epochs", F.pmod(key, F.col("shards")).alias("shard"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"))
     )
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
@@ -136,7 +189,7 @@ def mix(
 
     quotas = (
         shards.alias("h")
-        .join(F.broadcast(sources.alias("s")), F.col("h.source").eqNullSafe(F.col("s.source")))
+        .join(sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")))
         .select(F.coalesce(F.concat(F.lit("="), F.col("h.source")), F.lit("")).alias("source_key"), "shard", "shard_size", "blocks")
         .groupBy("source_key")
         .applyInPandas(deal, "source_key string, shard long, quota long")

@@ -482,6 +482,21 @@ def test_mixes_reach_their_targets(spark, fixture):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.apply(empty(spark)).count() == 0
 
 
+def test_sources_planned_by_aggregates_equal_those_planned_here(spark, fixture, monkeypatch):
+    r = random.Random(3)
+    rows = [(None if i == 7 else f"s{i}\u00e9" if i % 5 else f"S{i}", r.choice([0, 3, 40, 900, 5000, 120000])) for i in range(90)]
+    sources = spark.createDataFrame(rows, "source string, source_size long")
+    one = mixing.planned_here(sources.toPandas(), (5, 2, 1), 1.5, 2.0, 16)
+    two = mixing.planned_apart(sources, (5, 2, 1), 1.5, 2.0, 16).toPandas()
+    key = lambda p: sorted((str(a), b, round(c, 6), d) for a, b, c, d in p[["source", "source_size", "target", "dealt"]].itertuples(index=False))
+    assert key(one) == key(two) and one.dealt.sum() > 1000
+    df, _ = fixture
+    want = sorted(map(str, mixing.mix(df).select("doc_id", "size", "target", "taken").collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    assert sorted(map(str, mixing.mix(df).select("doc_id", "size", "target", "taken").collect())) == want
+    assert mixing.mix(empty(spark)).count() == 0
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.ASCII):
