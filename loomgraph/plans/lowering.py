@@ -224,6 +224,14 @@ class Lowering:
             right = None if n.var in seen else candidates(n)
             ends = right.select(F.col(f"`{n.var}.id`").alias("id")) if right is not None and narrow(n) else None
             pairs = self.hops(e, df.select(at.alias("id")), few, ends)
+            equal = [] if local or right is None else self._equalities(n.var, seen)
+            if equal:
+                # an equality of fields is a key of this join: without it every two nodes around a hub would meet first
+                reached = pairs.select(F.col("u").alias("hop_u"), F.col("v").alias("hop_v"), F.col("inferred").alias("hop_i")).join(right, F.col("hop_v") == F.col(f"`{n.var}.id`"))
+                df = df.join(reached, reduce(lambda a, b: a & b, equal, at == F.col("hop_u"))).withColumn("inferred", F.col("inferred") | F.col("hop_i")).drop("hop_u", "hop_v", "hop_i")
+                few = few or narrow(n)
+                seen.add(n.var)
+                continue
             df = df.join(pairs.select(F.col("u").alias("hop_u"), F.col("v").alias("hop_v"), F.col("inferred").alias("hop_i")), at == F.col("hop_u"))
             df = df.withColumn("inferred", F.col("inferred") | F.col("hop_i")).drop("hop_u", "hop_i")
             if right is None:
@@ -237,6 +245,12 @@ class Lowering:
             seen.add(n.var)
         return df
 
+    def _equalities(self, var: str, seen: set[str]) -> list[Column]:
+        """Equalities of a field of var with a field of a variable of its pattern that is bound before it."""
+        own = [c for c in self.residual if isinstance(c, P.Compare) and c.op == "=" and isinstance(c.right, P.Ref)]
+        own = [c for c in own if (c.left.field == "line") == (c.right.field == "line") and var in (c.left.var, c.right.var) and ({c.left.var, c.right.var} - {var}) <= seen and c.left.var != c.right.var]
+        return [_column(c.left.var, c.left.field) == _column(c.right.var, c.right.field) for c in own]
+
     def _ends_smaller(self, p: P.Path) -> bool:
         """Whether a variable-length edge should be walked from its far end: that end is pinned, this one is not."""
         pinned = lambda v: any(id_pins(c) for c in self.pushed.get(v, []))

@@ -1,7 +1,9 @@
+import re
+
 import pytest
 
 from loomgraph.plans import pattern as P
-from loomgraph.plans.lowering import Graph, glob_to_regex, run
+from loomgraph.plans.lowering import Graph, Lowering, glob_to_regex, run
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +131,24 @@ def test_globs():
     import re
 
     assert re.match(glob_to_regex("a*[0-9]?.py"), "abc7x.py") and not re.match(glob_to_regex("[!a]*"), "abc")
+
+
+@pytest.fixture(scope="module")
+def hub(spark):
+    """One hub whose neighbours share lines, some null, some by unsure edges."""
+    n = [("h", 0, "hub")] + [(f"x{i}", None if i % 11 == 0 else i % 7, "left") for i in range(40)] + [(f"y{i}", None if i % 9 == 0 else i % 5, "right") for i in range(30)]
+    nodes = spark.createDataFrame([(i, i[0], i, "f", ln, ln, [k]) for i, ln, k in n], "id string, label string, name string, source_file string, line int, line_end int, kinds array<string>")
+    e = [(i, "h", "in", "INFERRED" if int(i[1:]) % 3 == 0 else "EXTRACTED", 1) for i, _, k in n if k != "hub"]
+    edges = spark.createDataFrame([(j, *x) for j, x in enumerate(e)], "edge_id long, src string, dst string, relation string, confidence string, line int")
+    return Graph(nodes, edges, None, ("hub", "left", "right"))
+
+
+def test_an_equality_of_fields_is_a_key_of_the_join(hub):
+    text = "match (a:left)-[in]->(h:hub)<-[in]-(b:right) where a.line = b.line return a, b"
+    lines = lambda k: {i: (None if i % (11 if k == 7 else 9) == 0 else i % k) for i in range(40 if k == 7 else 30)}
+    want = sorted((f"x{i}", f"y{j}", 1) for i, a in lines(7).items() for j, b in lines(5).items() if a is not None and a == b)
+    assert rows(hub, text, "a", "b", "bindings") == want
+    plan = run(hub, text)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("hop_u" in j and "a.line" in j and "b.line" in j for j in joins), plan
+
