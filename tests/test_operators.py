@@ -163,3 +163,13 @@ def test_innermost_spans(spark):
 def test_questions_are_checked(spark):
     with pytest.raises(ValueError, match="unknown"):
         ask(None, [("who",)])
+
+
+def test_link_counts_are_the_links_counted(spark):
+    uses = spark.createDataFrame([("m", i % 3, f"o{i % 2}") for i in range(500)] + [("m", None, "o1")], "module string, name int, member string")
+    definitions = spark.createDataFrame([("m", i % 4, f"{'so'[i % 2]}{i % 3}") for i in range(400)], "module string, name int, member string")
+    want = graphops.group_links(uses, definitions).groupBy("user", "definer", "module", "name").agg(F.count("*").alias("n"))
+    got = graphops.group_link_counts(uses, definitions)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # what reaches the join is at most one row a member, whatever the sizes
+    assert "used" in got._jdf.queryExecution().optimizedPlan().toString()
