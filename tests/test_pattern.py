@@ -152,3 +152,16 @@ def test_an_equality_of_fields_is_a_key_of_the_join(hub):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert any("hop_u" in j and "a.line" in j and "b.line" in j for j in joins), plan
 
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">=", "="])
+@pytest.mark.parametrize("items", ["h, count(*)", "a"])
+def test_nodes_that_are_only_counted_are_no_rows(hub, op, items):
+    for text in (f"match (a)-[in]->(h:hub)<-[in]-(b:right) where a.line {op} b.line return {items}", f"match (b:right)-[in]->(h:hub)<-[in]-(a:left) where b.line {op} a.line return {items}"):
+        listed = Lowering(hub, P.parse(text, hub.kinds)).result(explain=True).drop("absence", "examples")
+        counted = Lowering(hub, P.parse(text, hub.kinds))
+        assert sorted(map(tuple, counted.result().collect())) == sorted(map(tuple, listed.collect()))
+        assert len(counted.folds) == 1 and counted.bindings().count() <= 140
+
+
+def test_an_end_without_a_condition_is_counted_too(hub):
+    assert rows(hub, "match (h:hub)<-[in]-(:left) return h, count(*)", "h", "count", "status") == [("h", 40, "weak_inference")]
