@@ -168,13 +168,47 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
     """(id, community): each round a node takes the commonest label around it (its own counts once), ties to the least.
 
     The invariant is a partition: every node has one community, named by a node of it at the start."""
-    both = saved(oriented(edges, "both").where("u <> v").select("u", "v").distinct(), "lpa")
-    labels = nodes.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("v") == F.col("id")).select(F.col("u").alias("id"), "community").unionByName(labels)
-        counted = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
-        labels = saved(counted.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")), "labels")
-    return labels
+    numbers, both = numbered(nodes, oriented(edges).where("u <> v").select("u", "v"))
+    labels = Saved(numbers.where("n > 0").select("number", F.col("number").alias("community"), "n"), "labels")
+    for turn in range(rounds):
+        votes = both.join(labels.df.withColumnRenamed("number", "v"), "v").select(F.col("u").alias("number"), "community", "n").unionByName(labels.df)
+        # one exchange by node serves both counts
+        counted = votes.repartition("number").groupBy("number", "community").agg(F.sum("n").alias("n"))
+        new = Saved(counted.groupBy("number").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community")).withColumn("n", F.lit(1).cast("long")), "labels")
+        labels.drop()
+        labels = new
+    name = numbers.select("number", "id")
+    return labels.df.join(name, "number").join(name.select(F.col("number").alias("community"), F.col("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+
+
+def numbered(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes as numbers in the order of their ids: (id, number, n), n being how often nodes has the id, 0 for one that only
+    pairs(u, v) name; and the distinct pairs of numbers (u, v), each both ways. Both are in the shared folder.
+
+    Rounds over numbers move a fraction of what they move over ids, and the least number is the least id."""
+
+    def number(ids: DataFrame) -> DataFrame:
+        return saved(ids.orderBy("id").select("id", F.monotonically_increasing_id().alias("number"), "n"), "numbers")
+
+    def side(end: str, n: str) -> DataFrame:
+        return numbers.select(F.col("id").alias(end), F.col("number").alias(n))
+
+    own = nodes.groupBy("id").agg(F.count("*").alias("n"))
+    numbers = number(own)
+    while True:
+        half = pairs.join(side("u", "a"), "u", "left").select("a", F.when(F.col("a").isNull(), F.col("u")).alias("lost_u"), "v")
+        whole = half.join(side("v", "b"), "v", "left").select("a", "b", "lost_u", F.when(F.col("b").isNull(), F.col("v")).alias("lost_v"))
+        met = Saved(whole, "pairs")
+        lost = met.df.select(F.explode(F.array("lost_u", "lost_v")).alias("id")).where("id is not null").distinct()
+        if lost.isEmpty():
+            break
+        # ends that are no nodes take part too: number them among the others and meet once more
+        numbers = number(saved(own.unionByName(lost.withColumn("n", F.lit(0).cast("long"))), "ids"))
+        met.drop()
+    both = met.df.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(met.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    found = saved(both.repartition("v").distinct(), "both")
+    met.drop()
+    return numbers, found
 
 
 def renumber(members: DataFrame) -> DataFrame:

@@ -173,3 +173,25 @@ def test_link_counts_are_the_links_counted(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     # what reaches the join is at most one row a member, whatever the sizes
     assert "used" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_propagation_equals_a_plain_one(spark):
+    """Ends that are no nodes, loops, both directions of an edge, repeated edges and nodes, ties."""
+    r = random.Random(5)
+    names = [f"n{i}" for i in range(30)]
+    links = [(r.choice([*names, "stray1", "stray2"]), r.choice(names)) for _ in range(70)] + [("n1", "n1"), ("n2", "n3"), ("n3", "n2"), ("n2", "n3")]
+    edges = spark.createDataFrame([(i, s, d, "x", "EXTRACTED", 1) for i, (s, d) in enumerate(links)], "edge_id long, src string, dst string, relation string, confidence string, line int")
+    own = [*names, "n4", "alone"]
+    both = {(s, d) for s, d in links if s != d} | {(d, s) for s, d in links if s != d}
+    labels = [(n, n) for n in own]
+    for _ in range(3):
+        votes = {}
+        for n, c in labels + [(u, c) for u, v in both for n, c in labels if n == v]:
+            votes.setdefault(n, {}).setdefault(c, 0)
+            votes[n][c] += 1
+        labels = [(n, min(cs, key=lambda c: (-cs[c], c))) for n, cs in votes.items()]
+    got = graphops.label_propagation(spark.createDataFrame([(n,) for n in own], "id string"), edges, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(labels)
+    numbers, pairs = graphops.numbered(spark.createDataFrame([(n,) for n in own], "id string"), traverse.oriented(edges).where("u <> v").select("u", "v"))
+    assert dict(pairs.dtypes) == {"u": "bigint", "v": "bigint"} and pairs.count() == len(both)
+    assert [x[0] for x in numbers.orderBy("number").collect()] == sorted({*own, *(n for p in links for n in p)})
