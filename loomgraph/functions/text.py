@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -107,10 +108,21 @@ def clip_middle(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…"), F.substring(text, -tail, tail)))
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C (no built-in has it)."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+#: Rows that a Python worker normalises at once.
+NFC_ROWS = 64
+
+
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    made = [pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.slice(i, NFC_ROWS).to_pylist()], pa.string()) for i in range(0, len(text), NFC_ROWS)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+def nfc(text: Column) -> Column:
+    """Unicode normal form C (no built-in has it). Characters below U+0300 neither compose nor change, so a text of such only
+    stays in the JVM; of the others a worker holds NFC_ROWS at a time as Python strings."""
+    changes = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.coalesce(_composed(F.when(changes, text)), text)
 
 
 @F.pandas_udf(StringType())

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,10 @@ def test_label_propagation_equals_a_plain_one(spark):
     numbers, pairs = graphops.numbered(spark.createDataFrame([(n,) for n in own], "id string"), traverse.oriented(edges).where("u <> v").select("u", "v"))
     assert dict(pairs.dtypes) == {"u": "bigint", "v": "bigint"} and pairs.count() == len(both)
     assert [x[0] for x in numbers.orderBy("number").collect()] == sorted({*own, *(n for p in links for n in p)})
+
+
+def test_only_texts_that_may_change_are_normalised_in_python(spark):
+    texts = ["plain", "caf\u00e9 \u02ff", "e\u0301", "\u1112\u1161\u11ab", "\u212b", "", None, "a\nb" * 50] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.nfc(F.col("t")).alias("c"))
+    assert [r["c"] for r in df.orderBy("i").collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert "_composed(CASE WHEN" in df._jdf.queryExecution().analyzed().toString()
