@@ -176,6 +176,16 @@ def test_quality_counts_and_verdicts(spark, fixture):
     assert quality.judge(empty(spark), df.select("doc_id")).count() == 0
 
 
+def test_quality_makes_the_words_of_a_text_once(spark, fixture):
+    odd = [None, "", " \t", "\x0b\x0cx\r\n \x85 y z", "#a#\n#a#\n\n \n#a#", "#$% lead ", " \n \nq\n q\nq", "\u4e2d\u6587 \U0001d49c\U0001d4b7 <>|", "a\x1c \x00b"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    counts = quality.base_counts(df)
+    for r in counts.collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_quality(odd[r["doc_id"]])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove(split(") == 1 and "regexp_replace(" not in plan
+
+
 def test_quality_scores_are_mean_log_ratios(spark, fixture):
     """Counts, buckets and ratios by dictionaries; only the hash is asked of Spark."""
     df, rows = fixture
