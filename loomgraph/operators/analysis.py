@@ -139,13 +139,14 @@ def reaching_definitions(flow: DataFrame, definitions: DataFrame) -> DataFrame:
     flow(fn, src, dst) between blocks; definitions(fn, block, place, var, definition), of which the last of a variable in a
     block leaves it. A definition goes on through blocks that do not define its variable. One fix-point for all functions."""
     last = definitions.groupBy("fn", "block", "var").agg(F.max_by("definition", "place").alias("definition"))
-    hop = saved(flow.select("fn", "src", "dst").distinct(), "flow")
-    kills = saved(definitions.select("fn", "block", "var").distinct(), "kills")
-    front = saved(last.join(hop, (last["fn"] == hop["fn"]) & (F.col("block") == F.col("src"))).select(last["fn"], "definition", "var", F.col("dst").alias("block")).distinct(), "reaching")
+    # a hop knows the variables its block defines, so that a round meets one table
+    kills = definitions.groupBy("fn", F.col("block").alias("src")).agg(F.collect_set("var").alias("kills"))
+    hop = saved(flow.select("fn", "src", "dst").distinct().join(kills, ["fn", "src"], "left"), "flow")
+    front = saved(last.withColumnRenamed("block", "src").join(hop, ["fn", "src"]).select("fn", "definition", "var", F.col("dst").alias("block")).distinct(), "reaching")
     seen = [front]
     while not front.isEmpty():
-        through = front.join(kills, ["fn", "block", "var"], "left_anti").alias("x")
-        moved = through.join(hop.alias("h"), (F.col("x.fn") == F.col("h.fn")) & (F.col("x.block") == F.col("h.src"))).select("x.fn", "x.definition", "x.var", F.col("h.dst").alias("block")).distinct()
+        on = (F.col("x.fn") == F.col("h.fn")) & (F.col("x.block") == F.col("h.src")) & ~F.coalesce(F.array_contains("h.kills", F.col("x.var")), F.lit(False))
+        moved = front.alias("x").join(hop.alias("h"), on).select("x.fn", "x.definition", "x.var", F.col("h.dst").alias("block")).distinct()
         front = saved(moved.join(reduce(DataFrame.unionByName, seen), ["fn", "definition", "var", "block"], "left_anti"), "reaching")
         seen.append(front)
     return reduce(DataFrame.unionByName, seen).select("fn", "definition", "block")

@@ -103,3 +103,15 @@ def test_views_by_name(spark):
     with pytest.raises(ValueError, match="no view"):
         analysis.view("nothing", n, e)
     assert analysis.contexts_of("Who calls the imported module?") == ["call", "import"]
+
+
+def test_reaching_definitions_meet_one_table_a_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(analysis, "saved", lambda df, name="step", real=analysis.saved: (made.append(name), real(df, name))[1])
+    hops = [(1, 2), (2, 3), (3, 2), (3, 3), (3, 4), (4, 5), (9, 1)]
+    sets = [(1, 0, "x", 10), (1, 1, "x", 11), (1, 2, "y", 12), (3, 0, "x", 13), (4, 0, "y", 14), (4, 0, "z", 15)]
+    flow = spark.createDataFrame([(f, a, b) for f in (1, 2) for a, b in hops], "fn long, src long, dst long")
+    defs = spark.createDataFrame([(1, *s) for s in sets], "fn long, block long, place long, var string, definition long")
+    want = {(11, 2), (11, 3), (12, 2), (12, 3), (12, 4), (13, 2), (13, 3), (13, 4), (13, 5), (14, 5), (15, 5)}
+    got = [tuple(r) for r in analysis.reaching_definitions(flow, defs).collect()]
+    assert sorted(got) == sorted((1, d, b) for d, b in want) and "kills" not in made
