@@ -51,3 +51,26 @@ def test_stages_take_empty_tables_nulls_repeats_and_other_columns(spark):
             now = saved(stage(spark, now, DIR), "odd")
             assert name == "best-fit packing" or now.columns == docs.columns
         assert start is docs or now.count() == 0
+
+
+def test_the_driver_hands_back_what_it_has_freed(spark):
+    """Native memory that one stage has freed is not kept through the next ones."""
+    from loomgraph.runtime import tidy
+
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def resident() -> int:
+        with open(status) as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("VmRSS"))
+
+    tidy(spark)
+    made = [jvm.java.util.zip.Deflater(9) for _ in range(2000)]  # about 80 kB resident each, outside the heap
+    for x in made[:-1]:
+        x.end()
+    for _ in range(2):
+        jvm.System.gc()
+    held = resident()
+    tidy(spark)
+    made[-1].end()
+    assert held - resident() > 80_000
