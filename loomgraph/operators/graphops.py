@@ -89,11 +89,27 @@ def dedupe_nodes(nodes: DataFrame, ordinal: str) -> DataFrame:
 
 
 def group_matrix(nodes: DataFrame, edges: DataFrame, group: Column) -> DataFrame:
-    """(group_from, group_to, refs): references between groups of nodes; the folder matrix if group is a folder."""
-    g = nodes.select("id", group.alias("grp"))
-    a = g.select(F.col("id").alias("src"), F.col("grp").alias("group_from"))
-    b = g.select(F.col("id").alias("dst"), F.col("grp").alias("group_to"))
-    return edges.join(a, "src").join(b, "dst").groupBy("group_from", "group_to").agg(F.count("*").alias("refs"))
+    """(group_from, group_to, refs): references between groups of nodes; the folder matrix if group is a folder.
+
+    Ids move as compact_id(), and a group's references to a node are counted before they meet the node."""
+    g = nodes.where("id is not null").select(*compact_id("id", "h", "n"), group.alias("grp"))
+    a = g.select(F.col("h").alias("src_h"), F.col("n").alias("src_n"), F.col("grp").alias("group_from"))
+    b = g.select(F.col("h").alias("dst_h"), F.col("n").alias("dst_n"), F.col("grp").alias("group_to"))
+    ends = edges.where("src is not null and dst is not null").select(*compact_id("src", "src_h", "src_n"), *compact_id("dst", "dst_h", "dst_n"))
+    named = ends.join(a, ["src_h", "src_n"]).groupBy("dst_h", "dst_n", "group_from").agg(F.count("*").alias("refs"))
+    return named.join(b, ["dst_h", "dst_n"]).groupBy("group_from", "group_to").agg(F.sum("refs").alias("refs"))
+
+
+def compact_id(column: str, head: str, number: str) -> list[Column]:
+    """An id that is not null as two columns that are equal exactly where ids are: kind:number as kind and a number, which
+    take much less room in an exchange than text; any other id as itself after a mark, and 0."""
+    c = F.col(column).cast("string")
+    tail = F.substring_index(c, ":", -1)
+    n = tail.try_cast("long")
+    plain = F.coalesce((n.cast("string") == tail) & (F.length(tail) < F.length(c)), F.lit(False))
+    # neither is nullable, so that a join by them does not work them out once more to filter nulls
+    kind = F.coalesce(F.when(plain, F.substring(c, F.lit(1), F.length(c) - F.length(tail))).otherwise(F.concat(F.lit("="), c)), F.lit(""))
+    return [kind.alias(head), F.coalesce(F.when(plain, n), F.lit(0)).cast("long").alias(number)]
 
 
 def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:

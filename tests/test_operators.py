@@ -218,3 +218,40 @@ def test_reports_are_written_in_several_files_with_whole_records(spark):
         files.setdefault(r["f"], []).append(tuple(map(int, r["value"].split())))
     assert len(files) > 1 and all(rows == sorted(rows) for rows in files.values()) and sum(map(len, files.values())) == 200
     assert sum(len({a for a, _ in rows}) for rows in files.values()) == 10
+
+
+def moved(spark, make) -> tuple[int, object]:
+    """The rows that the exchanges of make() write, and what it returns."""
+    sc = spark.sparkContext
+
+    def written() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None).iterator()
+        total = 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteRecords()
+        return total
+
+    before, held = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = make()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    return written() - before, out
+
+
+def test_group_matrix_counts_references_before_they_meet_the_node(spark):
+    nodes = spark.range(4000).select(F.concat(F.lit("a:"), "id").alias("id"), F.lit("a").alias("grp")).union(spark.createDataFrame([("hub:0", "b"), ("hub:1", "b")], "id string, grp string"))
+    edges = spark.range(4000).select(F.concat(F.lit("a:"), "id").alias("src"), F.concat(F.lit("hub:"), F.col("id") % 2).alias("dst"))
+    rows, got = moved(spark, lambda: graphops.group_matrix(nodes, edges, F.col("grp")).collect())
+    assert [tuple(r) for r in got] == [("a", "b", 4000)]
+    assert rows < 10_000  # the edges and the nodes once; before, the edges moved twice
+
+
+def test_group_matrix_keeps_ids_apart_that_only_look_alike(spark):
+    ids = ["a:1", "a:01", "a:+1", "a: 1", "a:1 ", "a:", "a", "1", "a:b:1", "a:b:", ":1", "", "a:-1", "a:9223372036854775808", "a:1.0", "=a", "a:0", "A:1"]
+    nodes = spark.createDataFrame([(x, x) for x in ids] + [(None, "null")], "id string, grp string")
+    edges = spark.createDataFrame([(x, y) for x in ids for y in ids] + [(None, "a"), ("a", None), ("a:2", "a:1"), ("a:1", "=a:1")], "src string, dst string")
+    got = {(r["group_from"], r["group_to"]): r["refs"] for r in graphops.group_matrix(nodes, edges, F.col("grp")).collect()}
+    assert got == {(x, y): 1 for x in ids for y in ids}
