@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import Saved, saved
+from ..runtime import Dealt, Saved, saved
 from .traverse import degrees, oriented, reach
 
 # What a node and an edge must have, and the values their enumerations allow.
@@ -169,14 +169,16 @@ def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     """(id, rank) by power iteration with restart at seeds (id, mass): close to, not equal to, a local push."""
     total = seeds.agg(F.sum("mass").alias("m")).first()["m"] or 1.0
     start = seeds.select("id", (F.col("mass") / F.lit(float(total))).alias("s"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = saved(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "links")
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))
+    # the links lie in buckets by their source, so that no round moves or sorts them anew
+    links = Dealt(edges.where("src is not null").select("src", "dst", share.alias("p")), "src", "links")
     rank = start.withColumnRenamed("s", "rank")
     for turn in range(rounds):
-        flow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+        flow = links.df.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         rank = start.join(flow, "id", "full").select("id", (F.lit(alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if turn % 3 == 2:
+        if turn % 3 == 2 or turn == rounds - 1:
             rank = saved(rank, "ppr")
+    links.drop()
     return nodes.select("id").join(rank, "id")
 
 

@@ -255,3 +255,22 @@ def test_group_matrix_keeps_ids_apart_that_only_look_alike(spark):
     edges = spark.createDataFrame([(x, y) for x in ids for y in ids] + [(None, "a"), ("a", None), ("a:2", "a:1"), ("a:1", "=a:1")], "src string, dst string")
     got = {(r["group_from"], r["group_to"]): r["refs"] for r in graphops.group_matrix(nodes, edges, F.col("grp")).collect()}
     assert got == {(x, y): 1 for x in ids for y in ids}
+
+
+def test_personalised_pagerank_leaves_the_links_where_they_are(spark):
+    nodes = spark.range(60).select(F.concat(F.lit("n"), "id").alias("id"))
+    ends = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 60).alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 + F.floor(F.col("id") / 60)) % 60).alias("dst"), F.lit(1.0).alias("weight"))
+    seeds = nodes.where("id in ('n0', 'n1')").withColumn("mass", F.lit(1.0))
+    rows, got = moved(spark, lambda: graphops.personalised_pagerank(nodes, ends, seeds, rounds=4).collect())
+    links = {}
+    for r in ends.collect():
+        links.setdefault(r["src"], []).append(r["dst"])
+    rank = {"n0": 0.5, "n1": 0.5}
+    for _ in range(4):
+        flow = {}
+        for a, r in rank.items():
+            for b in links[a]:
+                flow[b] = flow.get(b, 0.0) + r / len(links[a])
+        rank = {k: 0.3 * (0.5 if k in ("n0", "n1") else 0.0) + 0.7 * flow.get(k, 0.0) for k in {*flow, "n0", "n1"}}
+    assert {r["id"] for r in got} == set(rank) and all(abs(r["rank"] - rank[r["id"]]) < 1e-12 for r in got)
+    assert rows < 9000  # the links once, and sums; before, once more for every round
