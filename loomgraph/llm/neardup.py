@@ -19,8 +19,10 @@ from .textkernel import across, runs, spanning
 AUDIT_ROWS = 1000
 #: Probability with which the partitions of a round may miss a pair at the threshold.
 MISSED = 1e-3
-#: Most classes of a cell's block, and rows of it compared at once.
-BLOCK, CHUNK = 4096, 512
+#: Most classes of a cell's block, and rows of it compared at once; a task holds a bit pattern of two blocks and a few such strips.
+BLOCK, CHUNK = 2048, 128
+#: Rows of results that a task sends at once.
+SENT = 1 << 15
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,21 @@ def unit_rows(raws: list[bytes]) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in fewer of SENT rows or so; the memory of the parts goes back to the system."""
+    held, n = [], 0
+    for part in parts:
+        if part.num_rows:
+            held.append(part)
+            n += part.num_rows
+        if n >= SENT:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    pa.default_memory_pool().release_unused()
+
+
 def _planes(dim: int, table: int, bits: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([dim, table])).standard_normal((dim, max(bits, 1)))
 
@@ -72,7 +89,7 @@ def _buckets(tables: list[int], bits: int):
                     at = np.flatnonzero(sizes == dim)
                     signs = unit_rows([raws[i] for i in at]) @ _planes(dim, t, bits) > 0
                     bucket[at] = (signs * weights).sum(axis=1) * (bits > 0) * 4096 * 64 + dim % 4096
-                yield pa.record_batch([pa.array(bucket * 64 + t % 64, pa.int64()), cid, batch.column("raw")], ["g", "cid", "raw"])
+                yield pa.record_batch([pa.array(bucket * 64 + t % 64, pa.int64()), cid, batch.column("floor"), batch.column("raw")], ["g", "cid", "floor", "raw"])
 
     return run
 
@@ -85,9 +102,10 @@ def _best(k: int, threshold: float):
     """Of a cell's block pair: the k most similar rows of each row, and (span) links that span all links between the blocks.
 
     Every pair is compared, and two rows that are linked are joined by a path of spanning links, however full a list is.
+    Pairs under the floor of a row, which its list has k rows above or at, would not enter the list and are not sent.
     """
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(items, ["g", "i", "j"]):
             raws, one = group.column("raw").to_pylist(), group.column("i")[0].as_py() == group.column("j")[0].as_py()
             lengths = np.array([len(r) for r in raws])
@@ -96,7 +114,7 @@ def _best(k: int, threshold: float):
                 n = len(at)
                 if n < 2:
                     continue
-                cid, blk, unit = group.column("cid").to_numpy()[at], group.column("blk").to_numpy()[at], unit_rows([raws[x] for x in at])
+                cid, blk, floor, unit = *(group.column(c).to_numpy()[at] for c in ("cid", "blk", "floor")), unit_rows([raws[x] for x in at])
                 link, m = np.zeros((n, n), bool), min(k, n - 1)
                 for lo in range(0, n, CHUNK):
                     sims = unit[lo : lo + CHUNK] @ unit.T
@@ -104,21 +122,23 @@ def _best(k: int, threshold: float):
                     sims[np.arange(len(sims)), own] = -2
                     if not one:
                         sims[blk[own][:, None] == blk[None, :]] = -2
-                    link[own] = sims >= threshold
-                    top = np.argpartition(-sims, m - 1, axis=1)[:, :m].ravel()
+                    near = sims >= threshold
+                    link[own] |= near
+                    link[:, own] |= near.T
+                    top = np.argpartition(sims, n - m, axis=1)[:, n - m :].ravel()
                     rows = np.repeat(np.arange(len(sims)), m)
-                    some = sims[rows, top] > -2
+                    some = (sims[rows, top] > -2) & (sims[rows, top] >= floor[own[rows]])
                     yield _pairs(cid[own[rows[some]]], cid[top[some]], sims[rows, top][some], False)
-                a, b = spanning(link | link.T)
+                a, b = spanning(link)
                 yield _pairs(cid[a], cid[b], np.full(len(a), threshold), True)
 
-    return run
+    return lambda items: _gathered(parts(items))
 
 
 def _local_join(threshold: float):
     """Pairs of neighbours of one node that improve on the least similar neighbour either of them has, and spanning links."""
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(items, ["u", "s"]):
             n = group.num_rows
             raws = group.column("raw").to_pylist()
@@ -135,7 +155,7 @@ def _local_join(threshold: float):
             if len(a):
                 yield _pairs(cid[a], cid[b], np.full(len(a), threshold), True)
 
-    return run
+    return lambda items: _gathered(parts(items))
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
@@ -162,7 +182,7 @@ def least_recall(rows: list[tuple[int, int]]) -> float:
 def _compare(threshold: float):
     """Every pair of a component's block pair: weights of links, and spanning links."""
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(items, ["g", "i", "j"]):
             n = group.num_rows
             if n < 2:
@@ -183,7 +203,7 @@ def _compare(threshold: float):
             w = [*weight[weight > 0].tolist(), *[0] * len(p)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (a, b, w)], ["a", "b", "w"])
 
-    return run
+    return lambda items: _gathered(parts(items))
 
 
 def _audit(asked: list[tuple[int, int, bytes]], threshold: float):
@@ -200,8 +220,8 @@ def _audit(asked: list[tuple[int, int, bytes]], threshold: float):
                 at = np.flatnonzero(sizes == dim)
                 own, unit = np.array([q[0] for q in qs]), unit_rows([q[2] for q in qs])
                 true, found = np.zeros(len(qs), np.int64), np.zeros(len(qs), np.int64)
-                for lo in range(0, len(at), 4096):
-                    part = at[lo : lo + 4096]
+                for lo in range(0, len(at), 1024):
+                    part = at[lo : lo + 1024]
                     link = unit @ unit_rows([raws[i] for i in part]).T >= threshold
                     link &= own[:, None] != cid[part][None, :]
                     true += link.sum(axis=1)
@@ -257,12 +277,20 @@ def link_vectors(
                 x.drop()
         tidy(own.sparkSession)
 
+    def with_floors() -> DataFrame:
+        """cid, floor, raw of each class; its floor is the least similarity in its list, if that is full."""
+        if graph is None:
+            return classes.select("cid", F.lit(-2.0).alias("floor"), "raw")
+        floors = graph.df.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("u").alias("cid"), F.col("low").alias("floor"))
+        return classes.select("cid", "raw").join(floors, "cid", "left").select("cid", F.coalesce("floor", F.lit(-2.0)).alias("floor"), "raw")
+
     def partition(numbers: list[int], planes: int) -> None:
-        dealt = classes.select("cid", "raw").mapInArrow(_buckets(numbers, planes), "g long, cid long, raw binary")
-        counts = classes.select("cid", "raw").mapInArrow(_buckets(numbers, planes), "g long, cid long, raw binary").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        schema_of = "g long, cid long, floor double, raw binary"
+        dealt = with_floors().mapInArrow(_buckets(numbers, planes), schema_of)
+        counts = classes.select("cid", F.lit(-2.0).alias("floor"), "raw").mapInArrow(_buckets(numbers, planes), schema_of).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
         cells = dealt.join(counts, "g", "left").withColumn("many", F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int"))
         split = cells.withColumn("blk", F.pmod(F.xxhash64("cid", "g"), F.col("many")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-        blocks = split.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "raw")
+        blocks = split.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "floor", "raw")
         add(blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_best(k, threshold), schema))
 
     while True:
@@ -273,8 +301,7 @@ def link_vectors(
                 partition(list(range(lo, min(lo + tables, at + most))), bits)
             at += most
             for _ in range(rounds):
-                floors = graph.df.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).select(F.col("u").alias("cid"), F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("low")).alias("floor"))
-                about = classes.select("cid", "raw").join(floors, "cid", "left").select(F.col("cid").alias("v"), "raw", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+                about = with_floors().withColumnRenamed("cid", "v")
                 both = graph.df.select("u", "v").union(graph.df.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
                 degree = both.groupBy("u").agg(F.count("*").alias("n"))
                 near = both.join(degree, "u").withColumn("s", F.pmod(F.xxhash64("v", "u"), F.ceil(F.col("n") / F.lit(64)))).join(about, "v")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -153,6 +154,31 @@ def test_isolated_pairs_beside_a_dense_group(spark):
     assert sum(got.component_id[150 + i] == i for i in range(150)) >= 149
 
 
+def cell(v, **more):
+    n = len(v)
+    cols = {"g": np.zeros(n, int), "i": np.zeros(n, int), "j": np.ones(n, int), "blk": np.arange(n) % 2, "cid": np.arange(n), "floor": np.full(n, -2.0)} | more
+    return pa.record_batch([*(pa.array(c) for c in cols.values()), pa.array([x.tobytes() for x in v], pa.binary())], [*cols, "raw"])
+
+
+def test_a_block_pair_of_vectors_takes_little_memory():
+    v = unit(np.random.default_rng(13).standard_normal((2 * neardup.BLOCK, 8)))
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in neardup._best(10, 0.9)(iter([cell(v)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 10 * len(v) and peak < 64e6
+
+
+def test_only_what_enters_a_list_is_sent_and_in_large_batches():
+    v = unit(np.random.default_rng(14).standard_normal((300, 8)))
+    every = pa.Table.from_batches(neardup._best(10, 0.9)(iter([cell(v, blk=np.zeros(300, int), j=np.zeros(300, int))]))).to_pandas()
+    floor = np.where(np.arange(300) % 3, every[~every.span].groupby("u").sim.nlargest(5).groupby("u").min().to_numpy(), -2.0)
+    batches = list(neardup._best(10, 0.9)(iter([cell(v, blk=np.zeros(300, int), j=np.zeros(300, int), floor=floor)])))
+    some = pa.Table.from_batches(batches).to_pandas()
+    assert len(batches) == 1 and (some[~some.span].groupby("u").size() == np.where(np.arange(300) % 3, 5, 10)).all()
+    assert some[some.span].equals(every[every.span].set_index(some[some.span].index))
+
+
 def brute_quality(t):
     w = words(t)
     runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
