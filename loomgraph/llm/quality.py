@@ -121,6 +121,15 @@ def grams(text: Column, buckets: tuple[int, int]) -> Column:
     return F.concat(of_shapes, F.transform(_pair_hashes(words(text)), lambda h: _bucket(h, *buckets)))
 
 
+def _counted(docs: DataFrame, ids: DataFrame, buckets: tuple[int, int]) -> DataFrame:
+    """bucket, raw, target: the n-grams of a bucket in all documents, and in those of ids (t_id); null is not an n-gram."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), grams(F.col("text"), buckets).alias("g"))
+    marked = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left")
+    # outer: else the planner asks first whether a text has any n-gram, and makes those of each text twice
+    each = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode_outer("g").alias("bucket"))
+    return each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("target"))
+
+
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int], smoothing: float = 20.0) -> list[int]:
     """For every bucket, 1e6 times the natural logarithm of its trusted over its raw probability, rounded. Both counts are
     smoothed on the raw corpus's scale, so that a small trusted corpus is not at a disadvantage.
@@ -129,11 +138,10 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int], s
     bucket reaches the driver. No trusted document: all zero, so that every document is at the threshold's mercy equally.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(TRUSTED_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), grams(F.col("text"), buckets).alias("g"))
-    marked = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left")
-    counted = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode("g").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("target"))
     raw, target = [0] * sum(buckets), [0] * sum(buckets)
-    for r in counted.collect():
+    for r in _counted(docs, ids, buckets).collect():
+        if r["bucket"] is None:  # texts without n-grams
+            continue
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
         return [0] * sum(buckets)

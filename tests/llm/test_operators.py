@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import jaccard, licenses, mixing, neardup, packing, quality, secrets, substrings, suffixtree, textkernel, toxicity
@@ -432,6 +433,17 @@ def test_banded_alignment_equals_the_full_table_in_a_wide_band():
         assert got[0] == brute_align(a, b)
 
 
+def test_n_grams_of_a_text_are_made_once_to_be_counted(spark, fixture):
+    ids = fixture[0].select(F.col("doc_id").alias("t_id")).where("t_id < 5").distinct()
+    counted = quality._counted(fixture[0], ids, (16, 64))
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 3
+    rows = {r["bucket"]: (r["raw"], r["target"]) for r in counted.collect()}
+    pairs = [max(len(words(r[1])) - 1, 0) for r in fixture[1]]
+    own = [n for n, r in zip(pairs, fixture[1], strict=True) if r[0] is not None and r[0] < 5]
+    rows.pop(None)
+    assert [sum(x) for x in zip(*rows.values(), strict=True)] == [2 * sum(pairs), 2 * sum(own)]
+
+
 def test_toxicity_is_learned_and_reproducible(spark):
     r = random.Random(6)
     plain = [f"w{i}" for i in range(200)]
