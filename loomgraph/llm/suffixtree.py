@@ -45,11 +45,50 @@ def _unpack(size: int, data: bytes) -> object:
 
 def _bytes(values: np.ndarray) -> np.ndarray:
     """The values by byte: bytes that are nearly all alike compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    rows = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    out = np.empty(rows.shape[::-1], np.uint8)
+    for i in range(len(out)):  # a plane at a time takes a fraction of the time of a transposed copy
+        out[i] = rows[:, i]
+    return out
 
 
 def _values(planes: np.ndarray, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    rows = np.empty(planes.shape[::-1], np.uint8)
+    for i in range(len(planes)):
+        rows[:, i] = planes[i]
+    return rows.view(kind).ravel()
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique(values) by a sort of the bare values, which is vectorised."""
+    ordered = np.sort(values)
+    return ordered[_changes(ordered)]
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique(values, return_index=True, return_inverse=True) of 64-bit keys. Their upper bits are sorted as numbers with
+    the place as lower bits, which is vectorised and stable; if keys that differ in their lower bits alone come in disorder,
+    the whole keys are."""
+    bits = np.uint64(max(len(values) - 1, 1).bit_length())
+    order = values >> bits << bits
+    order |= np.arange(len(values), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.view(np.int64)
+    ordered = values[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+    new = _changes(ordered)
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
 
 
 def _planes(keys: np.ndarray) -> np.ndarray:
@@ -102,13 +141,15 @@ class Chunk:
         out[self.bounds[:-1]] = True
         return out
 
-    def gram(self, order: int) -> np.ndarray:
-        """The key of the n-gram that ends at each place; meaningless where the text has too few tokens before it."""
+    def grams(self, *orders: int) -> dict[int, np.ndarray]:
+        """For each order the key of the n-gram that ends at each place; meaningless where the text has too few tokens before it."""
         word = self.vocab[self.symbol]
-        out = word
-        for m in range(2, order + 1):
+        out, made = word, {1: word} if 1 in orders else {}
+        for m in range(2, max(orders) + 1):
             out = extend(np.concatenate([out[:1], out[:-1]]), word, m)
-        return out
+            if m in orders:
+                made[m] = out
+        return made
 
     def times(self, order: int) -> np.ndarray:
         return self.known[self.symbol] if order == 1 else self.count[order]
@@ -148,17 +189,18 @@ class Chunk:
     def asks(self, step: int, depth: int) -> Iterator[tuple[int, np.ndarray, dict]]:
         """(kind, sorted keys, what comes with them) of a step: positive kinds are orders of n-grams, negative ones of contexts."""
         train = ~np.repeat(self.held, np.diff(self.bounds))
+        gram = self.grams(*([step + 1] * (step <= depth) + [step - 1] * (step > 1)))
         if step == 1:
             order = np.argsort(self.vocab)
             yield 1, self.vocab[order], {"n": np.bincount(self.symbol, train, len(self.vocab)).astype(np.int64)[order]}
         if step <= depth:
             at = self.grams_asked(step + 1)
-            keys, index = np.unique(self.gram(step + 1)[at], return_inverse=True)
+            keys, _, index = grouped(gram.pop(step + 1)[at])
             yield step + 1, keys, {"n": np.bincount(index, train[at], len(keys)).astype(np.int64)}
         if step > 1:
             k = step - 1
-            before, at = self.gram(k), self.contexts_asked(k)
-            keys = np.unique(before[at - 1])
+            before, at = gram[k], self.contexts_asked(k)
+            keys = distinct(before[at - 1])
             mine = np.flatnonzero(self.own)
             place = np.searchsorted(keys, before[mine - 1])
             n, c, p = self.times(k)[mine - 1].astype(float), self.times(k + 1)[mine].astype(float), 10.0 ** self.log[mine]
@@ -170,13 +212,14 @@ class Chunk:
 
     def learn(self, step: int, depth: int, replies: dict[int, list[tuple[int, dict]]], discount: float) -> None:
         """Take in the answers to asks(step)."""
+        gram = self.grams(*([step + 1] * (step <= depth) + [step - 1] * (step > 1)))
         if step == 1:
             self.known = np.zeros(len(self.vocab), np.int64)
             self.known[np.argsort(self.vocab)] = np.concatenate([x["n"] for _, x in sorted(replies[1], key=lambda r: r[0])])
         if step > 1:
             k = step - 1
             at = self.contexts_asked(k)
-            keys, index = np.unique(self.gram(k)[at - 1], return_inverse=True)
+            keys, _, index = grouped(gram.pop(k)[at - 1])
             left = np.full(len(keys), np.nan)
             for start, x in replies.get(-k, []):
                 left[start + x["at"]] = x["left"]
@@ -188,7 +231,7 @@ class Chunk:
         if step <= depth:
             order = step + 1
             at = self.grams_asked(order)
-            keys, first, index = np.unique(self.gram(order)[at], return_index=True, return_inverse=True)
+            keys, first, index = grouped(gram.pop(order)[at])
             total, mine = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
             for start, x in replies.get(order, []):
                 total[start + x["at"]], mine[start + x["at"]] = x["n"], x["own"]
@@ -287,7 +330,7 @@ def _answering(discount: float, strictness: float):
         kind = table.column("kind")[0].as_py()
         parts = [_keys(x["keys"]) for x in got]
         cuts = np.cumsum([0, *(len(p) for p in parts)])
-        keys, first, index = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        keys, first, index = grouped(np.concatenate(parts))
         out, types = [], 0
         if kind > 0:
             total = np.zeros(len(keys), np.int64)

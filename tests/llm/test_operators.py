@@ -433,6 +433,19 @@ def test_banded_alignment_equals_the_full_table_in_a_wide_band():
         assert got[0] == brute_align(a, b)
 
 
+def test_keys_are_grouped_as_by_a_stable_sort():
+    r = np.random.default_rng(15)
+    wide = r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    low = (np.uint64(7) << np.uint64(60)) + r.integers(0, 40, 3000).astype(np.uint64)  # alike but for bits that are not sorted first
+    for v in (np.zeros(0, np.uint64), wide[:1], np.concatenate([wide, wide[::-3]]), low, np.concatenate([low, ~wide])):
+        for own, want in zip(suffixtree.grouped(v), np.unique(v, return_index=True, return_inverse=True), strict=True):
+            assert np.array_equal(own, want)
+        assert np.array_equal(suffixtree.distinct(v), np.unique(v))
+    for kind in (np.uint64, np.uint32, np.int32):
+        v = wide.view(kind)
+        assert np.array_equal(suffixtree._bytes(v), v.view(np.uint8).reshape(len(v), -1).T) and np.array_equal(suffixtree._values(suffixtree._bytes(v), kind), v)
+
+
 def test_n_grams_of_a_text_are_made_once_to_be_counted(spark, fixture):
     ids = fixture[0].select(F.col("doc_id").alias("t_id")).where("t_id < 5").distinct()
     counted = quality._counted(fixture[0], ids, (16, 64))
